@@ -83,3 +83,26 @@ def sliced(batches: Iterator[pa.RecordBatch], most: int = 16 << 20) -> Iterator[
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+def with_columns(df, inputs: list[str], new, compute):
+    """``df`` with the fields ``new`` (a list of (name, Spark type)) appended.
+
+    ``compute(lists)`` gets one Python list per input column and returns one
+    sequence per new field.  All other columns pass through as Arrow arrays, so
+    rows need no key and no join.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType
+
+    added = StructType([StructField(n, t) for n, t in new])
+    types = to_arrow_schema(added).types
+    where = [df.columns.index(c) for c in inputs]
+
+    def run(batches):
+        for b in batches:
+            got = compute([b.column(i).to_pylist() for i in where])
+            cols = [*b.columns, *(pa.array(v, t) for v, t in zip(got, types, strict=True))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *(n for n, _ in new)])
+
+    return mapped(df, run, StructType([*df.schema.fields, *added.fields]))

@@ -16,6 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.html_extract import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages")).drop("host", "n_boilerplate")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folia.llm.token_counts import count_tokens
 
@@ -28,9 +34,34 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")).drop("ids")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.warc import merge_index, read_archives, write_archives
+
+    index = merge_index(write_archives(_table(spark, sf_dir, "pages")))
+    return read_archives(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.quality_rules import fit, judge
+
+    docs = _table(spark, sf_dir, "documents")
+    return judge(docs, fit(docs, _table(spark, sf_dir, "labels"))).drop("rule")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op4_packing)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op4_packing, op6_warc, op7_quality_rules)}
+
+
+OP6_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+q as (select page_id, strlen(html)::bigint as payload_bytes, sha256(html) as payload_digest from p),
+f as (select payload_digest, min(page_id) as first_id from q where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes, q.payload_digest,
+       case when f.first_id is null or f.first_id = page_id then 'response' else 'revisit' end as record_type,
+       case when f.first_id <> page_id then f.first_id end as refers_to
+from q left join f on q.payload_digest = f.payload_digest
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": OP6_SQL}
