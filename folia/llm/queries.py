@@ -48,8 +48,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, fit(docs, _table(spark, sf_dir, "labels"))).drop("rule")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.line_crf import classify, fit
+
+    docs = _table(spark, sf_dir, "documents")
+    return classify(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op4_packing, op6_warc, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op4_packing, op6_warc, op7_quality_rules, op9_quality_classifier)}
 
 
 OP6_SQL = """
