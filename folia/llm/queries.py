@@ -55,8 +55,14 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.near_dup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op4_packing, op6_warc, op7_quality_rules, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op4_packing, op6_warc, op7_quality_rules, op9_quality_classifier, op10_near_dedup)}
 
 
 OP6_SQL = """
