@@ -37,23 +37,46 @@ def _encoder(path: str):
 _CHUNKS = re.compile("[^ \n]+")
 
 
+#: A run of Latin letters and the marks after it: the vocabulary's rules cut there
+#: whatever stands around, so the two parts have ids of their own.
+_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*%&$#|]*)")
+
+
 class ChunkIds(dict):
-    """chunk of text -> its ids as little-endian bytes."""
+    """chunk of text -> its ids as little-endian bytes; one a worker, so tasks share what it learned."""
 
     def __init__(self, path: str, most: int = 500_000):
         super().__init__()
-        self.path, self.most = path, most
+        self.path, self.most, self.parts = path, most, {"": b""}
+
+    def _encode(self, new: list[str], into: dict) -> None:
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            got = _encoder(self.path).encode_batch_fast(part, add_special_tokens=False)
+            into.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(part, got, strict=True))
 
     def learn(self, chunks: set[str]) -> None:
         new = chunks - self.keys()
         if len(self) + len(new) > self.most:
             self.clear()
             new = chunks
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            got = _encoder(self.path).encode_batch(part, add_special_tokens=False)
-            self.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(part, got, strict=True))
+        simple, others = {}, []
+        for c in new:
+            m = _SIMPLE.fullmatch(c)
+            if m:
+                simple[c] = m[1].lower(), m[2]
+            else:
+                others.append(c)
+        if len(self.parts) > self.most:
+            self.parts = {"": b""}
+        self._encode(list({p for x in simple.values() for p in x} - self.parts.keys()), self.parts)
+        self.update((c, self.parts[a] + self.parts[b]) for c, (a, b) in simple.items())
+        self._encode(others, self)
+
+
+@lru_cache(maxsize=4)
+def _chunk_ids(path: str) -> ChunkIds:
+    return ChunkIds(path)
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
@@ -65,7 +88,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        seen, pid, before = ChunkIds(tokenizer_path), TaskContext.get().partitionId(), 0
+        seen, pid, before = _chunk_ids(tokenizer_path), TaskContext.get().partitionId(), 0
         for b in batches:
             cut = [_CHUNKS.findall(x) if x else [] for x in b.column(1).to_pylist()]
             seen.learn(set().union(*cut))

@@ -48,6 +48,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, fit(docs, _table(spark, sf_dir, "labels"))).drop("rule")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folia.llm.line_crf import classify, fit
 
@@ -62,7 +68,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op4_packing, op6_warc, op7_quality_rules, op9_quality_classifier, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op4_packing, op6_warc, op7_quality_rules, op8_decontamination, op9_quality_classifier, op10_near_dedup)}
 
 
 OP6_SQL = """
