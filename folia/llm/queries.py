@@ -28,6 +28,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.ngram_lm import fit, held_out, score
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, fit(docs.where(~held_out("doc_id")))).drop("perplexity")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folia.llm.packing import pack
 
@@ -68,7 +75,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op4_packing, op6_warc, op7_quality_rules, op8_decontamination, op9_quality_classifier, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_lm_scoring, op4_packing, op6_warc, op7_quality_rules, op8_decontamination, op9_quality_classifier, op10_near_dedup)}
 
 
 OP6_SQL = """
