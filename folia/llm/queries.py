@@ -41,6 +41,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")).drop("ids")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.license_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folia.llm.warc import merge_index, read_archives, write_archives
 
@@ -75,7 +81,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_lm_scoring, op4_packing, op6_warc, op7_quality_rules, op8_decontamination, op9_quality_classifier, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_lm_scoring, op4_packing, op5_license_scan, op6_warc, op7_quality_rules, op8_decontamination, op9_quality_classifier, op10_near_dedup)}
 
 
 OP6_SQL = """
