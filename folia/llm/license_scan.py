@@ -1,10 +1,9 @@
 """License texts in documents, with DataFrame functions only.
 
 Words are shingled by three, shingles hashed once, and documents cut into
-overlapping windows of blocks of four shingles: short windows (two blocks, a new
-one every block) for notices of up to five shingles, long ones (four blocks, a
-new one every second block) for the rest.  A long template is cut into long
-windows too.  Each window has BANDS MinHash values (a hash function is the
+overlapping windows of blocks of four shingles, a new one at every block: short
+windows (two blocks) for notices of up to five shingles, long ones (four blocks)
+for the rest.  A long template is cut into long windows too.  Each window has BANDS MinHash values (a hash function is the
 exclusive or with a constant), each a band of its own.  A template that lies in
 a text undamaged has a Jaccard similarity of 3/8 at least with one of its
 windows, so a band retrieves it with probability 1 - (5/8)^16 > 0.999; four
@@ -23,10 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BANDS, SHINGLE, BLOCK = 16, 3, 4
-#: name -> (blocks in a window, blocks from one window to the next, most shingles of a template whole in a window)
-SIZES = {"short": (2, 1, 5), "long": (4, 2, 9)}
+#: Blocks in a window; a new window begins at every block.
+SIZES = {"short": 2, "long": 4}
+#: Templates of so many shingles at most lie whole in a short window wherever they begin.
+SHORT = (SIZES["short"] - 1) * BLOCK + 1
 _CONSTANTS = [random.Random(20240229 + j).getrandbits(63) for j in range(BANDS)]
-_SLOTS = 1 << 17
 
 # Notices and opening passages of public licenses.
 TEMPLATES = {
@@ -92,52 +92,39 @@ def with_block_minima(rows: DataFrame) -> DataFrame:
     return rows.withColumn("minima", F.when(F.size("blocks") > 0, mins).otherwise(F.array().cast("array<array<bigint>>"))).drop("blocks")
 
 
-def _slot(v: Column, shift: int) -> Column:
-    return F.shiftright(v, shift).bitwiseAND(F.lit(_SLOTS - 1)).cast("int")
+def _least_of_next(m: Column, step: int) -> Column:
+    """Each value or, if less, the one ``step`` places on."""
+    return F.zip_with(m, F.slice(m, F.lit(step + 1), F.size(m)), lambda x, y: F.least(x, y))
 
 
-def _table(values: list[int], shift: int) -> bytes:
-    out = bytearray(_SLOTS)
-    for v in values:
-        out[(v >> shift) & (_SLOTS - 1)] = 1
-    return bytes(out)
-
-
-def _hits(minima: Column, size: str, values: list[int]) -> Column:
-    """(band, block, value) of the windows whose value may be a template's: two probes of a slot table."""
-    width, step, _ = SIZES[size]
-    first, second = (F.lit(_table(values, s)) for s in (0, 17))
-    on = lambda table, v, s: F.substring(table, _slot(v, s) + 1, F.lit(1)) == F.lit(b"\x01")
+def _hits(windows: str, size: str, values: list[int], wider: int) -> Column:
+    """(size, band, value) of the windows that have a value of a template's; the
+    windows are ``wider`` blocks longer than those of the column."""
 
     def of_band(m: Column, j: Column) -> Column:
-        # a text's last window may be shorter; the first block always begins one
-        count = F.ceil(F.size(m) / step).cast("int")
-        at = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(j.alias("band"), (i * step).alias("block"), F.least(*(F.get(m, i * step + k) for k in range(width))).alias("value")))
-        return F.when(count > 0, F.filter(at, lambda x: on(first, x["value"], 0) & on(second, x["value"], 17))).otherwise(F.array().cast("array<struct<band:int,block:int,value:bigint>>"))
+        least = _least_of_next(m, wider) if wider else m
+        return F.transform(F.filter(least, lambda x: x.isin(values)), lambda x: F.struct(F.lit(size).alias("size"), j.cast("int").alias("band"), x.alias("value")))
 
-    return F.flatten(F.transform(minima, of_band))
+    return F.flatten(F.transform(windows, of_band))
 
 
 def template_bands(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """name, size, shingles, band, value, lead: a row per template, window of it and band.
-
-    ``lead`` is the place of the window in the template, in shingles.
-    """
+    """name, size, template (its shingles), band, value: a row per template, window of it and band."""
     rows = with_shingles(spark.createDataFrame(list(templates.items()), "name string, text string"), "text", "name")
-    rows = rows.withColumn("size", F.when(F.size("h") <= SIZES["short"][2], F.lit("short")).otherwise(F.lit("long")))
-    most = SIZES["long"][0] * BLOCK
+    rows = rows.withColumn("size", F.when(F.size("h") <= SHORT, F.lit("short")).otherwise(F.lit("long")))
+    most = SIZES["long"] * BLOCK
     # a long template gives a window at every half window, the last one at its end
     leads = F.when(F.size("h") <= most, F.array(F.lit(0))).otherwise(F.array_distinct(F.concat(F.sequence(F.lit(0), F.size("h") - most, F.lit(most // 2)), F.array(F.size("h") - most))))
     rows = rows.withColumn("lead", F.explode(leads)).withColumn("window", F.slice("h", F.col("lead") + 1, F.lit(most)))
     mins = F.transform(_constants(), lambda c: F.array_min(F.transform("window", lambda x: x.bitwiseXOR(c))))
-    return rows.select("name", "size", F.col("h").alias("template"), "lead", F.posexplode(mins).alias("band", "value"))
+    return rows.select("name", "size", F.col("h").alias("template"), F.posexplode(mins).alias("band", "value"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """doc_id, license, containment, first_word of the templates found in each document.
 
     containment is the share of the template's distinct shingles that lie around
-    the window which retrieved it (at most the template's length to either side);
+    the shingle that retrieved it (a little over the template's length to either side);
     of several places the best counts, the first of equals.  Null and empty texts
     hold nothing.  Rows with equal doc_id count as one document.  The templates
     are a parameter that the caller holds in memory, which bounds their broadcast.
@@ -151,14 +138,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     known = spark.createDataFrame(rows, bands.schema).withColumnsRenamed({"band": "t_band", "value": "t_value", "size": "t_size"})
     text = with_shingles(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "doc_id")
     text = with_block_minima(text)
-    named = lambda size: lambda x: F.struct(F.lit(size).alias("size"), x["band"].cast("int").alias("band"), x["block"].cast("int").alias("block"), x["value"].alias("value"))
-    hits = [F.transform(_hits(F.col("minima"), size, [r["value"] for r in rows if r["size"] == size]), named(size)) for size in SIZES]
+    text = text.select("doc_id", "h", F.transform("minima", lambda m: _least_of_next(m, 1)).alias("two"))
+    hits = F.concat(*(_hits("two", size, sorted({r["value"] for r in rows if r["size"] == size}), wider) for size, wider in (("short", 0), ("long", 2))))
     # outer: a filter on the array itself would be pushed below and compute it all again
-    found = text.withColumn("hits", F.concat(*hits)).select("doc_id", "h", F.explode_outer("hits").alias("hit"))
-    found = found.select("doc_id", "h", "hit.*").join(F.broadcast(known), (F.col("size") == F.col("t_size")) & (F.col("band") == F.col("t_band")) & (F.col("value") == F.col("t_value")))
-    start = F.greatest(F.lit(0), F.col("block") * BLOCK - F.col("lead") - F.size("template"))
-    reach = F.col("block") * BLOCK + F.lit(SIZES["long"][0] * BLOCK) + F.size("template") - start
-    found = found.select("doc_id", "name", "template", start.alias("start"), F.slice("h", start + 1, reach).alias("near"))
+    found = text.withColumn("hits", hits).select("doc_id", "h", F.explode_outer("hits").alias("hit")).select("doc_id", "h", "hit.*")
+    found = found.join(F.broadcast(known), (F.col("size") == F.col("t_size")) & (F.col("band") == F.col("t_band")) & (F.col("value") == F.col("t_value")))
+    # the value names the shingle that both share; the template lies around it
+    at = F.array_position("h", F.col("value").bitwiseXOR(F.get(_constants(), F.col("band")))).cast("int") - 1
+    around = F.size("template") + SIZES["long"] * BLOCK
+    found = found.select("doc_id", "name", "template", F.greatest(F.lit(0), at - around).alias("start"), (at + around).alias("end"), "h")
+    found = found.select("doc_id", "name", "template", "start", F.slice("h", F.col("start") + 1, F.col("end") - F.col("start")).alias("near")).distinct()
     distinct = F.array_distinct("template")
     found = found.select("doc_id", "name", (F.size(F.array_intersect(distinct, F.col("near"))) / F.size(distinct)).alias("containment"), "near", "start", "template")
     found = found.where(F.col("containment") >= threshold)
