@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folia.functions import formats, temporal, text
-from folia.operators import edges, explode, markup, search, store, trees
+from folia.operators import edges, explode, geometry, markup, search, store, trees
 from folia.sources import scan
 from folia.streaming import refresh
 
@@ -472,3 +472,29 @@ def ingest_statistics(spark, sf):
     d = _t(spark, sf, "documents").agg(F.count("*").alias("documents"))
     n = e.agg(F.count("*").alias("elements"), (F.count("parent_id") * 2).alias("relationships"))
     return d.join(F.broadcast(n), F.lit(True))  # two rows of one
+
+
+# --- table structure ---------------------------------------------------------
+
+
+@query("""with g as (select l_orderkey, l_linenumber, l_quantity, case when l_quantity - lag(l_quantity) over (partition by l_orderkey order by l_quantity, l_linenumber) > 5 then 1 else 0 end as f from lineitem)
+  select l_orderkey, l_linenumber, (sum(f) over (partition by l_orderkey order by l_quantity, l_linenumber))::bigint as cluster from g""")
+def gap_clusters(spark, sf):
+    return geometry.clusters(_t(spark, sf, "lineitem"), ["l_orderkey"], "l_quantity", 5, ["l_linenumber"]).select("l_orderkey", "l_linenumber", "cluster")
+
+
+@query("select p_partkey, chr((65 + p_size % 26)::int) || p_partkey as ref, p_size % 26 between 1 and 3 and p_partkey between 2 and 90 as inside from part")
+def cells_in_range(spark, sf):
+    ref = F.concat(F.chr((F.lit(65) + F.col("p_size") % 26).cast("long")), F.col("p_partkey").cast("string"))
+    return _t(spark, sf, "part").select("p_partkey", ref.alias("ref"), geometry.in_range(ref, F.lit("B2:D90")).alias("inside"))
+
+
+@query("select n_name, regexp_matches(lower('col_' || n_name), 'id|identifier|uuid|guid|key|name|title|label|person|author|publisher|company|organization|user|owner|creator|editor|manager|developer|provider|customer|country|city|state|province|location|address|region|type|category|class|genre|style|format|model|brand|version') as is_identity from nation")
+def identity_names(spark, sf):
+    return _t(spark, sf, "nation").select("n_name", geometry.is_identity(F.concat(F.lit("col_"), F.col("n_name"))).alias("is_identity"))
+
+
+@query("""with c as (select o_custkey as parent, o_orderstatus as tag, count(*) as n from orders group by all), g as (select parent, count(*) as tags, max(n) as most, sum(n) as s from c group by parent)
+  select parent, case when tags = 1 or most > 0.8 * s then 'array' when tags > 0.5 * s then 'object' else 'element' end as kind from g""")
+def container_kinds(spark, sf):
+    return geometry.container_kinds(_t(spark, sf, "orders").select(F.col("o_custkey").alias("parent"), F.col("o_orderstatus").alias("tag")))

@@ -158,3 +158,32 @@ def test_record_and_blob_sources(spark):
     df = spark.createDataFrame([(1, bytearray(b"ok")), (2, bytearray(b"\xff\xfe"))], "id int, c binary")
     assert [r.content for r in scan.blob_source(df, "db", "id", "c").orderBy("source_id").collect()] == ["ok", "<binary data: 2 bytes>"]
     assert [r.content for r in scan.record_source(df.select("id"), "mongodb", "id", wanted={"id": [2]}).collect()] == ['{"id":2}']
+
+
+def test_engine_ingests_once_and_again(spark, tmp_path):
+    from folia.plans.engine import Engine
+
+    def embed(rows):
+        return rows.select("element_pk", F.array(F.length("text").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+
+    e = Engine(spark, str(tmp_path), embed)
+    docs = [("a", "text", "one two\n\nthree"), ("b", "markdown", "# H\n\npara"), ("c", "html", "<p>x</p>")]
+    got = e.ingest(spark.createDataFrame(docs, "source_id string, doc_type string, content string"))
+    assert got["documents"] == 3 and got["unchanged"] == 0 and got["elements"] == 3 + 3 + 2
+    docs[0] = ("a", "text", "one two\n\nfour")
+    got = e.ingest(spark.createDataFrame(docs, "source_id string, doc_type string, content string"))
+    assert got["documents"] == 1 and got["unchanged"] == 2 and got["elements"] == 3
+    assert e.table("elements").count() == 8 and e.table("documents").count() == 3
+    assert e.search([1.0, 0.0], 2).count() == 2 and e.top_documents([1.0, 0.0], 3).count() >= 1
+    assert e.search_outline([1.0, 0.0], 1).count() == 2 or e.search_outline([1.0, 0.0], 1).count() == 3
+    assert e.search_enriched([1.0, 0.0], 1).first().relationships
+    e.delete(["a"])
+    assert e.table("elements").count() == 5 and e.table("documents").count() == 2
+
+
+def test_rectangles(spark):
+    from folia.operators import geometry
+
+    lit = lambda *x: tuple(F.lit(float(v)) for v in x)
+    got = spark.range(1).select(geometry.overlaps(lit(0, 0, 2, 2), lit(2, 2, 3, 3)), geometry.overlaps(lit(0, 0, 1, 1), lit(2, 2, 3, 3)), geometry.distance(lit(0, 0, 1, 1), lit(4, 5, 6, 6)), geometry.column_number(F.lit("AA7"))).first()
+    assert tuple(got) == (True, False, 5.0, 27)
