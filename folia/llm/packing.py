@@ -9,6 +9,7 @@ each piece says which ids of which document lie where in which sequence.
 
 from __future__ import annotations
 
+import operator
 import re
 import zlib
 from functools import lru_cache
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.llm._store import staged
-from folia.llm._text import batch, mapped
+from folia.llm._text import batch, mapped, sliced
 
 #: Partitions whose totals one task sums up.
 FAN = 4096
@@ -33,8 +34,10 @@ def _encoder(path: str):
     return Tokenizer.from_file(path)
 
 
-#: Both are white space to every rule of the vocabulary, so nothing crosses them.
-_CHUNKS = re.compile("[^ \n]+")
+def chunks(text: str | None) -> list[str]:
+    """A text cut at spaces and line feeds, which are white space to every rule of
+    the vocabulary, so nothing crosses them; chunks may be empty."""
+    return text.replace("\n", " ").split(" ") if text else []
 
 
 #: A run of Latin letters and the marks after it: the vocabulary's rules cut there
@@ -43,35 +46,57 @@ _SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!
 
 
 class ChunkIds(dict):
-    """chunk of text -> its ids as little-endian bytes; one a worker, so tasks share what it learned."""
+    """chunk of text -> its ids as little-endian bytes, for the chunks of a batch.
 
-    def __init__(self, path: str, most: int = 500_000):
-        super().__init__()
-        self.path, self.most, self.parts = path, most, {"": b""}
+    The parts of chunks are remembered from batch to batch, one memory a worker;
+    when there are over ``most``, those that the batch doesn't have are forgotten.
+    """
 
-    def _encode(self, new: list[str], into: dict) -> None:
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            got = _encoder(self.path).encode_batch_fast(part, add_special_tokens=False)
-            into.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(part, got, strict=True))
+    def __init__(self, path: str, most: int = 300_000):
+        super().__init__()
+        self.path, self.most, self.parts = path, most, {}
+        last = [i for t, i in _encoder(path).get_vocab().items() if t.endswith("</w>")]
+        self.last = np.zeros(max(last, default=0) + 1 << 1, dtype=bool)
+        self.last[last] = True
+
+    def _one(self, part: str) -> bytes:
+        return np.array(_encoder(self.path).encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn_parts(self, new: list[str]) -> None:
+        """Many parts in one call: each ends with the one id in it that ends a word."""
+        groups = [new[at : at + 500] for at in range(0, len(new), 500)]
+        for at in range(0, len(groups), 40):
+            some = groups[at : at + 40]
+            for words, e in zip(some, _encoder(self.path).encode_batch_fast(["\n".join(g) for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype="<u4")
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(words):
+                    data, cut = ids.tobytes(), [0, *(4 * ends).tolist()]
+                    self.parts.update((w, data[cut[i] : cut[i + 1]]) for i, w in enumerate(words))
+                else:
+                    self.parts.update((w, self._one(w)) for w in words)
 
     def learn(self, chunks: set[str]) -> None:
-        new = chunks - self.keys()
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = chunks
-        simple, others = {}, []
-        for c in new:
+        self.clear()
+        # lists of strings only: tuples by the hundred thousand would keep the garbage collector busy
+        whole, letters, marks, others = [], [], [], []
+        for c in chunks:
             m = _SIMPLE.fullmatch(c)
             if m:
-                simple[c] = m[1].lower(), m[2]
+                whole.append(c)
+                letters.append(m[1].lower())
+                marks.append(m[2])
             else:
                 others.append(c)
+        need = set(letters)
+        need.update(marks)
         if len(self.parts) > self.most:
-            self.parts = {"": b""}
-        self._encode(list({p for x in simple.values() for p in x} - self.parts.keys()), self.parts)
-        self.update((c, self.parts[a] + self.parts[b]) for c, (a, b) in simple.items())
-        self._encode(others, self)
+            self.parts = {p: v for p, v in self.parts.items() if p in need}
+        self.parts[""] = b""
+        self._learn_parts(list(need - self.parts.keys()))
+        get = self.parts.__getitem__
+        self.update(zip(whole, map(operator.add, map(get, letters), map(get, marks)), strict=True))
+        self.update((c, self._one(c) if c else b"") for c in others)
 
 
 @lru_cache(maxsize=4)
@@ -89,8 +114,8 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         seen, pid, before = _chunk_ids(tokenizer_path), TaskContext.get().partitionId(), 0
-        for b in batches:
-            cut = [_CHUNKS.findall(x) if x else [] for x in b.column(1).to_pylist()]
+        for b in sliced(batches, 8 << 20):
+            cut = [chunks(x) for x in b.column(1).to_pylist()]
             seen.learn(set().union(*cut))
             ids = [b"".join(map(seen.__getitem__, c)) + end for c in cut]
             n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
