@@ -38,8 +38,8 @@ FOLD_TOKENS = 4_000_000
 #: Input bytes for each part of the arrays, and the least number of parts.
 PART_BYTES, LEAST_PARTS = 4 << 20, 64
 
-PAIR = (("key", "<u8"), ("count", "<f4"))
-WORD = (("key", "<u8"), ("count", "<u8"), ("ends", "<u4"), ("one", "<u4"), ("two", "<u4"), ("more", "<u4"))
+PAIR = ("key", "count")
+WORD = ("key", "count", "ends", "one", "two", "more")
 
 
 def held_out(id_col: str) -> Column:
@@ -145,10 +145,14 @@ def _narrow(n: np.ndarray) -> np.ndarray:
     return n.astype(np.min_scalar_type(int(n.max()))) if len(n) else n.astype(np.uint8)
 
 
-def _save(folder: str, name: str, columns: list[np.ndarray], kinds) -> None:
+def _save(folder: str, name: str, columns: list[np.ndarray]) -> None:
+    """A head of eight numbers (rows, then bytes of each column's values), then the columns."""
+    columns = [columns[0].astype("<u8"), *(c.astype(np.min_scalar_type(int(c.max())).newbyteorder("<")) for c in columns[1:])]
+    head = np.zeros(8, dtype="<u8")
+    head[: len(columns) + 1] = [len(columns[0]), *(c.itemsize for c in columns)]
     with tempfile.NamedTemporaryFile() as f:
-        for c, (_, kind) in zip(columns, kinds, strict=True):
-            f.write(c.astype(kind).tobytes())
+        for c in (head, *columns):
+            f.write(c.tobytes())
         f.flush()
         publish(folder, name, f.name)
 
@@ -182,7 +186,7 @@ def _merge_pairs(folder: str, parts: int):
             first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             n = np.add.reduceat(n[order], first)
             k, v, u = k[first], v[order[first]], u[order[first]]
-            _save(folder, f"pairs-{part}", [k, n], PAIR)
+            _save(folder, f"pairs-{part}", [k, n])
             out.append((-1, pickle.dumps(_levels(n), protocol=5)))
             s = _summed(v, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
             out += _dealt("v", _part_of(s[0], parts), parts, [s[0], *map(_narrow, s[1:])])
@@ -209,7 +213,7 @@ def _merge_words(folder: str):
             for c, x in zip(columns, (key, *row), strict=True):
                 c.append(x)
         key, count, ends, one, two, more = _summed(*map(np.concatenate, columns))
-        _save(folder, f"words-{part}", [key, count, ends, one, two, more], WORD)
+        _save(folder, f"words-{part}", [key, count, ends, one, two, more])
         at = np.searchsorted(key, END)
         docs = int(count[at]) if at < len(key) and key[at] == END else 0
         tally = [int(count.sum()), int((count > 0).sum()), int(ends.sum()), docs, *_levels(ends), int((ends > 2).sum())]
@@ -295,11 +299,11 @@ def _mapped_arrays(folder: str, name: str, fields) -> tuple[np.ndarray, ...] | N
     if not isinstance(fs, pafs.LocalFileSystem):
         path = os.path.join(_local_folder(), name)
         pafs.copy_files(info.path, path, source_filesystem=fs)
-    n = info.size // sum(np.dtype(k).itemsize for _, k in fields)
-    out, offset = [], 0
-    for _, kind in fields:
-        out.append(np.memmap(path, dtype=kind, mode="r", offset=offset, shape=(n,)))
-        offset += n * np.dtype(kind).itemsize
+    head = np.fromfile(path, dtype="<u8", count=8)
+    n, offset, out = int(head[0]), 64, []
+    for size in head[1 : len(fields) + 1].tolist():
+        out.append(np.memmap(path, dtype=f"<u{size}", mode="r", offset=offset, shape=(n,)))
+        offset += n * size
     return tuple(out)
 
 
