@@ -8,10 +8,11 @@ a coordinate with the probability of their weighted Jaccard similarity.
 
 Exact copies are folded first.  Within a bucket of banded signatures every text
 is compared with the bucket's leader only, never all with all.  Where that
-leaves a bucket in several components, small buckets compare what is left
-between components; the texts of large ones are signed again with fresh,
-more selective bands, until no bucket holds two components that were never
-compared.  So the links that matter for the classes are found at every size.
+leaves a bucket in several components, the texts outside its largest one are
+compared with the rest in blocks of bounded size, which give links and no pairs.
+Where they are very many, the bucket's texts are signed again with fresh, more
+selective bands, until no bucket holds two components that were never compared.
+So the links that matter for the classes are found at every size.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from folia.llm._store import staged
 from folia.llm._text import WordHashes, batch, mapped, mix, plain_words, shingle_hashes
 from folia.llm.components import components
 
-#: Buckets of at most so many texts are compared pair by pair between components.
-SMALL = 16
+#: Where more texts than this stand outside a bucket's largest component, they are signed again.
+MANY = 4096
+#: Such texts and all texts of the bucket that one block compares.
+MINOR_BLOCK, OTHER_BLOCK = 64, 1024
 #: (bands, rows) by level: a pair at similarity 0.8 shares a bucket with probability over 0.999 at each.
-LEVELS = ((32, 7), (64, 10), (160, 14), (380, 18), (900, 22))
+LEVELS = ((24, 6), (64, 10), (160, 14), (380, 18), (900, 22))
 
 _STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -48,30 +51,28 @@ def dart_signature(elements: np.ndarray, weights: np.ndarray, k: int, seed: int
     share = np.minimum(weights[who] - place, 1.0)
     bound = k * (np.log(k) + 2.0) / max(float(weights.sum()), 1e-9)
     while True:
-        live, rank, coord, rank_of, darts = np.arange(len(base)), np.zeros(len(base)), [], [], []
-        j = np.uint64(0)
+        # the first darts of all cells at once, then more of the cells that go on
+        ahead = int(bound + 2 * np.sqrt(bound)) + 1
+        live, rank, number, found = np.arange(len(base)), np.zeros(len(base)), 0, []
         while len(live):
-            j += np.uint64(1)
-            with np.errstate(over="ignore"):
-                dart = mix(base[live] + j * _STEP)
-            rank = rank - np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53))
-            near = rank < bound
-            live, rank, dart = live[near], rank[near], dart[near]
-            if not len(live):
-                break
-            more = mix(dart)
-            under = (more >> np.uint64(40)).astype(np.float64) / (1 << 24) < share[live]
-            coord.append(((more & np.uint64(0xFFFFFFFF)) % np.uint64(k)).astype(np.int64)[under])
-            rank_of.append(rank[under])
-            darts.append(dart[under])
-        if coord:
-            c, r, d = np.concatenate(coord), np.concatenate(rank_of), np.concatenate(darts)
-            order = np.argsort(-r, kind="stable")  # the earliest is written last and stays
-            out, filled = np.zeros(k, dtype=np.uint64), np.zeros(k, dtype=bool)
-            out[c[order]] = d[order]
-            filled[c] = True
-            if filled.all():
-                return out
+            j = np.arange(number + 1, number + ahead + 1, dtype=np.uint64)[:, None]
+            dart = mix(base[live] + j * _STEP)
+            ranks = rank + np.cumsum(-np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53), axis=0)
+            at = np.flatnonzero(ranks.ravel() < bound)
+            found.append((ranks.ravel()[at], dart.ravel()[at], live[at % len(live)]))
+            go = ranks[-1] < bound
+            live, rank, number, ahead = live[go], ranks[-1][go], number + ahead, max(1, ahead // 2)
+        r, d, cell = (np.concatenate(x) for x in zip(*found, strict=True))
+        more = mix(d)
+        under = (more >> np.uint64(40)).astype(np.float64) * 2.0**-24 < share[cell]
+        r, d, more = r[under], d[under], more[under]
+        c = ((more & np.uint64(0xFFFFFFFF)) % np.uint64(k)).astype(np.int64)
+        order = np.argsort(-r, kind="stable")  # the earliest is written last and stays
+        out, filled = np.zeros(k, dtype=np.uint64), np.zeros(k, dtype=bool)
+        out[c[order]] = d[order]
+        filled[c] = True
+        if filled.all():
+            return out
         bound *= 2
 
 
@@ -121,8 +122,9 @@ def _signed(texts: DataFrame, level: int, n: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts are at least ``threshold`` similar, staged."""
-    rows = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a")
-    rows = rows.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    # texts grow with the corpus: one plan for every size, never a broadcast of them
+    rows = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    rows = rows.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b").select("a", "b", "text_a", "text_b")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -144,20 +146,53 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> D
     return staged(mapped(rows, run, "a bigint, b bigint"), "near-links")
 
 
-def _with_components(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("comp", F.col("uid"))
-    return members.join(labels, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, uid, comp, minor, n_minor, size of the buckets that hold two components or more, staged.
+
+    A bucket's largest component (of equals the least) is its major one; minor
+    are the texts outside it, of which the bucket has n_minor.
+    """
+    members = members.join(labels, "uid", "left").select("bucket", "uid", F.coalesce("comp", "uid").alias("comp"))
+    sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    major = sizes.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("comp")).alias("c"))).alias("m"), F.sum("n").alias("size"), F.count("*").alias("comps"))
+    major = staged(major.where("comps > 1").select("bucket", (-F.col("m.c")).alias("major"), (F.col("size") - F.col("m.n")).alias("n_minor"), "size"), "near-majors")
+    return staged(members.join(major, "bucket").select("bucket", "uid", "comp", (F.col("comp") != F.col("major")).alias("minor"), "n_minor", "size"), "near-mixed")
 
 
-def _unsettled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """bucket, uid, comp, size of the buckets that hold two components or more, staged."""
-    members = _with_components(members, labels)
-    mixed = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("bucket", "size")
-    return staged(members.join(mixed, "bucket").select("bucket", "uid", "comp", "size"), "near-unsettled")
+def _settled(mixed: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Links (a, b) between components of a bucket: its minor texts against all, in blocks, staged.
 
+    A block holds some MINOR_BLOCK minor texts and OTHER_BLOCK texts of a bucket,
+    whatever its size, and gives only the links that it finds, one for each text
+    and component.
+    """
+    place = lambda size, per, seed: F.pmod(F.xxhash64("uid", F.lit(seed)), F.ceil(size / per)).cast("int")
+    all_of = lambda size, per: F.sequence(F.lit(0), F.ceil(size / per).cast("int") - 1)
+    others = mixed.select("bucket", "uid", "comp", F.lit(False).alias("asks"), F.explode(all_of(F.col("n_minor"), MINOR_BLOCK)).alias("i"), place(F.col("size"), OTHER_BLOCK, 1).alias("j"))
+    asks = mixed.where("minor").select("bucket", "uid", "comp", F.lit(True).alias("asks"), place(F.col("n_minor"), MINOR_BLOCK, 2).alias("i"), F.explode(all_of(F.col("size"), OTHER_BLOCK)).alias("j"))
+    rows = others.unionByName(asks).join(texts.hint("merge"), "uid").select("bucket", "i", "j", "uid", "comp", "asks", "text")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, small: int = SMALL) -> DataFrame:
+    def block(table: pa.Table) -> pa.Table:
+        words, sets, ask, other = WordHashes(), {}, [], []
+        for uid, comp, asks, text in zip(*(table[c].to_pylist() for c in ("uid", "comp", "asks", "text")), strict=True):
+            if uid not in sets:
+                sets[uid] = weighted_set(words.of(plain_words(text)), n)
+            (ask if asks else other).append((uid, comp, int(sets[uid][1].sum())))
+        links = set()
+        for x, cx, wx in sorted(ask):
+            joined = {cx}
+            for y, cy, wy in sorted(other):
+                # sizes bound the similarity
+                if cy not in joined and min(wx, wy) >= threshold * max(wx, wy) and similarity(sets[x], sets[y]) >= threshold:
+                    joined.add(cy)
+                    links.add((min(x, y), max(x, y)))
+        return pa.table([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], schema=out)
+
+    return staged(rows.groupBy("bucket", "i", "j").applyInArrow(block, "a bigint, b bigint").distinct(), "near-links")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, many: int = MANY) -> DataFrame:
     """doc_id, fp, class_id of each row, staged; fp is the MD5 of the text.
 
     Rows with equal texts are one class (null counts as empty).  Texts of fewer
@@ -181,31 +216,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     level, labels, links, texts = 0, None, None, None
     entries = folded.select("uid", F.explode("bands").alias("bucket"))
     while True:
-        # every text of a bucket against its leader; the leader changes with the level
-        order = F.xxhash64("uid", F.lit(level)) if level else F.col("uid")
-        leaders = entries.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "uid")).getField("uid").alias("leader") if level else F.min("uid").alias("leader"), F.count("*").alias("size")).where("size > 1").select("bucket", "leader")
+        # every text of a bucket against its leader
+        leaders = entries.groupBy("bucket").agg(F.min("uid").alias("leader"), F.count("*").alias("size")).where("size > 1").select("bucket", "leader")
         members = staged(entries.join(leaders, "bucket").select("bucket", "uid", "leader"), "near-members")
-        pairs = members.where("uid <> leader").select(F.least("uid", "leader").alias("a"), F.greatest("uid", "leader").alias("b")).distinct()
-        if texts is None:
+        pairs = members.where("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct()
+        if level:  # texts of one component need no link
+            of = lambda c: labels.select(F.col("uid").alias(c), F.col("comp").alias("c" + c))
+            pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+        else:
             texts = _texts(rows, folded, members)
-        found = _verified(pairs, texts, n, threshold)
-        links = found if links is None else links.unionByName(found)
-        labels = staged(components(links), "near-labels")
-        left = _unsettled(members.select("bucket", "uid"), labels)
-        few = left.where(F.col("size") <= small)
-        x, y = few.select("bucket", F.col("uid").alias("a"), F.col("comp").alias("ca")), few.select("bucket", F.col("uid").alias("b"), F.col("comp").alias("cb"))
-        # at most small * small pairs a bucket
-        rest = x.join(y, "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
-        found = _verified(rest, texts, n, threshold)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = staged(components(links), "near-labels")
-        many = _unsettled(left.where(F.col("size") > small).select("bucket", "uid"), labels)
-        if many.isEmpty():
+        links, labels = _linked(links, labels, _verified(pairs, texts, n, threshold))
+        mixed = _mixed(members.select("bucket", "uid"), labels)
+        links, labels = _linked(links, labels, _settled(mixed.where(F.col("n_minor") <= many), texts, n, threshold))
+        left = mixed.where(F.col("n_minor") > many).select("uid").distinct()
+        if left.isEmpty():
             break
         level += 1
-        again = texts.join(many.select("uid").distinct(), "uid", "left_semi")
-        entries = staged(_signed(again, level, n), "near-entries")
+        entries = staged(_signed(texts.join(left, "uid", "left_semi"), level, n), "near-entries")
     # the least doc_id of each component, then of each text
     owner = labels.join(folded.select("uid", "rep"), "uid").groupBy("comp").agg(F.min("rep").alias("class_id"))
     named = folded.join(labels, "uid", "left").join(owner, "comp", "left").select("fp", F.coalesce("class_id", "rep").alias("class_id"), "n", "comp")
@@ -213,11 +240,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     return signed.select("doc_id", "fp").join(named, "fp", "left").select("doc_id", "fp", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def _linked(links: DataFrame | None, labels: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links with those found, and the components of all."""
+    if links is not None and found.isEmpty():
+        return links, labels
+    links = found if links is None else staged(links.unionByName(found), "near-links")
+    return links, staged(components(links), "near-labels")
+
+
 def _texts(rows: DataFrame, folded: DataFrame, members: DataFrame) -> DataFrame:
     """uid, text of the texts that share a bucket, staged: the only ones read again."""
     wanted = folded.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", "fp", F.col("rep").alias("doc_id"))
     wanted = staged(wanted, "near-wanted")
-    got = rows.alias("r").join(wanted.alias("w"), (F.col("r.fp") == F.col("w.fp")) & F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")))
+    got = rows.alias("r").join(wanted.alias("w").hint("merge"), (F.col("r.fp") == F.col("w.fp")) & F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")))
     return staged(got.select("w.uid", "r.text").groupBy("uid").agg(F.first("text").alias("text")), "near-compared")
 
 
