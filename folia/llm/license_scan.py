@@ -26,7 +26,7 @@ BANDS, SHINGLE, BLOCK = 16, 3, 4
 SIZES = {"short": 2, "long": 4}
 #: Templates of so many shingles at most lie whole in a short window wherever they begin.
 SHORT = (SIZES["short"] - 1) * BLOCK + 1
-_CONSTANTS = [random.Random(20240229 + j).getrandbits(63) for j in range(BANDS)]
+_CONSTANTS = [random.Random(20240229 + j).getrandbits(64) for j in range(BANDS)]
 
 # Notices and opening passages of public licenses.
 TEMPLATES = {
@@ -80,7 +80,8 @@ def with_shingles(rows: DataFrame, text_col: str, *keep: str) -> DataFrame:
 
 
 def _constants() -> Column:
-    return F.array(*(F.lit(c).cast("long") for c in _CONSTANTS))
+    # all 64 bits, as a signed number: the sign of a hash is a bit like the others
+    return F.array(*(F.lit(c - (1 << 64) if c >> 63 else c).cast("long") for c in _CONSTANTS))
 
 
 def with_block_minima(rows: DataFrame) -> DataFrame:
@@ -97,15 +98,15 @@ def _least_of_next(m: Column, step: int) -> Column:
     return F.zip_with(m, F.slice(m, F.lit(step + 1), F.size(m)), lambda x, y: F.least(x, y))
 
 
-def _hits(windows: str, size: str, values: list[int], wider: int) -> Column:
-    """(size, band, value) of the windows that have a value of a template's; the
+def _hits(windows: str, values: list[int], wider: int) -> Column:
+    """The shingles, once each, by which windows have a value of a template's; the
     windows are ``wider`` blocks longer than those of the column."""
 
     def of_band(m: Column, j: Column) -> Column:
         least = _least_of_next(m, wider) if wider else m
-        return F.transform(F.filter(least, lambda x: x.isin(values)), lambda x: F.struct(F.lit(size).alias("size"), j.cast("int").alias("band"), x.alias("value")))
+        return F.transform(F.array_distinct(F.filter(least, lambda x: x.isin(values))), lambda x: x.bitwiseXOR(F.get(_constants(), j)))
 
-    return F.flatten(F.transform(windows, of_band))
+    return F.array_distinct(F.flatten(F.transform(windows, of_band)))
 
 
 def template_bands(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -124,8 +125,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     """doc_id, license, containment, first_word of the templates found in each document.
 
     containment is the share of the template's distinct shingles that lie around
-    the shingle that retrieved it (a little over the template's length to either side);
-    of several places the best counts, the first of equals.  Null and empty texts
+    a place of the shingle that retrieved it (a little over the template's length to
+    either side); of several places the best counts, the first of equals.  Null and empty texts
     hold nothing.  Rows with equal doc_id count as one document.  The templates
     are a parameter that the caller holds in memory, which bounds their broadcast.
     """
@@ -135,18 +136,20 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         raise ValueError(f"templates need {SHINGLE} words: {short}")
     bands = template_bands(spark, templates)
     rows = bands.collect()
-    known = spark.createDataFrame(rows, bands.schema).withColumnsRenamed({"band": "t_band", "value": "t_value", "size": "t_size"})
+    # a template by each shingle that is the least of a window of it in some band
+    known = spark.createDataFrame(rows, bands.schema).select("name", "template", F.col("size").alias("t_size"), F.col("value").bitwiseXOR(F.get(_constants(), F.col("band"))).alias("t_shingle"))
+    known = known.dropDuplicates(["name", "t_size", "t_shingle"])
     text = with_shingles(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "doc_id")
     text = with_block_minima(text)
     text = text.select("doc_id", "h", F.transform("minima", lambda m: _least_of_next(m, 1)).alias("two"))
-    hits = F.concat(*(_hits("two", size, sorted({r["value"] for r in rows if r["size"] == size}), wider) for size, wider in (("short", 0), ("long", 2))))
+    hits = F.concat(*(F.transform(_hits("two", sorted({r["value"] for r in rows if r["size"] == size}), wider), lambda x: F.struct(F.lit(size).alias("size"), x.alias("shingle"))) for size, wider in (("short", 0), ("long", 2))))
     # outer: a filter on the array itself would be pushed below and compute it all again
     found = text.withColumn("hits", hits).select("doc_id", "h", F.explode_outer("hits").alias("hit")).select("doc_id", "h", "hit.*")
-    found = found.join(F.broadcast(known), (F.col("size") == F.col("t_size")) & (F.col("band") == F.col("t_band")) & (F.col("value") == F.col("t_value")))
-    # the value names the shingle that both share; the template lies around it
-    at = F.array_position("h", F.col("value").bitwiseXOR(F.get(_constants(), F.col("band")))).cast("int") - 1
+    found = found.join(F.broadcast(known), (F.col("size") == F.col("t_size")) & (F.col("shingle") == F.col("t_shingle")))
+    # the template lies around one of the places of the shingle that both share
+    places = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.get("h", i) == F.col("shingle"))
     around = F.size("template") + SIZES["long"] * BLOCK
-    found = found.select("doc_id", "name", "template", F.greatest(F.lit(0), at - around).alias("start"), (at + around).alias("end"), "h")
+    found = found.select("doc_id", "name", "template", "h", F.explode(places).alias("at")).select("doc_id", "name", "template", F.greatest(F.lit(0), F.col("at") - around).alias("start"), (F.col("at") + around).alias("end"), "h")
     found = found.select("doc_id", "name", "template", "start", F.slice("h", F.col("start") + 1, F.col("end") - F.col("start")).alias("near")).distinct()
     distinct = F.array_distinct("template")
     found = found.select("doc_id", "name", (F.size(F.array_intersect(distinct, F.col("near"))) / F.size(distinct)).alias("containment"), "near", "start", "template")

@@ -127,6 +127,23 @@ def test_license_scan(spark, frame):
         license_scan.scan(frame([]), {"x": "too short"})
 
 
+def test_license_behind_an_earlier_mention(spark, frame):
+    filler = " ".join(f"filler{i}" for i in range(60))
+    early = {"mit-notice": "under the MIT terms", "apache-2.0-notice": "licensed under the Apache rules", "gpl-3.0-notice": "the GNU General Public spirit"}
+    docs = [(k, f"{prose(9)} {mention} {filler} {mention} {filler} {license_scan.TEMPLATES[name]} {filler}") for k, (name, mention) in enumerate(early.items())]
+    got = {(r.doc_id, r.license): r for r in license_scan.scan(frame(docs)).collect()}
+    for k, (name, mention) in enumerate(early.items()):
+        assert got[k, name].containment == 1.0
+        assert got[k, name].first_word == 9 + 2 * (len(mention.split()) + 60)
+
+
+def test_license_bands_use_all_shingles(spark):
+    """A shingle with a negative hash wins no more bands than others."""
+    rows = license_scan.template_bands(spark, {"mit-notice": license_scan.TEMPLATES["mit-notice"]}).collect()
+    constants = spark.range(1).select(license_scan._constants().alias("c")).first().c
+    assert len({r.value ^ constants[r.band] for r in rows}) > 1
+
+
 def test_license_scan_plan_has_no_python(spark, frame):
     plan = license_scan.scan(frame(ODD))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
