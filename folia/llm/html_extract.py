@@ -1,23 +1,27 @@
-"""Main text of web pages: page structure first, then a host suffix array.
-
-Each page is cut into blocks.  Structure decides most of them: blocks inside
-an article or main element are text, blocks inside menus, footers, adverts and
-the like are boilerplate.  What structure leaves open is decided by repetition:
-the token streams of all blocks that aren't article text are concatenated, a
-suffix array (prefix doubling up to ``min_tokens``) groups the suffixes that
-share a long prefix, and groups that hold distinct pages of one host mark the
-substrings they cover as boilerplate; open blocks keep their unique runs.
-
-The array is built over chunks, and groups are merged across chunks by host and
-prefix, which finds the same repeated substrings as one array per host would
-but never needs a host's pages in one task.  Article blocks are never removed
-for being repeated: whole articles have copies.
+"""Main text of web pages: page structure, then a host suffix array.
+
+Each page is cut into blocks.  Blocks inside menus, footers, adverts and the
+like are boilerplate, blocks inside an article or main element are text, and
+all others are open.  What repeats is found over all blocks: their token
+streams are concatenated, a suffix array (prefix doubling up to ``min_tokens``)
+groups the suffixes that share a long prefix, and groups that hold distinct
+pages of one host mark the substrings they cover.  Article and open blocks keep
+their unique runs; an article at least half of which is repeated is a copy and
+stays whole.
+
+The array is built over chunks of pages.  A chunk's grams are dealt by hash, the
+repeated ones come back as one file per chunk in the shared folder, and workers
+look them up there: the same repeated substrings as one array per host would
+find, but a host's pages are never needed in one task.
 """
 
 from __future__ import annotations
 
 import html as _html
+import pickle
 import re
+import tempfile
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm._store import staged
-from folia.llm._text import batch, mapped, mix
+from folia.llm._store import filesystem, new_folder, publish, staged
+from folia.llm._text import WordHashes, batch, mapped, mix
 
 # Element and attribute names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +50,8 @@ _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?"
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 MAIN, OPEN, DROP = 1, 0, -1
+#: Input bytes for each part that grams are dealt to, and the least number of parts.
+PART_BYTES, LEAST_PARTS = 16 << 20, 16
 
 
 def _tag_end(s: str, at: int) -> int:
@@ -92,21 +98,19 @@ def _kind(tag: str, attrs: str, above: int) -> int:
     return MAIN if tag in ("article", "main") else above
 
 
-def blocks(html: str | None) -> list[tuple[int, str, int]]:
-    """(kind, text, characters of it inside links) of each block in page order."""
+def blocks(html: str | None) -> list[tuple[int, str]]:
+    """(kind, text) of each block in page order."""
     s = html or ""
-    out: list[tuple[int, str, int]] = []
+    out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
-    kind, buf, linked, in_link, i, n = OPEN, [], 0, 0, 0, len(s)
+    kind, buf, i, n = OPEN, [], 0, len(s)
 
     def flush() -> None:
-        nonlocal linked
         if buf:
             text = " ".join(_html.unescape("".join(buf)).split())
             if text:
-                out.append((kind, text, linked))
+                out.append((kind, text))
             buf.clear()
-        linked = 0
 
     while i < n:
         lt = s.find("<", i)
@@ -114,7 +118,6 @@ def blocks(html: str | None) -> list[tuple[int, str, int]]:
             lt = n
         if lt > i:
             buf.append(s[i:lt])
-            linked += in_link and lt - i
         if lt >= n:
             break
         if s.startswith("<!--", lt):
@@ -140,8 +143,6 @@ def blocks(html: str | None) -> list[tuple[int, str, int]]:
             if any(t == tag for t, _ in stack):
                 while stack:
                     t, _ = stack.pop()
-                    if t == "a":
-                        in_link = max(0, in_link - 1)
                     if t == tag:
                         break
                 kind = stack[-1][1] if stack else OPEN
@@ -160,7 +161,6 @@ def blocks(html: str | None) -> list[tuple[int, str, int]]:
             at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or stack[k][0] in BLOCKS), -1)
             if at >= 0 and stack[at][0] == "p":
                 del stack[at:]
-                in_link = sum(t == "a" for t, _ in stack)
                 kind = stack[-1][1] if stack else OPEN
         elif tag in ("br", "wbr"):
             buf.append(" " if tag == "br" else "")
@@ -170,7 +170,6 @@ def blocks(html: str | None) -> list[tuple[int, str, int]]:
         if below != kind and tag not in BLOCKS and buf:
             flush()
         stack.append((tag, below))
-        in_link += tag == "a"
         kind = below
     flush()
     return out
@@ -205,45 +204,54 @@ def same_prefix_groups(tokens: np.ndarray, page: np.ndarray, depth: int) -> np.n
     return np.where(whole, rank, -1)
 
 
-PARSED = pa.schema([("key", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("done", pa.string()), ("kinds", pa.list_(pa.int8())), ("texts", pa.list_(pa.string())), ("linked", pa.list_(pa.int64()))])
+PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("chunk", pa.int64()), ("kinds", pa.list_(pa.int8())), ("texts", pa.list_(pa.string()))])
 
 
-def parse_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """key (a row's own number), page_id, url, host; ``done`` is the final text where
-    structure settles the page; kinds, texts, linked keep the blocks that may matter."""
+def parse_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str, chunk_tokens: int) -> DataFrame:
+    """page_id, url, host, the number of the page's chunk, and its blocks (kinds, texts)."""
 
     def run(batches):
-        key = TaskContext.get().partitionId() << 40
+        chunk, held = TaskContext.get().partitionId() << 32, 0
         for b in batches:
             rows = []
             for page, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 got = blocks(html)
-                settled = not any(k == OPEN for k, _, _ in got)
-                done = "\n".join(t for k, t, _ in got if k == MAIN) if settled else None
-                rest = [x for x in got if x[0] != MAIN] if settled else got
-                rows.append((key, page, url, host_of(url), done, *([x[j] for x in rest] for j in (0, 1, 2))))
-                key += 1
+                rows.append((page, url, host_of(url), chunk, [k for k, _ in got], [t for _, t in got]))
+                held += sum(len(t.split()) for _, t in got)
+                if held >= chunk_tokens:
+                    chunk, held = chunk + 1, 0
             yield batch(PARSED, *zip(*rows, strict=True))
 
     picked = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return mapped(picked, run, "key bigint, page_id bigint, url string, host string, done string, kinds array<tinyint>, texts array<string>, linked array<bigint>")
+    return mapped(picked, run, "page_id bigint, url string, host string, chunk bigint, kinds array<tinyint>, texts array<string>")
+
+
+def _stream(words: WordHashes, host: str, texts: list[str]) -> np.ndarray:
+    """Tokens of a page; hosts keep apart: equal words of two hosts are different tokens."""
+    return words.of([w for t in texts for w in t.split()]) ^ np.uint64(xxhash.xxh3_64_intdigest(host))
+
+
+BLOBS = pa.schema([("part", pa.int64()), ("data", pa.binary())])
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Sorted numbers as differences, byte by byte of all, so that they compress."""
+    return np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _stream(kinds, texts) -> list[str]:
-    return [w for k, t in zip(kinds, texts, strict=True) if k != MAIN for w in t.split()]
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def repeats(parsed: DataFrame, min_tokens: int, chunk_tokens: int) -> DataFrame:
-    """host, gram: the substrings of ``min_tokens`` tokens that distinct pages of a host share."""
-    out = pa.schema([("host", pa.string()), ("gram", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+def repeats(parsed: DataFrame, min_tokens: int, parts: int) -> str:
+    """The folder with a file for each chunk that has some: the sorted hashes of its
+    substrings of ``min_tokens`` tokens that distinct pages of a host share."""
+    folder = new_folder(parsed.sparkSession, "html-repeats")
 
-    def groups(part: list[tuple[int, str, list[str]]]):
-        toks = [w for _, _, s in part for w in s]
-        page = np.repeat(np.arange(len(part)), [len(s) for _, _, s in part])
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, toks), dtype=np.uint64, count=len(toks))
-        # hosts keep apart: equal words of two hosts are different tokens
-        salt = np.array([xxhash.xxh3_64_intdigest(h) for _, h, _ in part], dtype=np.uint64)
-        group = same_prefix_groups(hashes ^ salt[page], page, min_tokens)
+    def groups(chunk: int, streams: list[np.ndarray]):
+        tokens = np.concatenate(streams)
+        page = np.repeat(np.arange(len(streams)), [len(s) for s in streams])
+        group = same_prefix_groups(tokens, page, min_tokens)
         at = np.flatnonzero(group >= 0)
         if not len(at):
             return None
@@ -251,27 +259,66 @@ def repeats(parsed: DataFrame, min_tokens: int, chunk_tokens: int) -> DataFrame:
         g = group[order]
         first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         last = np.concatenate([first[1:], [len(g)]]) - 1
-        keys = np.array([k for k, _, _ in part], dtype=np.int64)[page]
-        gram = gram_hashes(hashes, min_tokens)[order[first]]
-        low, high = np.minimum.reduceat(keys[order], first), np.maximum.reduceat(keys[order], first)
-        return batch(out, [part[p][1] for p in page[order[first]]], gram.view(np.int64), low, high)
+        shared = page[order[first]] < page[order[last]]
+        gram = gram_hashes(tokens, min_tokens)[order[first]]
+        by = np.argsort(gram)
+        gram, shared = gram[by], shared[by]
+        part = ((gram >> np.uint64(13)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        have = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
+        data = []
+        for p in have:
+            rows = order[cut[p] : cut[p + 1]]
+            data.append(pickle.dumps((chunk, _packed(gram[rows]), np.packbits(shared[rows]).tobytes()), protocol=5))
+        return batch(BLOBS, have, data)
 
     def run(batches):
-        part, held = [], 0
+        words, now, part = WordHashes(500_000), None, []
         for b in batches:
-            for key, host, kinds, texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = _stream(kinds, texts)
-                part.append((key, host, s))
-                held += len(s)
-                if held >= chunk_tokens:
-                    if (x := groups(part)) is not None:
+            for host, chunk, texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if chunk != now and part:
+                    if (x := groups(now, part)) is not None:
                         yield x
-                    part, held = [], 0
-        if part and (x := groups(part)) is not None:
+                    part = []
+                now = chunk
+                part.append(_stream(words, host, texts))
+        if part and (x := groups(now, part)) is not None:
             yield x
 
-    got = mapped(parsed.select("key", "host", "kinds", "texts"), run, "host string, gram bigint, low bigint, high bigint")
-    return got.groupBy("host", "gram").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("host", "gram")
+    def merge(table: pa.Table) -> pa.Table:
+        """A gram of two blobs is in two pages: chunks, and what tasks read of one, have no page in common."""
+        blobs = [pickle.loads(x) for x in table["data"].to_pylist()]
+        grams = [_unpacked(g) for _, g, _ in blobs]
+        shared = [np.unpackbits(np.frombuffer(m, dtype=np.uint8), count=len(g)).astype(bool) for g, (_, _, m) in zip(grams, blobs, strict=True)]
+        everything = np.sort(np.concatenate(grams))
+        again = np.unique(np.concatenate([everything[1:][everything[1:] == everything[:-1]], *(g[m] for g, m in zip(grams, shared, strict=True))]))
+        out = [(chunk, np.intersect1d(g, again).tobytes()) for (chunk, _, _), g in zip(blobs, grams, strict=True)]
+        out = [x for x in out if x[1]]
+        return pa.table([[c for c, _ in out], [d for _, d in out]], schema=pa.schema([("chunk", pa.int64()), ("data", pa.binary())]))
+
+    def save(table: pa.Table) -> pa.Table:
+        chunk = table["chunk"][0].as_py()
+        with tempfile.NamedTemporaryFile() as f:
+            f.write(np.unique(np.frombuffer(b"".join(table["data"].to_pylist()), dtype=np.uint64)).tobytes())
+            f.flush()
+            publish(folder, str(chunk), f.name)
+        return pa.table([[chunk]], schema=pa.schema([("chunk", pa.int64())]))
+
+    blobs = parsed.select("host", "chunk", "texts").mapInArrow(run, "part bigint, data binary")
+    blobs.groupBy("part").applyInArrow(merge, "chunk bigint, data binary").groupBy("chunk").applyInArrow(save, "chunk bigint").count()
+    return folder
+
+
+@lru_cache(maxsize=4)
+def _repeated(folder: str, chunk: int) -> np.ndarray:
+    from pyarrow import fs as pafs
+
+    fs, base = filesystem(folder)
+    if fs.get_file_info(f"{base}/{chunk}").type != pafs.FileType.File:
+        return np.empty(0, dtype=np.uint64)
+    with fs.open_input_file(f"{base}/{chunk}") as f:
+        return np.frombuffer(f.read(), dtype=np.uint64)
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -286,33 +333,27 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def settle(kinds: list[int], texts: list[str], linked: list[int], starts: list[int], min_tokens: int) -> str:
-    """The text of a page with open blocks, given the places of repeated substrings in its stream."""
-    total = sum(len(t.split()) for k, t in zip(kinds, texts, strict=True) if k != MAIN)
+def settle(kinds: list[int], texts: list[str], starts: list[int], min_tokens: int) -> str:
+    """The text of a page, given the places of repeated substrings in its stream."""
+    words = [t.split() for t in texts]
+    total = sum(map(len, words))
     cover = np.zeros(total + 1, dtype=np.int64)
-    for s in starts:
-        cover[s] += 1
-        cover[min(s + min_tokens, total)] -= 1
-    covered = np.cumsum(cover)[:total] > 0
-    at, out, spare = 0, [], []
-    has_main = any(k == MAIN for k in kinds)
-    for k, t, n_linked in zip(kinds, texts, linked, strict=True):
-        if k == MAIN:
-            out.append(t)
+    np.add.at(cover, starts, 1)
+    np.add.at(cover, np.minimum(np.asarray(starts, dtype=np.int64) + min_tokens, total), -1)
+    covered = np.split(np.cumsum(cover)[:total] > 0, np.cumsum([len(w) for w in words])[:-1]) if words else []
+    article = [c for k, c in zip(kinds, covered, strict=True) if k == MAIN]
+    # most of an article isn't boilerplate: it is a copy
+    copy = 2 * sum(int(c.sum()) for c in article) >= sum(map(len, article))
+    out, spare = [], []
+    for k, t, w, c in zip(kinds, texts, words, covered, strict=True):
+        if k == DROP:
             continue
-        words = t.split()
-        c = covered[at : at + len(words)]
-        at += len(words)
-        if k == DROP or 2 * n_linked > len(t):
-            continue
-        if has_main:
-            continue  # what lies outside the article isn't article text
-        if not c.any():
+        if k == MAIN and copy or not c.any():
             out.append(t)
-        elif c.all() or 2 * c.sum() >= len(words) and len(words) - c.sum() < min_tokens:
+        elif c.all():
             spare.append(t)
         else:
-            out.append(" ".join(w for w, x in zip(words, c, strict=True) if not x))
+            out.append(" ".join(x for x, y in zip(w, c, strict=True) if not y))
     return "\n".join(out if out else spare)
 
 
@@ -323,30 +364,23 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Repeated rows each give a row.  A page all of whose open text is repeated
     elsewhere keeps it: it is a copy, not boilerplate.
     """
-    parsed = staged(parse_pages(pages, id_col, url_col, html_col), "html-parsed")
-    again = staged(repeats(parsed, min_tokens, chunk_tokens), "html-repeats")
-    grams = pa.schema([("key", pa.int64()), ("host", pa.string()), ("gram", pa.int64()), ("start", pa.int64())])
-
-    def run(batches):
-        for b in batches:
-            for key, host, kinds, texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = _stream(kinds, texts)
-                if len(s) >= min_tokens:
-                    h = np.fromiter(map(xxhash.xxh3_64_intdigest, s), dtype=np.uint64, count=len(s))
-                    g = gram_hashes(h, min_tokens)[: len(s) - min_tokens + 1].view(np.int64)
-                    yield batch(grams, [key] * len(g), [host] * len(g), g, np.arange(len(g)))
-
-    open_pages = parsed.where("done is null")
-    places = mapped(open_pages.select("key", "host", "kinds", "texts"), run, "key bigint, host string, gram bigint, start bigint")
-    places = places.join(again, ["host", "gram"], "left_semi").groupBy("key").agg(F.collect_list("start").alias("starts"))
+    # the planner's estimate; without one it is huge and LEAST_PARTS holds
+    size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(LEAST_PARTS, (size if size < 1 << 60 else 0) // PART_BYTES)
+    parsed = staged(parse_pages(pages, id_col, url_col, html_col, chunk_tokens), "html-parsed")
+    folder = repeats(parsed, min_tokens, parts)
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("text", pa.string()), ("n_boilerplate", pa.int64())])
 
     def finish(batches):
+        words = WordHashes(500_000)
         for b in batches:
-            rows = [(p, u, h, settle(k, t, n, s or [], min_tokens), sum(x == DROP for x in k)) for p, u, h, k, t, n, s in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            rows = []
+            for page, url, host, chunk, kinds, texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s, again = _stream(words, host, texts), _repeated(folder, chunk)
+                g = gram_hashes(s, min_tokens)[: max(0, len(s) - min_tokens + 1)]
+                at = np.flatnonzero(again[np.minimum(np.searchsorted(again, g), len(again) - 1)] == g) if len(again) else []
+                rows.append((page, url, host, settle(kinds, texts, at, min_tokens), sum(k == DROP for k in kinds)))
             yield batch(out, *zip(*rows, strict=True))
 
-    late = mapped(open_pages.join(places, "key", "left").select("page_id", "url", "host", "kinds", "texts", "linked", "starts"), finish, "page_id bigint, url string, host string, text string, n_boilerplate bigint")
-    soon = parsed.where("done is not null").select("page_id", "url", "host", F.col("done").alias("text"), F.size("kinds").cast("long").alias("n_boilerplate"))
-    both = soon.unionByName(late)
+    both = mapped(parsed, finish, "page_id bigint, url string, host string, text string, n_boilerplate bigint")
     return both.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "host", "n_boilerplate")

@@ -193,6 +193,19 @@ def test_extraction(spark):
     assert html_extract.extract_main_text(pages(spark, [])).count() == 0
 
 
+def test_extraction_decides_by_repetition_in_and_beside_articles(spark):
+    share = "Please share this story with all your friends on every network you use"
+    own = [prose(40) for _ in range(4)]
+    copy = prose(50)
+    rows = [(i, "http://h.org/%d" % i, f"<body><article><p>{t}</p><p>{share}</p></article><div>{t.split()[0]} beside it</div></body>") for i, t in enumerate(own)]
+    rows += [(10 + i, "http://h.org/c%d" % i, f"<body><article><p>{copy}</p></article></body>") for i in range(2)]
+    rows += [(20, "http://other.org/", f"<article>{share}</article>")]
+    for chunk in (400_000, 60):  # repeated in a chunk and across chunks
+        got = {r.page_id: r.text for r in html_extract.extract_main_text(pages(spark, rows).repartition(2), chunk_tokens=chunk).collect()}
+        assert all(got[i] == f"{t}\n{t.split()[0]} beside it" for i, t in enumerate(own))
+        assert got[10] == got[11] == copy and got[20] == share
+
+
 def test_prefix_groups_equal_brute_force():
     for _ in range(50):
         sizes = [rng.randrange(0, 12) for _ in range(4)]
