@@ -49,7 +49,8 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
-MAIN, OPEN, DROP = 1, 0, -1
+#: WEAK: dropped for a name or a form only, which may be a wrapper of the whole page.
+MAIN, OPEN, DROP, WEAK = 1, 0, -1, -2
 #: Input bytes for each part that grams are dealt to, and the least number of parts.
 PART_BYTES, LEAST_PARTS = 16 << 20, 16
 
@@ -75,7 +76,7 @@ def _tag_end(s: str, at: int) -> int:
 def _kind(tag: str, attrs: str, above: int) -> int:
     """What an element makes of the text in it."""
     if above == DROP or tag in DROPPED:
-        return DROP
+        return WEAK if tag == "form" and above in (OPEN, WEAK) else DROP
     if tag == "header" and above != MAIN:
         return DROP
     if attrs:
@@ -83,23 +84,29 @@ def _kind(tag: str, attrs: str, above: int) -> int:
         for k, v in _ATTR.findall(attrs):
             got.setdefault(k.lower(), v.strip("\"'"))
         role = got.get("role", "").lower()
-        if role in NOT_TEXT_ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true":
+        if role in NOT_TEXT_ROLES and (role != "form" or above == MAIN) or "hidden" in got or got.get("aria-hidden", "").lower() == "true":
             return DROP
         if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", got.get("style", ""), re.I):
             return DROP
         if tag not in ("html", "body", "article", "main"):
             names = got.get("class", "") + " " + got.get("id", "")
-            if names.strip() and NOT_TEXT_NAMES & {x.lower() for x in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", names)}:
-                return DROP
+            if names.strip() and NOT_TEXT_NAMES & {x.lower() for x in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", names)} and role not in ("main", "article"):
+                return WEAK
         elif tag == "article" and NOT_TEXT_NAMES & {"comment", "comments", "reply", "related", "promo"} & set(re.split(r"[^a-z0-9]+", got.get("class", "").lower())):
             return DROP
         if role in ("main", "article"):
             return MAIN
+        if role == "form":
+            return WEAK
     return MAIN if tag in ("article", "main") else above
 
 
 def blocks(html: str | None) -> list[tuple[int, str]]:
-    """(kind, text) of each block in page order."""
+    """(kind, text) of each block in page order.
+
+    On pages without article text, blocks dropped for a wrapper's name or a form are
+    open if they hold most of the page's words.
+    """
     s = html or ""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
@@ -172,6 +179,10 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
         stack.append((tag, below))
         kind = below
     flush()
+    if any(k == WEAK for k, _ in out):
+        words = {x: sum(len(t.split()) for k, t in out if k == x) for x in (MAIN, OPEN, WEAK)}
+        as_ = OPEN if not words[MAIN] and words[WEAK] >= words[OPEN] else DROP
+        out = [(as_ if k == WEAK else k, t) for k, t in out]
     return out
 
 

@@ -193,6 +193,16 @@ def test_extraction(spark):
     assert html_extract.extract_main_text(pages(spark, [])).count() == 0
 
 
+def test_extraction_keeps_text_in_wrappers(spark):
+    t, menu = prose(40), "our menu of pages that every page of the host has in it"
+    rows = [(1, "a", f"<div id=page class='has-sidebar'><article><p>{t}</p></article></div>"), (2, "b", f"<form id=aspnetForm><div>{t}</div></form>"), (3, "c", f"<form><main><p>{t}</p><form>search</form></main></form>")]
+    rows += [(4, "d", f"<div class='header-fixed'><p>{t}</p><nav>x</nav></div>"), (5, "e", f"<article><p>{t}</p><div class=comments><p>{prose(80)}</p></div></article><div class=ad>buy</div>"), (6, "f", f"<p><a href=/>{t}</a></p>")]
+    rows += [(7 + i, "g", f"<div>{menu} own{i}</div>") for i in range(2)]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(pages(spark, rows)).collect()}
+    assert all(got[i] == t for i in range(1, 7))
+    assert got[7] == "own0" and got[8] == "own1"
+
+
 def test_extraction_decides_by_repetition_in_and_beside_articles(spark):
     share = "Please share this story with all your friends on every network you use"
     own = [prose(40) for _ in range(4)]
