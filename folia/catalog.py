@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folia.functions import formats, temporal, text
@@ -207,6 +207,17 @@ def markdown_elements(spark, sf):
     return rows.join(up, ["doc_id", "parent_ord"], "left").groupBy("doc_id", "element_type", "parent_type").agg(F.count("*").alias("n"))
 
 
+@query()
+def markdown_turns(spark, sf):
+    """All turns with their whole texts, each a document of its own; its SQL-checked sibling parses one-line turns only."""
+    same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    docs = _t(spark, sf, "conversations").select("conv_id", F.concat_ws("/", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.coalesce(F.col("turn").cast("string"), F.lit("")), F.row_number().over(same).cast("string")).alias("id"), "text")
+    rows = explode.explode_markdown(docs, "id")
+    up = rows.select("doc_id", F.col("ord").alias("parent_ord"), F.col("element_type").alias("parent_type"))
+    rows = rows.join(up, ["doc_id", "parent_ord"], "left").join(docs.select(F.col("id").alias("doc_id"), "conv_id"), "doc_id")
+    return rows.groupBy(F.col("conv_id").alias("doc_id"), "element_type", "parent_type").agg(F.count("*").alias("n"))
+
+
 @query("""select c_custkey as row_key, unnest([0, 1, 2]) as col, unnest(['c_name', 'c_nationkey', 'c_mktsegment']) as header, unnest([c_name, c_nationkey::varchar, c_mktsegment]) as value,
   unnest([c_name, case when c_nationkey < 24 then '[TIME] ' || c_nationkey else c_nationkey::varchar end, c_mktsegment]) as content_preview from customer""")
 def csv_cells(spark, sf):
