@@ -422,7 +422,16 @@ def child_lists(spark, sf):
 @query("with" + EL + """, c as (select doc_id, element_id, content_preview as p, lag(content_preview) over (partition by doc_id order by ord) as b, lead(content_preview) over (partition by doc_id order by ord) as a from el where element_type <> 'root' and content_preview <> '')
   select doc_id, element_id, concat_ws(chr(10) || chr(10), p, b, a) as text from c""")
 def element_context(spark, sf):
-    return trees.context(_elements(spark, sf)).select("doc_id", "element_id", "text")
+    return trees.context(_elements(spark, sf), text_col="content_preview").select("doc_id", "element_id", "text")
+
+
+@query("with" + EL + """, z as (select md5(doc_id || '|' || ord || '|' || element_type) as element_id, doc_id::varchar as doc_id, ord, content, regexp_split_to_array(trim(content, ' '), '\\s+') as ws from e where ord > 0),
+  t as (select doc_id, element_id, ord, case when len(ws) > 500 then array_to_string(ws[1:500], ' ') else content end as p from z),
+  c as (select doc_id, element_id, p, lag(p) over (partition by doc_id order by ord) as b, lead(p) over (partition by doc_id order by ord) as a from t)
+  select doc_id, element_id, concat_ws(chr(10) || chr(10), p, b, a) as text from c""")
+def element_context_whole(spark, sf):
+    """What is embedded: whole contents, where ``element_context`` shows previews."""
+    return trees.context(explode.with_ids(_paragraphs(spark, sf), whole=True)).select("doc_id", "element_id", "text")
 
 
 @query("""with l as (select c_custkey as s, c_custkey * 2 as t from customer union all select c_custkey, c_custkey + 7 from customer),

@@ -14,15 +14,15 @@ from folia.functions.text import EMAIL, URL, element_id, preview, word_count
 COLUMNS = ["doc_id", "ord", "element_type", "parent_ord", "content", "metadata"]
 
 
-def with_ids(rows: DataFrame) -> DataFrame:
-    """element_id, doc_id, element_type, parent_id, ord, content_preview, content_hash, metadata.
+def with_ids(rows: DataFrame, whole: bool = False) -> DataFrame:
+    """element_id, doc_id, element_type, parent_id, ord, content_preview, content_hash, metadata; with ``whole`` also content.
 
     Parents are looked up in the rows of the same document.
     """
     rows = rows.withColumn("element_id", element_id(F.col("doc_id"), F.col("ord"), F.col("element_type")))
     parents = rows.select("doc_id", F.col("ord").alias("parent_ord"), F.col("element_id").alias("parent_id"))
     got = rows.join(parents, ["doc_id", "parent_ord"], "left")
-    return got.select("element_id", F.col("doc_id").cast("string").alias("doc_id"), "element_type", "parent_id", "ord", preview(F.col("content")).alias("content_preview"), F.md5(F.coalesce("content", F.lit(""))).alias("content_hash"), "metadata")
+    return got.select("element_id", F.col("doc_id").cast("string").alias("doc_id"), "element_type", "parent_id", "ord", preview(F.col("content")).alias("content_preview"), F.md5(F.coalesce("content", F.lit(""))).alias("content_hash"), "metadata", *(["content"] if whole else []))
 
 
 def explode_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n\n", normalise: bool = False, min_length: int = 1) -> DataFrame:

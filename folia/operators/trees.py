@@ -43,18 +43,18 @@ def children(elements: DataFrame) -> DataFrame:
     return elements.where("parent_id is not null").groupBy("doc_id", "parent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "element_id"))), lambda x: x["element_id"]).alias("child_ids"))
 
 
-def context(elements: DataFrame, before: int = 1, after: int = 1, most_words: int = 500) -> DataFrame:
+def context(elements: DataFrame, before: int = 1, after: int = 1, most_words: int = 500, text_col: str = "content") -> DataFrame:
     """element_id, text: each element with its neighbours in document order, blank line between.
 
-    Neighbours are the nearest elements with text; a text over ``most_words`` words is cut.
+    Neighbours are the nearest elements with text; of each, a text over ``most_words`` words is cut.
     """
     from folia.functions.text import first_words
 
-    rows = elements.where("element_type <> 'root' and content_preview is not null and content_preview <> ''")
+    rows = elements.where((F.col("element_type") != "root") & (F.col(text_col) != "")).withColumn("_text", first_words(F.col(text_col), most_words))
     by = Window.partitionBy("doc_id").orderBy("ord")
-    ahead = F.collect_list("content_preview").over(by.rowsBetween(-before, -1)) if before else F.array().cast("array<string>")
-    behind = F.collect_list("content_preview").over(by.rowsBetween(1, after)) if after else F.array().cast("array<string>")
-    return rows.select("doc_id", "element_id", "ord", F.concat_ws("\n\n", first_words(F.col("content_preview"), most_words), ahead, behind).alias("text"))
+    ahead = F.collect_list("_text").over(by.rowsBetween(-before, -1)) if before else F.array().cast("array<string>")
+    behind = F.collect_list("_text").over(by.rowsBetween(1, after)) if after else F.array().cast("array<string>")
+    return rows.select("doc_id", "element_id", "ord", F.concat_ws("\n\n", "_text", ahead, behind).alias("text"))
 
 
 def sections(elements: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ class Engine:
             found = kept.join(todo.select("doc_id"), "doc_id", "left_anti").unionByName(found)
         store.swap(found, self.root, "relationships")
         if self.embed:
-            vectors = self.embed(trees.context(fresh).join(fresh.select("element_id", "element_pk"), "element_id").select("element_pk", "text"))
+            vectors = self.embed(trees.context(explode.with_ids(rows, whole=True)).join(fresh.select("element_id", "element_pk"), "element_id").select("element_pk", "text"))
             had = self.table("embeddings")
             if had is not None:
                 vectors = had.join(elements.select("element_pk"), "element_pk", "left_semi").join(fresh.select("element_pk"), "element_pk", "left_anti").unionByName(vectors)

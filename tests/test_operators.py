@@ -181,6 +181,20 @@ def test_engine_ingests_once_and_again(spark, tmp_path):
     assert e.table("elements").count() == 5 and e.table("documents").count() == 2
 
 
+def test_context_has_whole_contents(spark, tmp_path):
+    from folia.operators import trees
+    from folia.plans.engine import Engine
+
+    a, b, c = "a " * 300 + "end", "b " * 700 + "end", "short"
+    df = spark.createDataFrame([(1, "\n\n".join([a, b, c]))], "doc_id int, text string")
+    got = [r.text for r in trees.context(explode.with_ids(explode.explode_text(df), whole=True)).orderBy("ord").collect()]
+    cut = " ".join(["b"] * 500)
+    assert got == ["\n\n".join(x) for x in ([a, cut], [cut, a, c], [c, cut])]
+    e = Engine(spark, str(tmp_path), lambda rows: rows.select("element_pk", F.array(F.length("text").cast("float")).alias("embedding")))
+    e.ingest(spark.createDataFrame([("s", "text", "\n\n".join([a, b, c]))], "source_id string, doc_type string, content string"))
+    assert sorted(r.embedding[0] for r in e.table("embeddings").collect()) == sorted(float(len(x)) for x in got)
+
+
 def test_rectangles(spark):
     from folia.operators import geometry
 
