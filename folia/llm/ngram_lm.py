@@ -1,17 +1,20 @@
-"""Language-model scores from an interpolated modified Kneser-Ney bigram model.
+"""Language-model scores from an interpolated modified Kneser-Ney model of any order from 2.
 
-Counting: each task folds its documents' words and word pairs into arrays of
-(hash, count), dealt by hash, so frequent words and pairs travel once a task.
-A part merges its arrays, writes its pairs as one sorted hash array and passes
-on what each word needs to know (how many pairs it begins with count 1, 2, 3 or
-more; how many it ends); a second round merges that by word into sorted unigram
-arrays.  Both live in the shared folder as files of raw arrays.
+Counting: each task folds its documents' words and n-grams into arrays of
+(n-gram, count), dealt by hash, so frequent words and n-grams travel once a
+task.  A part merges its arrays, writes its n-grams as one sorted hash array and
+passes on what the next lower level needs to know: of each context how often it
+occurs and how many n-grams it begins with count 1, 2, 3 or more, and of each
+n-gram without its first word how many it ends.  A round per level merges that
+in the same way, down to the words.  All live in the shared folder as files of
+raw arrays.
 
 Scoring: workers map the files into memory and look up whole batches by binary
 search; documents are never shuffled.  The files have the same bytes whenever
 they are written, so a task that runs again does no harm.
 
-Of order 2 by design: every distinct pair of the corpus is kept, unpruned.
+Texts begin with order - 1 start marks.  Every distinct n-gram of the corpus is
+kept, unpruned.
 """
 
 from __future__ import annotations
@@ -38,8 +41,9 @@ FOLD_TOKENS = 4_000_000
 #: Input bytes for each part of the arrays, and the least number of parts.
 PART_BYTES, LEAST_PARTS = 4 << 20, 64
 
-PAIR = ("key", "count")
-WORD = ("key", "count", "ends", "one", "two", "more")
+TOP = ("key", "count")
+MIDDLE = ("key", "ends", "total", "one", "two", "more")
+WORD = ("key", "count", "ends", "total", "one", "two", "more")
 
 
 def held_out(id_col: str) -> Column:
@@ -60,6 +64,25 @@ def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(mix(v) ^ w)
 
 
+def gram_keys(columns: list[np.ndarray]) -> np.ndarray:
+    """A key for each n-gram, of its context's key and its last word."""
+    key = columns[0]
+    for c in columns[1:]:
+        key = pair_keys(key, c)
+    return key
+
+
+def before(t: np.ndarray, sizes: np.ndarray, order: int, start) -> list[np.ndarray]:
+    """The columns of the n-grams that end at each token, the tokens last."""
+    place = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = [t]
+    for k in range(1, order):
+        c = np.full_like(t, start)
+        c[k:] = np.where(place[k:] >= k, t[:-k], start)
+        out.insert(0, c)
+    return out
+
+
 def _summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     """Distinct keys in order, and the sums of the values of each."""
     if not len(keys):
@@ -87,35 +110,35 @@ BLOBS = pa.schema([("part", pa.int64()), ("data", pa.binary())])
 TALLY = pa.schema([("part", pa.int64()), ("what", pa.string()), ("n", pa.list_(pa.int64()))])
 
 
-def _count(batches, parts: int):
-    """Folded words and pairs of training texts as blobs by part."""
+def _named(columns: list[np.ndarray], part: np.ndarray, n: np.ndarray, parts: int):
+    """(part, pickled n-grams and numbers): a blob names each of its words once."""
+    by = np.lexsort((*columns[::-1], part))
+    part, n, columns = part[by], n[by], [c[by] for c in columns]
+    at = np.searchsorted(part, np.arange(parts + 1))
+    for p in np.flatnonzero(at[1:] > at[:-1]).tolist():
+        here = slice(at[p], at[p + 1])
+        words, i = np.unique(np.concatenate([c[here] for c in columns]), return_inverse=True)
+        yield p, pickle.dumps(("g", words, [_narrow(x) for x in np.split(i, len(columns))], _narrow(n[here])), protocol=5)
+
+
+def _count(batches, parts: int, order: int):
+    """Folded words and n-grams of training texts as blobs by part."""
     words, held, size = WordHashes(500_000), [], 0
 
     def fold():
         t = np.concatenate(held)
-        before = np.empty_like(t)
-        before[1:] = t[:-1]
-        before[np.cumsum([len(x) for x in held]) - [len(x) for x in held]] = START
         w, c = _summed(t, np.ones(len(t), dtype=np.int64))
         yield from _dealt("w", _part_of(w, parts), parts, [w, c.astype(np.uint32)])
         del w, c
-        keys = pair_keys(before, t)
-        order = np.argsort(keys)
-        k = keys[order]
+        columns = before(t, np.array([len(x) for x in held]), order, START)
+        keys = gram_keys(columns)
+        by = np.argsort(keys)
+        k = keys[by]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         n = np.diff(np.concatenate([first, [len(k)]]))
-        k, v, u = k[first], before[order[first]], t[order[first]]
-        del order, keys
-        # by first word, so that a blob names each of them once
-        by = np.lexsort((v, _part_of(k, parts)))
-        k, v, u, n = k[by], v[by], u[by], n[by]
-        part = _part_of(k, parts)
-        at = np.searchsorted(part, np.arange(parts + 1))
-        for p in np.flatnonzero(at[1:] > at[:-1]).tolist():
-            pv, pu, pn = v[at[p] : at[p + 1]], u[at[p] : at[p + 1]], n[at[p] : at[p + 1]]
-            new = np.flatnonzero(np.concatenate([[True], pv[1:] != pv[:-1]]))
-            runs = np.diff(np.concatenate([new, [len(pv)]]))
-            yield p, pickle.dumps(("p", pv[new], _narrow(runs), pu, _narrow(pn)), protocol=5)
+        k, columns = k[first], [c[by[first]] for c in columns]
+        del by, keys
+        yield from _named(columns, _part_of(k, parts), n, parts)
 
     def flushed():
         nonlocal held, size
@@ -161,37 +184,51 @@ def _levels(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _merge_pairs(folder: str, parts: int):
-    """Merges a part's blobs: writes its pair array, passes word statistics on."""
+def _merge_grams(folder: str, parts: int, level: int, top: bool):
+    """Merges a part's n-grams of ``level`` words: writes their array, passes on what the level below needs."""
 
     def merge(table: pa.Table) -> pa.Table:
-        part, words, pairs = table["part"][0].as_py(), [], []
+        part, words, grams, contexts = table["part"][0].as_py(), [], [], []
+        if part < 0:  # a higher level's counts of counts
+            return table.select(["part", "data"])
         for data in table["data"].to_pylist():
             kind, *columns = pickle.loads(data)
             if kind == "w":
                 words.append(columns)
+            elif kind == "c":
+                contexts.append(columns)
             else:
-                v, runs, u, n = columns
-                pairs.append((np.repeat(v, runs.astype(np.int64)), u, n.astype(np.int64)))
+                names, i, n = columns
+                grams.append((*(names[x] for x in i), n.astype(np.int64)))
         out: list[tuple[int, bytes]] = []
         if words:
             w, c = _summed(np.concatenate([x[0] for x in words]), np.concatenate([x[1] for x in words]).astype(np.int64))
             out.append((part, pickle.dumps(("w", w, _narrow(c)), protocol=5)))
-        if pairs:
-            v, u, n = (np.concatenate([x[i] for x in pairs]) for i in range(3))
-            del pairs
-            key = pair_keys(v, u)
-            order = np.argsort(key, kind="stable")
-            k = key[order]
+        k, n = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        if grams:
+            *columns, n = (np.concatenate([x[i] for x in grams]) for i in range(level + 1))
+            del grams
+            key = gram_keys(columns)
+            by = np.argsort(key, kind="stable")
+            k = key[by]
             first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            n = np.add.reduceat(n[order], first)
-            k, v, u = k[first], v[order[first]], u[order[first]]
-            _save(folder, f"pairs-{part}", [k, n])
-            out.append((-1, pickle.dumps(_levels(n), protocol=5)))
-            s = _summed(v, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
-            out += _dealt("v", _part_of(s[0], parts), parts, [s[0], *map(_narrow, s[1:])])
-            s = _summed(u, np.ones(len(u), dtype=np.int64))
-            out += _dealt("u", _part_of(s[0], parts), parts, [s[0], _narrow(s[1])])
+            n = np.add.reduceat(n[by], first)
+            k, columns = k[first], [c[by[first]] for c in columns]
+            out.append((-level, pickle.dumps(_levels(n), protocol=5)))
+            s = _summed(gram_keys(columns[:-1]), n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
+            out += _dealt("c", _part_of(s[0], parts), parts, [s[0], *map(_narrow, s[1:])])
+            rest = columns[1:]
+            key = gram_keys(rest)
+            by = np.argsort(key, kind="stable")
+            r = key[by]
+            first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+            out += _named([c[by[first]] for c in rest], _part_of(r[first], parts), np.diff(np.concatenate([first, [len(r)]])), parts)
+        if top and len(k):
+            _save(folder, f"{level}-{part}", [k, n])
+        elif not top and (len(k) or contexts):
+            none = np.zeros(len(k), dtype=np.int64)
+            contexts = [np.concatenate([x[i] for x in contexts]) for i in range(5)] if contexts else [np.empty(0, dtype=np.uint64)] * 5
+            _save(folder, f"{level}-{part}", _summed(np.concatenate([k, contexts[0]]), np.concatenate([n, np.zeros(len(contexts[0]), dtype=np.int64)]), *(np.concatenate([none, x.astype(np.int64)]) for x in contexts[1:])))
         return pa.table({"part": pa.array([p for p, _ in out], pa.int64()), "data": pa.array([d for _, d in out], pa.binary())})
 
     return merge
@@ -203,17 +240,19 @@ def _merge_words(folder: str):
     def merge(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
         blobs = [pickle.loads(x) for x in table["data"].to_pylist()]
-        if part < 0:  # the pairs' counts of counts
-            return pa.table([[part], ["pairs"], [np.sum(blobs, axis=0).tolist()]], schema=TALLY)
+        if part < 0:  # a level's counts of counts
+            return pa.table([[part], [f"level {-part}"], [np.sum(blobs, axis=0).tolist()]], schema=TALLY)
         columns: list[list[np.ndarray]] = [[] for _ in WORD]
         for kind, key, *v in blobs:
+            if kind == "g":
+                key, v = key[v[0][0]], v[1:]
             none = np.zeros(len(key), dtype=np.int64)
             v = [x.astype(np.int64) for x in v]
-            row = {"w": (v[0], none, none, none, none), "u": (none, v[0], none, none, none), "v": (none, none, *v)}[kind]
+            row = {"w": (*v[:1], *[none] * 5), "g": (none, *v[:1], *[none] * 4), "c": (none, none, *v)}[kind]
             for c, x in zip(columns, (key, *row), strict=True):
                 c.append(x)
-        key, count, ends, one, two, more = _summed(*map(np.concatenate, columns))
-        _save(folder, f"words-{part}", [key, count, ends, one, two, more])
+        key, count, ends, *context = _summed(*map(np.concatenate, columns))
+        _save(folder, f"1-{part}", [key, count, ends, *context])
         at = np.searchsorted(key, END)
         docs = int(count[at]) if at < len(key) and key[at] == END else 0
         tally = [int(count.sum()), int((count > 0).sum()), int(ends.sum()), docs, *_levels(ends), int((ends > 2).sum())]
@@ -238,11 +277,11 @@ class NgramModel:
     vocabulary: int
     docs: int
     pair_types: int
-    pair_off: tuple
+    gram_off: tuple  # what is taken off counts, of level 2 and up
     word_off: tuple
     word_left: float  # sum of what is taken off the words' ending counts
 
-    def _look(self, kind: str, fields, keys: np.ndarray) -> list[np.ndarray]:
+    def _look(self, level: int, fields, keys: np.ndarray) -> list[np.ndarray]:
         """The values of distinct sorted keys; 0 where a key isn't there."""
         out = [np.zeros(len(keys), dtype=np.float64) for _ in fields[1:]]
         part = _part_of(keys, self.parts)
@@ -250,7 +289,7 @@ class NgramModel:
         at = np.searchsorted(part[order], np.arange(self.parts + 1))
         for p in np.flatnonzero(at[1:] > at[:-1]).tolist():
             rows = order[at[p] : at[p + 1]]
-            have = _mapped_arrays(self.folder, f"{kind}-{p}", fields)
+            have = _mapped_arrays(self.folder, f"{level}-{p}", fields)
             if have is None:
                 continue
             i = np.minimum(np.searchsorted(have[0], keys[rows]), len(have[0]) - 1)
@@ -266,22 +305,25 @@ class NgramModel:
         starts = np.cumsum(sizes) - sizes
         words, w = np.unique(np.concatenate([[START], t]), return_inverse=True)
         start, w = w[0], w[1:]
-        v = np.empty_like(w)
-        v[1:] = w[:-1]
-        v[starts] = start
-        count, ends, one, two, more = self._look("words", WORD, words)
+        order = len(self.gram_off) + 1
+        columns = before(w, sizes, order, start)
+        count, ends, *context = self._look(1, WORD, words)
         base = np.log10((count + 0.5) / (self.n + 0.5 * (self.vocabulary + 1)))
         off, types = np.array(self.word_off), max(self.pair_types, 1)
         left = self.word_left / types if self.pair_types else 1.0
-        lower = np.maximum(ends - off[np.minimum(ends, 3).astype(int)], 0) / types + left / (self.vocabulary + 1)
-        seen = count.copy()
-        seen[start] = self.docs
-        pairs, at = np.unique(pair_keys(words[v], words[w]), return_inverse=True)
-        c = self._look("pairs", PAIR, pairs)[0][at]
-        off = np.array(self.pair_off)
-        gamma = (one * off[1] + two * off[2] + more * off[3]) / np.maximum(seen, 1)
-        gamma[seen == 0] = 1.0  # a word never seen says nothing about the next
-        p = np.maximum(c - off[np.minimum(c, 3).astype(int)], 0) / np.maximum(seen[v], 1) + gamma[v] * lower[w]
+        p = (np.maximum(ends - off[np.minimum(ends, 3).astype(int)], 0) / types + left / (self.vocabulary + 1))[w]
+        context = [x[columns[-2]] for x in context]
+        for level in range(2, order + 1):
+            off = np.array(self.gram_off[level - 2])
+            grams, at = np.unique(gram_keys([words[c] for c in columns[-level:]]), return_inverse=True)
+            c = self._look(level, TOP if level == order else MIDDLE, grams)[0][at]
+            total, one, two, more = context
+            gamma = (one * off[1] + two * off[2] + more * off[3]) / np.maximum(total, 1)
+            gamma[total == 0] = 1.0  # a context never seen says nothing about the next word
+            p = np.maximum(c - off[np.minimum(c, 3).astype(int)], 0) / np.maximum(total, 1) + gamma * p
+            if level < order:
+                grams, at = np.unique(gram_keys([words[c] for c in columns[-level - 1 : -1]]), return_inverse=True)
+                context = [x[at] for x in self._look(level, MIDDLE, grams)[1:]]
         add = lambda x: np.add.reduceat(x.astype(np.float64), starts)
         return [sizes, add(count[w] > 0).astype(np.int64), add(base[w]), add(np.log10(p))]
 
@@ -317,22 +359,25 @@ def _local_folder() -> str:
     return path
 
 
-def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None) -> NgramModel:
-    """Learns from all rows of ``docs``; null texts are empty (an end alone)."""
+def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None, order: int = 2) -> NgramModel:
+    """Learns n-grams of up to ``order`` words from all rows of ``docs``; null texts are empty (an end alone)."""
     folder = folder or new_folder(docs.sparkSession, "ngrams")
     # the planner's estimate, for files their size; without one it is huge and LEAST_PARTS holds
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     size = size if size < 1 << 60 else 0
     parts = max(LEAST_PARTS, size // PART_BYTES)
-    blobs = docs.select(F.col(text_col).alias("text")).mapInArrow(lambda b: _count(b, parts), "part bigint, data binary")
-    stats = blobs.groupBy("part").applyInArrow(_merge_pairs(folder, parts), "part bigint, data binary")
+    if order < 2:
+        raise ValueError(f"the order must be 2 at least: {order}")
+    stats = docs.select(F.col(text_col).alias("text")).mapInArrow(lambda b: _count(b, parts, order), "part bigint, data binary")
+    for level in range(order, 1, -1):
+        stats = stats.groupBy("part").applyInArrow(_merge_grams(folder, parts, level, level == order), "part bigint, data binary")
     tallies = stats.groupBy("part").applyInArrow(_merge_words(folder), "part bigint, what string, n array<bigint>")
-    # added up per kind: two rows, whatever the number of parts
+    # added up per kind: a row per level, whatever the number of parts
     total = {r.what: r.n for r in tallies.select("what", F.posexplode("n").alias("i", "x")).groupBy("what", "i").agg(F.sum("x").alias("x")).groupBy("what").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("n")).collect()}
     n, vocabulary, types, n_docs, *rest = total.get("words", [0] * 9)
     off = _discounts(rest[:4])
     left = float(np.dot(off[1:], [rest[0], rest[1], rest[4]]))
-    return NgramModel(folder, parts, n, vocabulary, n_docs, types, tuple(_discounts(total.get("pairs", [0] * 4))), tuple(off), left)
+    return NgramModel(folder, parts, n, vocabulary, n_docs, types, tuple(tuple(_discounts(total.get(f"level {k}", [0] * 4))) for k in range(2, order + 1)), tuple(off), left)
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

@@ -32,7 +32,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folia.llm.ngram_lm import fit, held_out, score
 
     docs = _table(spark, sf_dir, "documents")
-    return score(docs, fit(docs.where(~held_out("doc_id")))).drop("perplexity")
+    return score(docs, fit(docs.where(~held_out("doc_id")), order=3)).drop("perplexity")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

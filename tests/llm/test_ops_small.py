@@ -115,6 +115,49 @@ def test_language_model(spark, frame):
     assert ngram_lm.score(frame([(1, "a")]), empty).first().score == 0.0
 
 
+def brute_kn_of(order, train, docs):
+    """Probabilities by recursion over dictionaries of word tuples."""
+    tok = lambda t: (t or "").encode().lower().split() + [b"\n"]
+    counts = [Counter() for _ in range(order + 1)]
+    for t in map(tok, train):
+        x = [b"S"] * (order - 1) + t
+        counts[order].update(tuple(x[i : i + order]) for i in range(len(t)))
+    for k in range(order - 1, 0, -1):
+        counts[k].update(g[1:] for g in counts[k + 1])
+    vocabulary = len({w for t in train for w in tok(t)})
+    off = [None, *(ngram_lm._discounts([sum(x == j for x in c.values()) for j in (1, 2, 3, 4)]) for c in counts[1:])]
+
+    def p(g):
+        k = len(g)
+        after = {h: c for h, c in counts[k].items() if h[:-1] == g[:-1]}
+        total, taken = sum(after.values()), sum(off[k][min(c, 3)] for c in after.values())
+        if k == 1:
+            own = max(after.get(g, 0) - off[1][min(after.get(g, 0), 3)], 0) / max(total, 1)
+            return own + (taken / total if total else 1.0) / (vocabulary + 1)
+        return p(g[1:]) if not total else max(after.get(g, 0) - off[k][min(after.get(g, 0), 3)], 0) / total + taken / total * p(g[1:])
+
+    return [sum(math.log10(p(tuple(([b"S"] * (order - 1) + t)[i : i + order]))) for i in range(len(t))) for t in map(tok, docs)]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_of_any_order(spark, frame, order):
+    r = random.Random(5)
+    docs = [(i, " ".join(r.choice("abcdeF") for _ in range(r.randint(0, 25)))) for i in range(30)] + [(40, None), (41, "a b zzz a b c")]
+    train, df = docs[:20], frame(docs)
+    model = ngram_lm.fit(frame(train).repartition(3), order=order)
+    want = dict(zip([i for i, _ in docs], brute_kn_of(order, [t for _, t in train], [t for _, t in docs]), strict=True))
+    assert {x.doc_id: round(x.score, 6) for x in ngram_lm.score(df, model).collect()} == {i: round(x, 6) for i, x in want.items()}
+
+
+def test_language_model_in_production_has_trigrams(spark, tmp_path, monkeypatch):
+    from folia.llm import queries
+
+    seen, fit = [], ngram_lm.fit
+    monkeypatch.setattr(ngram_lm, "fit", lambda *a, **b: seen.append(b.get("order", 2)) or fit(*a, **b))
+    spark.createDataFrame([(i, "a b c") for i in range(5)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries.op3_lm_scoring(spark, str(tmp_path)).count() == 5 and min(seen) >= 3
+
+
 def test_license_scan(spark, frame):
     mit = license_scan.TEMPLATES["mit"].replace("\n", " ")
     docs = ODD + [(10, prose(50) + "\nReleased under the MIT license\n" + prose(50)), (11, prose(30) + " " + mit + " " + prose(30)), (12, mit.replace("software", "thing", 1)), (13, "licensed under the"), (14, prose(200))]
