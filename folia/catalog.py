@@ -383,6 +383,17 @@ def hybrid_rank(spark, sf):
     return _rounded(search.hybrid_rank(t, s.where("element_pk % 2 = 0"), 20), "score")
 
 
+@query("with" + SC + """, d as (select doc_id, max(len(string_split(text, ' the ')) - 1) as n from documents group by doc_id),
+  t as (select element_pk, least(n, 10)::double as t from sc join d on sc.doc_id = d.doc_id where n > 0), v as (select element_pk, score as v from sc)
+  select element_pk, round(s, 6) as score from (select coalesce(t.element_pk, v.element_pk) as element_pk, 0.3 * coalesce(t, 0) / 10 + 0.7 * coalesce(v, 0) as s from t full join v on t.element_pk = v.element_pk) order by s desc, element_pk limit 20""")
+def hybrid_rank_whole(spark, sf):
+    """All vectors, with text hits of the documents that hold a word; ``hybrid_rank`` merges two made-up hit lists."""
+    s = _scored(spark, sf)
+    n = _t(spark, sf, "documents").groupBy("doc_id").agg(F.max(F.size(F.split("text", " the ", -1)) - 1).alias("n")).where("n > 0")
+    t = s.join(n, "doc_id").select("element_pk", F.least("n", F.lit(10)).cast("double").alias("score"))
+    return _rounded(search.hybrid_rank(t, s, 20), "score")
+
+
 @query("with" + SC + "select doc_id, arg_max(element_pk, round(score, 12)) as element_pk, round(max(score), 6) as score from sc group by doc_id")
 def best_per_document(spark, sf):
     return _rounded(search.best_per_document(_scored(spark, sf)), "score")

@@ -46,6 +46,10 @@ def test_flagship_pushes_its_filter_down(spark):
     assert "In(label" in plan and "TakeOrderedAndProject" in plan
 
 
+def test_hybrid_rank_leaves_no_vector_out(spark):
+    assert any(r.element_pk % 6 in (1, 5) for r in catalog.queries()["hybrid_rank_whole"](spark, SF).collect())
+
+
 def brute_markdown(text):
     """(element_type, parent_type) of the blocks of a text."""
     out, headers, code, last = [("root", None)], [], False, None
