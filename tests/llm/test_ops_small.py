@@ -361,6 +361,20 @@ def test_decontamination(spark, frame):
     assert decontaminate.find_leaks(frame(docs), bench.where("false")).count() == 0
 
 
+def test_decontamination_finds_items_with_a_long_word_changed():
+    r, far = random.Random(9), 0
+    for _ in range(60):
+        words = ["".join(r.choice("abcdefgh") for _ in range(32)), *prose(49, r).split()]
+        index = decontaminate.Items([(1, " ".join(words))], 5, 0.8)
+        words[0] = "".join(r.choice("ijklmnop") for _ in range(32))
+        (h, s), (ids, prints, sets) = index.of(" ".join(words)), index.groups[50]
+        signed = decontaminate.simhashes(decontaminate.word_vectors(h, s), np.array([0]), np.array([50]))
+        if decontaminate.weighted_similarity(sets[0], decontaminate._weigh(*index.shingles(h, s))) >= 0.8:
+            far += int(np.bitwise_count(signed ^ prints.prints)[0]) > 15
+            assert index.search(" ".join(words))
+    assert far
+
+
 def test_multi_index_misses_nothing():
     g = np.random.default_rng(5)
     items = g.integers(0, 2**63, 200).astype(np.uint64)
