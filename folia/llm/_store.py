@@ -5,7 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,7 +42,101 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    got = df.sparkSession.read.schema(df.schema).parquet(path)
+    got._staged_at = path
+    return got
+
+
+def dropped(*tables: DataFrame | str | None) -> None:
+    """Deletes staged tables, or folders, that nothing reads any more; what isn't staged is left alone."""
+    for t in tables:
+        path = t if isinstance(t, str) else getattr(t, "__dict__", {}).get("_staged_at")
+        if path:
+            from pyarrow import fs as pafs
+
+            fs, at = filesystem(path)
+            if fs.get_file_info(at).type == pafs.FileType.Directory:
+                fs.delete_dir(at)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column is called so."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n in taken:
+            n = "_" + n
+        taken.add(n)
+        out.append(n)
+    return out
+
+
+#: Row numbers are (task << TASK_BITS) + place; rows with equal higher bits are a chunk.
+TASK_BITS, CHUNK_BITS = 40, 20
+
+
+def row_numbers(batches) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Each batch with numbers for its rows, final once the rows are staged with them."""
+    from pyspark import TaskContext
+
+    at = TaskContext.get().partitionId() << TASK_BITS
+    for b in batches:
+        yield b, np.arange(at, at + b.num_rows, dtype=np.int64)
+        at += b.num_rows
+
+
+def by_chunk(marks: DataFrame, name: str) -> str:
+    """The folder with a file for each chunk that has a row (row, value) of ``marks``.
+
+    Rows are found again by their number where they were staged: a task that
+    reads staged rows looks into the files of their chunks, so the rows
+    themselves need no shuffle.  A chunk has 2^20 rows at most.
+    """
+    folder = new_folder(marks.sparkSession, name)
+    out = pa.schema([("chunk", pa.int64())])
+
+    def save(table: pa.Table) -> pa.Table:
+        row, value = (table[c].to_numpy() for c in ("row", "value"))
+        order = np.lexsort((value, row))
+        with tempfile.NamedTemporaryFile() as f:
+            f.write(np.concatenate([row[order], value[order]]).astype("<i8").tobytes())
+            f.flush()
+            publish(folder, str(row[0] >> CHUNK_BITS), f.name)
+        return pa.table([[int(row[0] >> CHUNK_BITS)]], schema=out)
+
+    from pyspark.sql import functions as F
+
+    marks.select("row", "value", F.shiftright("row", CHUNK_BITS).alias("chunk")).groupBy("chunk").applyInArrow(save, "chunk bigint").count()
+    return folder
+
+
+@lru_cache(maxsize=8)
+def _chunk(folder: str, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    from pyarrow import fs as pafs
+
+    fs, base = filesystem(folder)
+    if fs.get_file_info(f"{base}/{chunk}").type != pafs.FileType.File:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    with fs.open_input_file(f"{base}/{chunk}") as f:
+        return tuple(np.split(np.frombuffer(f.read(), dtype="<i8"), 2))
+
+
+def marked(folder: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ``rows`` that have a mark, its value), from the files of ``by_chunk``."""
+    places, values = [], []
+    chunks = rows >> CHUNK_BITS
+    for c in np.unique(chunks).tolist():
+        row, value = _chunk(folder, c)
+        if len(row):
+            at = np.flatnonzero(chunks == c)
+            i = np.minimum(np.searchsorted(row, rows[at]), len(row) - 1)
+            hit = row[i] == rows[at]
+            places.append(at[hit])
+            values.append(value[i[hit]])
+    if not places:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    at, value = np.concatenate(places), np.concatenate(values)
+    order = np.argsort(at, kind="stable")
+    return at[order], value[order]
 
 
 def filesystem(uri: str):

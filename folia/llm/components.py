@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm._store import staged
+from folia.llm._store import dropped, staged
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """uid, comp for each node that has an edge to another; comp is the component's least node.
+    """uid, comp for each node that has an edge to another, staged; comp is the component's least node.
 
     Each round joins edges with the least neighbour of their node (a plain equi
     join, which Spark splits where a node has very many edges) and stages the
@@ -26,10 +26,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = staged(large, "star-large")
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        e = staged(small, "star-edges")
+        old, e = e, staged(small, "star-edges")
+        dropped(old, large)
         now = mark(e)
         if now == seen:
             break
         seen = now
     roots = e.select(F.col("v").alias("uid"), F.col("v").alias("comp")).distinct()
-    return e.select(F.col("u").alias("uid"), F.col("v").alias("comp")).unionByName(roots)
+    out = staged(e.select(F.col("u").alias("uid"), F.col("v").alias("comp")).unionByName(roots), "components")
+    dropped(e)
+    return out

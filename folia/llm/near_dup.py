@@ -6,13 +6,17 @@ darts arrive in rank order as a Poisson process, each dart names one coordinate,
 and the earliest dart of each coordinate is the signature, so two texts agree in
 a coordinate with the probability of their weighted Jaccard similarity.
 
-Exact copies are folded first.  Within a bucket of banded signatures every text
-is compared with the bucket's leader only, never all with all.  Where that
+Rows are staged once with a number and their signature; whatever needs their
+texts or keeps some of them finds them by that number in one more pass, so no
+join ever shuffles whole rows.  Exact copies are folded first, and of buckets of
+banded signatures with the same texts one stands for all.  Within a bucket every
+text is compared with the bucket's leader only, never all with all.  Where that
 leaves a bucket in several components, the texts outside its largest one are
 compared with the rest in blocks of bounded size, which give links and no pairs.
 Where they are very many, the bucket's texts are signed again with fresh, more
-selective bands, until no bucket holds two components that were never compared.
-So the links that matter for the classes are found at every size.
+selective bands; what is still mixed after the last level is compared in blocks,
+however much it is.  So the links that matter for the classes are found at every
+size.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm._store import staged
+from folia.llm._store import by_chunk, dropped, marked, row_numbers, staged, unused
 from folia.llm._text import WordHashes, batch, mapped, mix, plain_words, shingle_hashes
 from folia.llm.components import components
 
@@ -156,7 +160,9 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     major = sizes.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("comp")).alias("c"))).alias("m"), F.sum("n").alias("size"), F.count("*").alias("comps"))
     major = staged(major.where("comps > 1").select("bucket", (-F.col("m.c")).alias("major"), (F.col("size") - F.col("m.n")).alias("n_minor"), "size"), "near-majors")
-    return staged(members.join(major, "bucket").select("bucket", "uid", "comp", (F.col("comp") != F.col("major")).alias("minor"), "n_minor", "size"), "near-mixed")
+    mixed = staged(members.join(major, "bucket").select("bucket", "uid", "comp", (F.col("comp") != F.col("major")).alias("minor"), "n_minor", "size"), "near-mixed")
+    dropped(major)
+    return mixed
 
 
 def _settled(mixed: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -192,68 +198,110 @@ def _settled(mixed: DataFrame, texts: DataFrame, n: int, threshold: float) -> Da
     return staged(rows.groupBy("bucket", "i", "j").applyInArrow(block, "a bigint, b bigint").distinct(), "near-links")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, many: int = MANY) -> DataFrame:
-    """doc_id, fp, class_id of each row, staged; fp is the MD5 of the text.
+def _rows(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, list[str]]:
+    """``docs`` staged with four more columns, and their names: row number, doc_id, fingerprint (MD5) and bands."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-    Rows with equal texts are one class (null counts as empty).  Texts of fewer
-    than ``n`` words are one run; texts without words are near to nothing else.
-    class_id is the least doc_id of the class, null if none of its rows has one.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("fp", F.unhex(F.md5(F.encode("text", "UTF-8"))))
-    signed_schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    names = unused(docs.columns, "near_row", "near_id", "near_fp", "near_bands")
+    at = docs.columns.index(text_col)
+    docs = docs.withColumn(names[1], F.col(id_col).cast("long")).withColumn(names[2], F.unhex(F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))))
+    added = StructType([StructField(names[0], LongType()), StructField(names[3], ArrayType(LongType()))])
+    types, schema = to_arrow_schema(added).types, StructType([*docs.schema.fields, *added.fields])
 
     def run(batches):
         words, sign = WordHashes(), _bands_of(0, n)
-        for b in batches:
-            yield batch(signed_schema, b.column(0), b.column(1), [sign(words, t) for t in b.column(2).to_pylist()])
+        for b, number in row_numbers(batches):
+            bands = [sign(words, t) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number, types[0]), pa.array(bands, types[1])], names=[*b.schema.names, names[0], names[3]])
 
-    signed = staged(mapped(rows.select("doc_id", "fp", "text"), run, "doc_id bigint, fp binary, bands array<bigint>"), "near-signed")
+    return staged(mapped(docs, run, schema), "near-rows"), names
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, many: int):
+    """The staged rows with the names of their helper columns, the distinct texts
+    (fp, rep, lead, n, uid: least doc_id and first row of each) and the
+    components (uid, comp) of those that are near to another."""
+    rows, names = _rows(docs, id_col, text_col, n)
+    row, doc_id, fp, bands = map(F.col, names)
     # copies of a text meet in one row per task before the shuffle
-    folded = signed.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"))
-    folded = staged(folded.withColumn("uid", F.monotonically_increasing_id()), "near-texts")
+    lead = F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), row.alias("row")))
+    folded = rows.groupBy(fp.alias("fp")).agg(lead.alias("lead"), F.count("*").alias("n"), F.first(bands).alias("bands"))
+    folded = staged(folded.select("fp", F.col("lead.doc_id").alias("rep"), F.col("lead.row").alias("lead"), "n", "bands", F.monotonically_increasing_id().alias("uid")), "near-texts")
 
     level, labels, links, texts = 0, None, None, None
     entries = folded.select("uid", F.explode("bands").alias("bucket"))
     while True:
-        # every text of a bucket against its leader
-        leaders = entries.groupBy("bucket").agg(F.min("uid").alias("leader"), F.count("*").alias("size")).where("size > 1").select("bucket", "leader")
+        # every text of a bucket against its leader; of buckets with the same texts one stays
+        same = [F.bit_xor(F.xxhash64("uid", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+        leaders = entries.groupBy("bucket").agg(F.min("uid").alias("leader"), F.count("*").alias("size"), *same).where("size > 1")
+        leaders = leaders.groupBy("leader", "size", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "leader")
         members = staged(entries.join(leaders, "bucket").select("bucket", "uid", "leader"), "near-members")
         pairs = members.where("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct()
         if level:  # texts of one component need no link
             of = lambda c: labels.select(F.col("uid").alias(c), F.col("comp").alias("c" + c))
             pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
         else:
-            texts = _texts(rows, folded, members)
+            texts = _texts(rows, names, text_col, folded, members)
         links, labels = _linked(links, labels, _verified(pairs, texts, n, threshold))
         mixed = _mixed(members.select("bucket", "uid"), labels)
-        links, labels = _linked(links, labels, _settled(mixed.where(F.col("n_minor") <= many), texts, n, threshold))
-        left = mixed.where(F.col("n_minor") > many).select("uid").distinct()
-        if left.isEmpty():
-            break
+        last = level + 1 == len(LEVELS)
+        links, labels = _linked(links, labels, _settled(mixed if last else mixed.where(F.col("n_minor") <= many), texts, n, threshold))
+        left = None if last else mixed.where(F.col("n_minor") > many).select("uid").distinct()
+        dropped(members)
+        if level:
+            dropped(entries)
+        if left is None or left.isEmpty():
+            dropped(mixed, links, texts)
+            return rows, names, folded, labels
         level += 1
         entries = staged(_signed(texts.join(left, "uid", "left_semi"), level, n), "near-entries")
+        dropped(mixed)
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, many: int = MANY) -> DataFrame:
+    """doc_id, fp, class_id of each row; fp is the MD5 of the text.
+
+    Rows with equal texts are one class (null counts as empty).  Texts of fewer
+    than ``n`` words are one run; texts without words are near to nothing else.
+    class_id is the least doc_id of the class, null if none of its rows has one.
+    """
+    rows, (_, doc_id, fp, _), folded, labels = _grouped(docs.select(id_col, text_col), id_col, text_col, n, threshold, many)
     # the least doc_id of each component, then of each text
-    owner = labels.join(folded.select("uid", "rep"), "uid").groupBy("comp").agg(F.min("rep").alias("class_id"))
-    named = folded.join(labels, "uid", "left").join(owner, "comp", "left").select("fp", F.coalesce("class_id", "rep").alias("class_id"), "n", "comp")
+    owner = staged(labels.join(folded.select("uid", "rep"), "uid").groupBy("comp").agg(F.min("rep").alias("class_id")), "near-owners")
+    named = folded.join(labels.join(owner, "comp").select("uid", "class_id", "comp"), "uid", "left").select("fp", F.coalesce("class_id", "rep").alias("class_id"), "n", "comp")
     named = staged(named.where("n > 1 or comp is not null").select("fp", "class_id"), "near-named")
-    return signed.select("doc_id", "fp").join(named, "fp", "left").select("doc_id", "fp", F.coalesce("class_id", "doc_id").alias("class_id"))
+    dropped(owner, labels, folded)
+    rows = rows.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"))
+    return rows.join(named, "fp", "left").select("doc_id", "fp", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def _linked(links: DataFrame | None, labels: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links with those found, and the components of all."""
-    if links is not None and found.isEmpty():
+    if links is None:
+        return found, components(found)
+    if found.isEmpty():
+        dropped(found)
         return links, labels
-    links = found if links is None else staged(links.unionByName(found), "near-links")
-    return links, staged(components(links), "near-labels")
+    both = staged(links.unionByName(found), "near-links")
+    dropped(links, found, labels)
+    return both, components(both)
+
+
+def _texts(rows: DataFrame, names: list[str], text_col: str, folded: DataFrame, members: DataFrame) -> DataFrame:
+    """uid, text of the texts that share a bucket, staged: found in the staged rows by number."""
+    wanted = folded.join(members.select("uid").distinct(), "uid", "left_semi").select(F.col("lead").alias("row"), F.col("uid").alias("value"))
+    folder, out = by_chunk(wanted, "near-wanted"), pa.schema([("uid", pa.int64()), ("text", pa.string())])
 
+    def run(batches):
+        for b in batches:
+            at, uid = marked(folder, b.column(0).to_numpy())
+            if len(at):
+                yield batch(out, uid, b.column(1).take(pa.array(at)))
 
-def _texts(rows: DataFrame, folded: DataFrame, members: DataFrame) -> DataFrame:
-    """uid, text of the texts that share a bucket, staged: the only ones read again."""
-    wanted = folded.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", "fp", F.col("rep").alias("doc_id"))
-    wanted = staged(wanted, "near-wanted")
-    got = rows.alias("r").join(wanted.alias("w").hint("merge"), (F.col("r.fp") == F.col("w.fp")) & F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")))
-    return staged(got.select("w.uid", "r.text").groupBy("uid").agg(F.first("text").alias("text")), "near-compared")
+    got = staged(mapped(rows.select(names[0], F.coalesce(F.col(text_col), F.lit("")).alias("text")), run, "uid bigint, text string"), "near-compared")
+    dropped(folder)
+    return got
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -262,28 +310,25 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return got.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("is_kept"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, many: int = MANY) -> DataFrame:
     """The rows of ``docs`` without all but one row of each class, all columns as they were.
 
-    Of a class the row with the least doc_id stays; among rows with that doc_id
-    the one with the least fingerprint, and of rows equal in both any one.
-    Classes without a doc_id keep one row.
+    Of a class the row with the least doc_id stays (rows without one come last);
+    among rows with that doc_id the one with the least fingerprint, and of rows
+    equal in both any one.
     """
-    got = staged(classes(docs, id_col, text_col, **options), "near-classes")
-    # the place of each row's (doc_id, fp) in its class, aggregated before any shuffle
-    keys = got.groupBy("class_id", "doc_id", "fp").agg(F.count("*").alias("n"))
-    lead = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "fp")
-    best = got.where("class_id is not null").groupBy("class_id").agg(F.min(lead).alias("best"))
-    keys = keys.join(best, "class_id", "left").withColumn("stays", F.coalesce(F.col("best") == lead, F.lit(True)))
-    keys = staged(keys.where("not stays or n > 1").select("doc_id", "fp", "n", "stays"), "near-dropped")
-    rows = docs.withColumn("__fp", F.unhex(F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))))
-
-    def match(side: DataFrame):
-        k = side.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__key"))
-        return k, (F.col("__fp") == F.col("__key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
-
-    k, on = match(keys)
-    kept = rows.join(k, on, "left_anti")
-    k, on = match(keys.where("stays and n > 1"))
-    again = rows.join(k, on, "left_semi").dropDuplicates([id_col, "__fp"])
-    return kept.unionByName(again).select(*docs.columns)
+    rows, names, folded, labels = _grouped(docs, id_col, text_col, n, threshold, many)
+    best = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "fp", "lead"))
+    of_class = labels.join(folded.select("uid", "rep", "fp", "lead"), "uid").groupBy("comp").agg(best.alias("best")).select(F.col("best.lead").alias("row"))
+    alone = folded.join(labels.select("uid"), "uid", "left_anti").select(F.col("lead").alias("row"))
+    folder = by_chunk(of_class.unionByName(alone).select("row", F.lit(1).cast("long").alias("value")), "near-kept")
+    dropped(labels, folded)
+
+    def run(batches):
+        for b in batches:
+            at, _ = marked(folder, b.column(b.num_columns - 1).to_numpy())
+            if len(at):
+                kept = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
+
+    return mapped(rows.select(*docs.columns, names[0]), run, docs.schema)
