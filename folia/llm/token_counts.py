@@ -1,16 +1,16 @@
 """Exact BPE token counts by rank-synchronous array merging.
 
 Texts are cut into pre-tokens at places that no merge of the vocabulary can
-cross.  The distinct pre-tokens of a batch are held as one ragged NumPy array
-of symbol ids; each round finds every sequence's lowest-rank pair by one
-segmented minimum and merges it in all sequences at once, until no sequence has
-a pair left.  What is counted is the surviving symbols (a symbol outside the
+cross: at spaces and line feeds, and between characters that no piece has side by
+side.  The distinct ones of a batch are held as one ragged NumPy array of symbol
+ids; each round finds every sequence's lowest-rank pair by one segmented minimum
+and merges it in all sequences at once, wherever it stands in them as long as no
+better pair comes up, until no sequence has a pair left.  What is counted is the surviving symbols (a symbol outside the
 vocabulary counts as its UTF-8 bytes, which is the model's byte fallback).
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from functools import lru_cache
 
@@ -23,8 +23,6 @@ from folia.llm._text import batch, mapped
 
 SPACE = "▁"
 NONE = np.int64(1) << np.int64(62)
-#: Sequences of more symbols are merged with a heap: same result, n log n steps.
-LONG = 256
 
 
 class PieceTable:
@@ -67,8 +65,9 @@ class PieceTable:
         self.keys = keys[at]
         self.ranks = np.array([r for r, _ in pairs.values()], dtype=np.int64)[at]
         self.merged = np.array([p for _, p in pairs.values()], dtype=np.int64)[at]
-        self.bytes_of: dict[int, int] = {}
-        self.pairs = pairs
+        beside = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        #: Neighbours in some piece, as code points.
+        self.beside = np.unique(np.array([ord(x[0]) << 21 | ord(x[1]) for x in beside], dtype=np.int64))
         self.other = int(self.width) - 1  # any character that is in no pair and no piece
 
     def id(self, s: str) -> int:
@@ -85,15 +84,10 @@ class PieceTable:
 
     def counts(self, tokens: list[str]) -> np.ndarray:
         """Symbols that survive in each pre-token."""
-        out = np.zeros(len(tokens), dtype=np.int64)
-        short = [i for i, t in enumerate(tokens) if 1 < len(t) <= LONG]
-        for i, t in enumerate(tokens):
-            if len(t) == 1:
-                out[i] = self.cost(t)
-            elif len(t) > LONG:
-                out[i] = self.by_heap(t)
-        if short:
-            out[short] = self.together([tokens[i] for i in short])
+        out = np.array([self.cost(t) if len(t) == 1 else 0 for t in tokens], dtype=np.int64)
+        more = [i for i, t in enumerate(tokens) if len(t) > 1]
+        if more:
+            out[more] = self.together([tokens[i] for i in more])
         return out
 
     def cost(self, c: str) -> int:
@@ -107,71 +101,56 @@ class PieceTable:
         sym = np.array([self.ids.get(c, self.other) for c in names], dtype=np.int64)[inverse]
         cost = np.array([self.cost(c) for c in names], dtype=np.int64)[inverse]
         lens = np.array([len(t) for t in tokens], dtype=np.int64)
-        ends = np.cumsum(lens)
-        starts = ends - lens
         # what single symbols cost; a merge replaces two by one piece of cost 1
-        total = np.add.reduceat(cost, starts)
+        total = np.add.reduceat(cost, np.cumsum(lens) - lens)
+        # sequences: no piece holds two characters that none has side by side
         n = len(sym)
-        nxt = np.arange(1, n + 1, dtype=np.int64)
-        nxt[ends - 1] = -1
-        prv = np.arange(-1, n - 1, dtype=np.int64)
-        prv[starts] = -1
-        right = np.where(nxt >= 0, sym[nxt], -1)
-        rank, into = self.look(sym, right)
-        seq = np.arange(len(tokens))
-        pos_bits = np.int64(32)
+        seq = np.repeat(np.arange(len(tokens)), lens)
+        pair = points[:-1].astype(np.int64) << 21 | points[1:]
+        apart = self.beside[np.minimum(np.searchsorted(self.beside, pair), len(self.beside) - 1)] != pair
+        starts = np.concatenate([[0], np.flatnonzero(apart | (seq[1:] != seq[:-1])) + 1])
+        seq = seq[starts]
+        lens = np.diff(np.append(starts, n))
+        nxt, prv = np.arange(1, n + 1, dtype=np.int64), np.arange(-1, n - 1, dtype=np.int64)
+        nxt[starts + lens - 1] = prv[starts] = -1
+        rank, into = self.look(sym, np.where(nxt >= 0, sym[nxt], -1))
         while True:
-            # each live sequence's lowest rank, leftmost first
-            key = np.where(rank < NONE, (rank << pos_bits) | np.arange(len(rank), dtype=np.int64), NONE)
-            best = np.minimum.reduceat(key, starts)
+            best = np.minimum.reduceat(rank, starts)
             live = best < NONE
             if not live.any():
                 return total
-            i = best[live] & np.int64(0xFFFFFFFF)
-            j = nxt[i]
-            total[seq[live]] -= cost[i] + cost[j] - 1
-            sym[i], cost[i] = into[i], 1
-            k = nxt[j]
-            nxt[i] = k
-            prv[k[k >= 0]] = i[k >= 0]
-            rank[j] = NONE
-            rank[i], into[i] = self.look(sym[i], np.where(k >= 0, sym[k], -1))
-            p = prv[i]
-            has = p >= 0
-            rank[p[has]], into[p[has]] = self.look(sym[p[has]], sym[i[has]])
             if live.sum() * 2 < len(live):  # leave out the sequences that are done
                 keep = np.repeat(live, lens)
                 shift = np.cumsum(keep) - 1
                 sym, cost, rank, into, nxt, prv = (x[keep] for x in (sym, cost, rank, into, nxt, prv))
-                nxt = np.where(nxt >= 0, shift[nxt], -1)
-                prv = np.where(prv >= 0, shift[prv], -1)
-                lens, seq = lens[live], seq[live]
+                nxt, prv = np.where(nxt >= 0, shift[nxt], -1), np.where(prv >= 0, shift[prv], -1)
+                lens, seq, best = lens[live], seq[live], best[live]
                 starts = np.cumsum(lens) - lens
-
-    def by_heap(self, token: str) -> int:
-        sym = [self.ids.get(c, self.other) for c in token]
-        cost = [self.cost(c) for c in token]
-        nxt, prv = [*range(1, len(sym)), -1], list(range(-1, len(sym) - 1))
-        heap = []
-
-        def push(a: int, b: int) -> None:
-            if a >= 0 and b >= 0 and (x := self.pairs.get((sym[a], sym[b]))):
-                heapq.heappush(heap, (x[0], a, b, sym[a], sym[b], x[1]))
-
-        for a in range(len(sym) - 1):
-            push(a, a + 1)
-        gone = [False] * len(sym)
-        while heap:
-            _, a, b, x, y, z = heapq.heappop(heap)
-            if gone[a] or gone[b] or sym[a] != x or sym[b] != y or nxt[a] != b:
-                continue
-            sym[a], cost[a], gone[b] = z, 1, True
-            nxt[a] = nxt[b]
-            if nxt[b] >= 0:
-                prv[nxt[b]] = a
-            push(prv[a], a)
-            push(a, nxt[a])
-        return sum(c for c, g in zip(cost, gone, strict=True) if not g)
+                live = best < NONE
+            # wherever a sequence's lowest rank stands; of matches that overlap every other one, from the left
+            i = np.flatnonzero(rank == np.repeat(np.where(live, best, -1), lens))
+            chained = np.concatenate([[False], nxt[i[:-1]] == i[1:]])
+            head = np.flatnonzero(~chained)
+            i = i[(np.arange(len(i)) - np.repeat(head, np.diff(np.append(head, len(i))))) % 2 == 0]
+            j, z = nxt[i], into[i]
+            k, p = nxt[j], prv[i]
+            # from the left, up to the first merge that brings up a pair as good
+            left = np.where(p >= 0, sym[p], -1)
+            touch = np.flatnonzero(k[:-1] == i[1:]) + 1
+            left[touch] = z[touch - 1]
+            better = (self.look(left, z)[0] <= rank[i]) | (self.look(z, np.where(k >= 0, sym[k], -1))[0] <= rank[i])
+            of = np.searchsorted(starts, i, side="right") - 1
+            count = np.cumsum(better) - better
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            go = count == np.repeat(count[first], np.diff(np.append(first, len(i))))
+            i, j, k, z, of = i[go], j[go], k[go], z[go], of[go]
+            np.subtract.at(total, seq[of], cost[i] + cost[j] - 1)
+            sym[i], cost[i], nxt[i], rank[j] = z, 1, k, NONE
+            prv[k[k >= 0]] = i[k >= 0]
+            rank[i], into[i] = self.look(sym[i], np.where(k >= 0, sym[k], -1))
+            p = prv[i]
+            i, p = i[p >= 0], p[p >= 0]
+            rank[p], into[p] = self.look(sym[p], sym[i])
 
 
 @lru_cache(maxsize=4)
