@@ -2,15 +2,17 @@
 
 ``write_archives`` writes gzip-member WARC files into the shared folder and
 returns one index row per record.  ``merge_index`` orders the index globally by
-URL key and timestamp: rows are dealt by key range, each task spills locally
-sorted capture runs and merges them with a k-way loser tree.  ``read_archives``
-follows the merged index back to the records.
+URL key and timestamp: the sorted capture runs of the archives are dealt by key
+range, and each task merges the stretches of runs that come to it with a k-way
+loser tree, in rounds of bounded fan-in.  ``read_archives`` follows the merged
+index back to the records.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import itertools
 import os
 import tempfile
 import uuid
@@ -29,8 +31,10 @@ from folia.llm._text import batch, mapped
 MIN_REVISIT_BYTES = 100
 #: Compressed bytes after which a task begins its next archive.
 ARCHIVE_BYTES = 64 << 20
-#: Index rows in a sorted run.
+#: Index rows that a task holds; more are merged and spilled as a run of their own.
 RUN_ROWS = 100_000
+#: Runs that are merged at once.
+FAN_IN = 256
 #: Captures without a time of their own carry this one (seconds since 1970).
 NO_TIME = 0
 
@@ -190,19 +194,45 @@ def _order(row: tuple) -> tuple:
     return row[0], row[1], -1 if row[2] is None else row[2], row[3], row[4]
 
 
-def _merged(batches, run_rows: int) -> Iterator[list[tuple]]:
-    """Rows in order, in lists; runs but the last are spilled to local files."""
+def natural_runs(rows: list[tuple]) -> list[list[tuple]]:
+    """Rows cut where their order turns back: what came of a sorted run stays together."""
+    out: list[list[tuple]] = []
+    last = None
+    for row in rows:
+        key = _order(row)
+        if last is None or key < last:
+            out.append([])
+        out[-1].append(row)
+        last = key
+    return out
+
+
+def _merged(batches, run_rows: int, fan_in: int = FAN_IN) -> Iterator[list[tuple]]:
+    """Rows in order, in lists.
+
+    They come as stretches of sorted runs, which are merged as they are.  When
+    ``run_rows`` are held they are merged into a run in a local file, and when
+    there are ``fan_in`` such files these are merged into one.
+    """
     with tempfile.TemporaryDirectory() as folder:
-        files, rows = [], []
+        files, rows, made = [], [], 0
+
+        def tree(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
+            while len(runs) > fan_in:  # neighbours first, each merge of bounded fan-in
+                runs = [iter(LoserTree(runs[at : at + fan_in], _order)) for at in range(0, len(runs), fan_in)]
+            return iter(LoserTree(runs, _order))
+
+        def lists(merged: Iterator[tuple]) -> Iterator[list[tuple]]:
+            while got := list(itertools.islice(merged, 4096)):
+                yield got
 
-        def spill() -> None:
-            rows.sort(key=_order)
-            path = os.path.join(folder, f"run{len(files)}")
+        def write(merged: Iterator[tuple]) -> str:
+            nonlocal made
+            path, made = os.path.join(folder, f"run{made}"), made + 1
             with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, INDEX) as w:
-                for at in range(0, len(rows), 4096):
-                    w.write_batch(batch(INDEX, *zip(*rows[at : at + 4096], strict=True)))
-            files.append(path)
-            rows.clear()
+                for some in lists(merged):
+                    w.write_batch(batch(INDEX, *zip(*some, strict=True)))
+            return path
 
         def read(path: str) -> Iterator[tuple]:
             with pa.OSFile(path) as f, pa.ipc.open_file(f) as r:
@@ -212,23 +242,22 @@ def _merged(batches, run_rows: int) -> Iterator[list[tuple]]:
         for b in batches:
             rows.extend(zip(*(c.to_pylist() for c in b.columns), strict=True))
             if len(rows) >= run_rows:
-                spill()
-        rows.sort(key=_order)
-        out = []
-        for row in LoserTree([*map(read, files), iter(rows)], _order):
-            out.append(row)
-            if len(out) == 4096:
-                yield out
-                out = []
-        if out:
-            yield out
+                files.append(write(tree([*map(iter, natural_runs(rows))])))
+                rows.clear()
+                if len(files) == fan_in:
+                    one = write(tree([*map(read, files)]))
+                    for path in files:
+                        os.unlink(path)
+                    files = [one]
+        yield from lists(tree([*map(read, files), *map(iter, natural_runs(rows))]))
 
 
 def merge_index(index: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     """The index in global order of url_key, ts, page_id over its partitions.
 
     Captures of one URL are dealt by time and page too, so a URL with a third of
-    all captures fills many ranges.
+    all captures fills many ranges.  Captures that are equal in all of these come
+    in the order of their archives.
     """
     dealt = index.repartitionByRange("url_key", "ts", "page_id", "offset")
 
