@@ -106,3 +106,13 @@ def with_columns(df, inputs: list[str], new, compute):
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *(n for n, _ in new)])
 
     return mapped(df, run, StructType([*df.schema.fields, *added.fields]))
+
+
+def kept_where(docs, text_col: str, new, compute, condition):
+    """The rows of ``docs`` for which ``condition`` holds over the fields ``new`` of the text, all columns as they were.
+
+    The columns go by other names meanwhile, so none can clash with a new field.
+    """
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    got = with_columns(plain, [f"c{docs.columns.index(text_col)}"], new, compute)
+    return got.where(condition).select(*plain.columns).toDF(*docs.columns)

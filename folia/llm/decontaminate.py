@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from folia.llm._text import WordHashes, batch, mapped, mix, plain_words, shingle_hashes, with_columns
+from folia.llm._text import WordHashes, batch, kept_where, mapped, mix, plain_words, shingle_hashes
 
 #: A long changed word at an item's edge turns over more than 20 bits while the similarity stays at 0.8 or more.
 RADIUS = 31
@@ -202,7 +202,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     Null and empty texts, and items without a word, match nothing.  Words are runs
     of letters and digits in lower case; items of fewer than ``n`` words are one
-    shingle.  Of equally similar windows the first is reported.
+    shingle.  Of equally similar windows the first is reported.  Texts of any length
+    are searched whole; rows that repeat each give their rows, and so do items that
+    repeat; rows without an id are searched like others.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("start", pa.int64()), ("length", pa.int64())])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -223,8 +225,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` in which no item is found, all columns as they were."""
-    columns = docs.columns
     for items in _passes(benchmark, item_col, item_text_col, n, threshold):
         search = _Search(items, n, threshold)
-        docs = with_columns(docs, [text_col], [("__leaks", BooleanType())], lambda x, search=search: ([bool(search(t)) for t in x[0]],)).where("not __leaks").select(*columns)
+        docs = kept_where(docs, text_col, [("leaks", BooleanType())], lambda x, search=search: ([bool(search(t)) for t in x[0]],), "not leaks")
     return docs

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from folia.llm._text import batch, mapped, with_columns
+from folia.llm._text import batch, kept_where, mapped, with_columns
 
 #: Symbols that mark junk, and marks that end sentences.
 SYMBOLS, ENDS = "#*$%&|<>=_~^\\", ".!?:;\"”»"
@@ -208,7 +208,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from at most ``max_train`` labelled documents outside the held-out fold.
 
     The sample are the labelled ids with the least hashes.  Of an id with several
-    labels the least counts.  None where there are not documents of both labels.
+    labels the least counts, and rows that repeat an id count as documents of the
+    sample, in a fixed order.  None where there are not documents of both labels.
+    The driver holds 12 numbers for each line of the sample, whose number of texts
+    is ``max_train``.
     """
     picked = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     picked = picked.orderBy(F.xxhash64("id"), "id").limit(max_train)
@@ -221,8 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             ends = np.cumsum(sizes)
             yield batch(out, b.column(0), b.column(1), [raw[e - n : e].ravel() for e, n in zip(ends, sizes, strict=True)])
 
-    got = mapped(rows, run, "h bigint, label int, raw array<float>").limit(2 * max_train).collect()
-    got = sorted(got, key=lambda r: (r.h, r.label, r.raw))
+    # rows of one id come together, so of the last id only some may be left
+    got = mapped(rows, run, "h bigint, label int, raw array<float>").orderBy("h", "label", "raw").limit(max_train).collect()
     labels_ = np.array([r.label for r in got])
     if len(set(labels_.tolist())) < 2:
         return None
@@ -239,7 +242,8 @@ def classify(docs: DataFrame, model: LineCrf | None, id_col: str = "doc_id", tex
     """doc_id, held_out, score, predicted of each row.
 
     Null and empty texts have no good line and score lowest; without a model
-    every text scores 0.5.
+    every text scores 0.5.  Each row gives a row, repeated or not, and texts of any
+    length are scored whole.
     """
     rows = with_columns(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["text"], [("score", DoubleType())], _scorer(model))
     return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -247,4 +251,4 @@ def classify(docs: DataFrame, model: LineCrf | None, id_col: str = "doc_id", tex
 
 def kept_rows(docs: DataFrame, model: LineCrf | None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, all columns as they were."""
-    return with_columns(docs, [text_col], [("__score", DoubleType())], _scorer(model)).where(F.col("__score") >= threshold).select(*docs.columns)
+    return kept_where(docs, text_col, [("score", DoubleType())], _scorer(model), F.col("score") >= threshold)

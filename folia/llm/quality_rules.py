@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from folia.llm._text import with_columns
+from folia.llm._text import kept_where, with_columns
 
 #: The symbol characters and the base thresholds of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -112,11 +112,13 @@ def text_stats(text: str | None) -> tuple[int, ...]:
 
 
 PREFIX = "__stat_"
+#: The fields and how they are had from a list of texts.
+_STATS = ([(PREFIX + c, LongType()) for c in COUNTS], lambda x: zip(*map(text_stats, x[0]), strict=True))
 
 
 def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the columns ``__stat_<count>`` appended."""
-    return with_columns(docs, [text_col], [(PREFIX + c, LongType()) for c in COUNTS], lambda x: zip(*map(text_stats, x[0]), strict=True))
+    return with_columns(docs, [text_col], *_STATS)
 
 
 @dataclass(frozen=True)
@@ -233,13 +235,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     The sample are the labelled ids with the least hashes, so it is the same in
     every run.  Null ids and labels are left out; of an id that repeats in the
-    labels the least label counts.  Without both labels there are no rules.
+    labels the least label counts, and rows that repeat an id count as documents of
+    the sample, in a fixed order.  Without both labels there are no rules.
     """
     picked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"))
     picked = picked.orderBy(F.xxhash64("id"), "id").limit(max_train)
     # at most max_train rows of two numbers
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
-    got = with_stats(rows).drop("text").orderBy("id", *(PREFIX + c for c in COUNTS)).limit(2 * max_train).toPandas()
+    got = with_stats(rows).drop("text").orderBy("id", *(PREFIX + c for c in COUNTS)).limit(max_train).toPandas()
     if got.empty or got["label"].nunique() < 2:
         return []
     ok = (got[PREFIX + "n_words"] >= MIN_WORDS) & (100 * got[PREFIX + "n_repeat_words"] <= MAX_REPEAT_PERCENT * got[PREFIX + "n_words"])
@@ -251,7 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base counts, base_failed, rule (number of the first that holds), kept.
 
-    A null text counts as empty: no words, so it fails the base test.
+    A null text counts as empty: no words, so it fails the base test.  Each row
+    gives a row, repeated or not, and texts of any length are counted whole.
     """
     rows = with_stats(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     rows = rows.drop("text").withColumn("base_failed", base_failed()).withColumn("rule", rule_column(rules))
@@ -260,4 +264,4 @@ def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
 
 def kept_rows(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the base tests and the rules keep, all columns as they were."""
-    return with_stats(docs, text_col).where(~base_failed() & rule_column(rules).isNull()).select(*docs.columns)
+    return kept_where(docs, text_col, *_STATS, ~base_failed() & rule_column(rules).isNull())
