@@ -34,14 +34,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, zstd_level: int = 3) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     This cuts the lineage, survives lost executors and makes values that
     depend on task numbering final.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", zstd_level).parquet(path)
     got = df.sparkSession.read.schema(df.schema).parquet(path)
     got._staged_at = path
     return got
