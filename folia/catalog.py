@@ -193,28 +193,13 @@ def html_elements(spark, sf):
     return explode.with_ids(markup.explode_markup(_t(spark, sf, "pages"), "html", "page_id", "html"))
 
 
-@query("""with m as (select conv_id, turn, role, text from conversations where not contains(text, chr(10)) and length(trim(text, ' ')) > 0)
-  select conv_id as doc_id, 'header' as element_type, 'root' as parent_type, count(*) as n from (select distinct conv_id from m) group by conv_id
-  union all select conv_id, 'header', 'header', count(*) from m group by conv_id
-  union all select conv_id, 'paragraph', 'header', count(*) from m group by conv_id
-  union all select conv_id, 'root', null, 1 from (select distinct conv_id from m)""")
-def markdown_elements(spark, sf):
-    m = _t(spark, sf, "conversations").where("not contains(text, '\n') and length(trim(text)) > 0")
-    part = F.concat(F.lit("## "), F.col("role"), F.lit(" "), F.col("turn").cast("string"), F.lit("\n\nsays "), F.trim("text"))
-    docs = m.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))).alias("ps")).select("conv_id", F.concat(F.lit("# Talk "), F.col("conv_id").cast("string"), F.lit("\n\n"), F.array_join(F.transform("ps", lambda x: x["p"]), "\n\n")).alias("text"))
-    rows = explode.explode_markdown(docs, "conv_id")
-    up = rows.select("doc_id", F.col("ord").alias("parent_ord"), F.col("element_type").alias("parent_type"))
-    return rows.join(up, ["doc_id", "parent_ord"], "left").groupBy("doc_id", "element_type", "parent_type").agg(F.count("*").alias("n"))
-
-
 @query()
 def markdown_turns(spark, sf):
-    """All turns with their whole texts, each a document of its own; its SQL-checked sibling parses one-line turns only."""
+    """All turns with their whole texts, each a document of its own."""
     same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     docs = _t(spark, sf, "conversations").select("conv_id", F.concat_ws("/", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.coalesce(F.col("turn").cast("string"), F.lit("")), F.row_number().over(same).cast("string")).alias("id"), "text")
     rows = explode.explode_markdown(docs, "id")
-    up = rows.select("doc_id", F.col("ord").alias("parent_ord"), F.col("element_type").alias("parent_type"))
-    rows = rows.join(up, ["doc_id", "parent_ord"], "left").join(docs.select(F.col("id").alias("doc_id"), "conv_id"), "doc_id")
+    rows = rows.join(docs.select(F.col("id").alias("doc_id"), "conv_id"), "doc_id")
     return rows.groupBy(F.col("conv_id").alias("doc_id"), "element_type", "parent_type").agg(F.count("*").alias("n"))
 
 
@@ -375,19 +360,11 @@ def vector_topk_threshold(spark, sf):
     return _rounded(search.top_k(_vectors(spark, sf), _PROBE, 50, {"exclude_element_type": [5]}, min_score=0.05), "score")
 
 
-@query("with" + SC + """, t as (select element_pk, (element_pk % 11)::double as t from sc where element_pk % 3 = 0), v as (select element_pk, score as v from sc where element_pk % 2 = 0)
-  select element_pk, round(s, 6) as score from (select coalesce(t.element_pk, v.element_pk) as element_pk, 0.3 * coalesce(t, 0) / 10 + 0.7 * coalesce(v, 0) as s from t full join v on t.element_pk = v.element_pk) order by s desc, element_pk limit 20""")
-def hybrid_rank(spark, sf):
-    s = _scored(spark, sf)
-    t = s.where("element_pk % 3 = 0").select("element_pk", (F.col("element_pk") % 11).cast("double").alias("score"))
-    return _rounded(search.hybrid_rank(t, s.where("element_pk % 2 = 0"), 20), "score")
-
-
 @query("with" + SC + """, d as (select doc_id, max(len(string_split(text, ' the ')) - 1) as n from documents group by doc_id),
   t as (select element_pk, least(n, 10)::double as t from sc join d on sc.doc_id = d.doc_id where n > 0), v as (select element_pk, score as v from sc)
   select element_pk, round(s, 6) as score from (select coalesce(t.element_pk, v.element_pk) as element_pk, 0.3 * coalesce(t, 0) / 10 + 0.7 * coalesce(v, 0) as s from t full join v on t.element_pk = v.element_pk) order by s desc, element_pk limit 20""")
 def hybrid_rank_whole(spark, sf):
-    """All vectors, with text hits of the documents that hold a word; ``hybrid_rank`` merges two made-up hit lists."""
+    """All vectors, with text hits of the documents that hold a word."""
     s = _scored(spark, sf)
     n = _t(spark, sf, "documents").groupBy("doc_id").agg(F.max(F.size(F.split("text", " the ", -1)) - 1).alias("n")).where("n > 0")
     t = s.join(n, "doc_id").select("element_pk", F.least("n", F.lit(10)).cast("double").alias("score"))
@@ -430,18 +407,11 @@ def child_lists(spark, sf):
     return trees.children(_elements(spark, sf)).select("doc_id", "parent_id", F.array_join("child_ids", ",").alias("kids"))
 
 
-@query("with" + EL + """, c as (select doc_id, element_id, content_preview as p, lag(content_preview) over (partition by doc_id order by ord) as b, lead(content_preview) over (partition by doc_id order by ord) as a from el where element_type <> 'root' and content_preview <> '')
-  select doc_id, element_id, concat_ws(chr(10) || chr(10), p, b, a) as text from c""")
-def element_context(spark, sf):
-    return trees.context(_elements(spark, sf), text_col="content_preview").select("doc_id", "element_id", "text")
-
-
 @query("with" + EL + """, z as (select md5(doc_id || '|' || ord || '|' || element_type) as element_id, doc_id::varchar as doc_id, ord, content, regexp_split_to_array(trim(content, ' '), '\\s+') as ws from e where ord > 0),
   t as (select doc_id, element_id, ord, case when len(ws) > 500 then array_to_string(ws[1:500], ' ') else content end as p from z),
   c as (select doc_id, element_id, p, lag(p) over (partition by doc_id order by ord) as b, lead(p) over (partition by doc_id order by ord) as a from t)
   select doc_id, element_id, concat_ws(chr(10) || chr(10), p, b, a) as text from c""")
-def element_context_whole(spark, sf):
-    """What is embedded: whole contents, where ``element_context`` shows previews."""
+def element_context(spark, sf):
     return trees.context(explode.with_ids(_paragraphs(spark, sf), whole=True)).select("doc_id", "element_id", "text")
 
 
@@ -505,6 +475,114 @@ def ingest_statistics(spark, sf):
     return d.join(F.broadcast(n), F.lit(True))  # two rows of one
 
 
+# --- ingest of a mixed corpus, rendering, family context, values -------------
+
+
+@query("""with t as (select 'text' as doc_type, doc_id::varchar as d, len(list_filter(list_transform(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda a: trim(a, ' ')), lambda a: length(a) >= 1)) as n from documents),
+  r as (select n_regionkey, count(*) as n from nation group by 1)
+  select 'text' as doc_type, 'root' as element_type, count(*) as n from t union all select 'text', 'paragraph', sum(n) from t having sum(n) > 0
+  union all select 'csv', 'root', count(*) from r union all select 'csv', 'table', count(*) from r union all select 'csv', 'table_header_row', count(*) from r union all select 'csv', 'table_row', sum(n) from r union all select 'csv', 'table_cell', 2 * sum(n) from r
+  union all select 'json', 'root', count(*) from supplier union all select 'json', 'json_object', count(*) from supplier union all select 'json', 'json_field', 2 * count(*) from supplier
+  union all select 'xml', 'root', count(*) from region union all select 'xml', 'xml_object', count(*) from region union all select 'xml', 'xml_element', 2 * count(*) from region union all select 'xml', 'xml_text', 2 * count(*) from region
+  union all select 'markdown', 'root', count(*) from region union all select 'markdown', 'header', 2 * count(*) from region union all select 'markdown', 'list_item', 2 * count(*) from region""")
+def mixed_ingest(spark, sf):
+    """The engine over text, CSV, JSON, XML and Markdown at once; types that aren't stated are detected."""
+    from folia.operators.staging import shared_folder
+    from folia.plans.engine import Engine
+
+    none, as_text = F.lit(None).cast("string"), lambda c: F.col(c).cast("string")
+    doc = lambda df, name, key, kind, content, end="": df.select(F.concat(F.lit(name), as_text(key), F.lit(end)).alias("source_id"), kind.alias("doc_type"), content.alias("content"))
+    region, nation = _t(spark, sf, "region"), _t(spark, sf, "nation")
+    lines = F.array_join(F.array_sort(F.collect_list(F.concat(as_text("n_nationkey"), F.lit(","), "n_name"))), "\n")
+    tables = nation.groupBy("n_regionkey").agg(F.concat(F.lit("key,name\n"), lines).alias("csv"))
+    named = F.concat(F.lit("<region><key>"), as_text("r_regionkey"), F.lit("</key><name>"), "r_name", F.lit("</name></region>"))
+    marked = F.concat(F.lit("# "), "r_name", F.lit("\n\n## Facts\n\n- key "), as_text("r_regionkey"), F.lit("\n- [more](x.md)\n"))
+    docs = doc(_t(spark, sf, "documents"), "text:", "doc_id", F.lit("text"), F.col("text"))
+    docs = docs.unionByName(doc(tables, "tables/t.csv?", "n_regionkey", F.lit("csv"), F.col("csv")))
+    docs = docs.unionByName(doc(_t(spark, sf, "supplier"), "records/", "s_suppkey", none, F.to_json(F.struct("s_suppkey", "s_name")), ".json"))
+    docs = docs.unionByName(doc(region, "xml:", "r_regionkey", F.lit("xml"), named)).unionByName(doc(region, "md:", "r_regionkey", none, marked))
+    engine = Engine(spark, shared_folder(spark, "mixed-ingest"))
+    engine.ingest(docs)
+    return engine.table("elements").join(engine.table("documents").select("doc_id", "doc_type"), "doc_id").groupBy("doc_type", "element_type").agg(F.count("*").alias("n"))
+
+
+@query("""select c_custkey, h, case when h = 'c_name' then h || ' is "' || v || '"' else h || ': ' || v end as text from (
+  select c_custkey, unnest(['c_name', 'c_mktsegment']) as h, unnest([c_name, c_mktsegment]) as v from customer)""")
+def rendered_cells(spark, sf):
+    from folia.operators import render
+
+    cells = F.array(*(F.struct(F.lit(c).alias("h"), F.col(c).alias("content")) for c in ("c_name", "c_mktsegment")))
+    rows = _t(spark, sf, "customer").select("c_custkey", F.inline(cells)).select("c_custkey", "h", "content", F.lit("table_cell").alias("element_type"), F.to_json(F.struct(F.col("h").alias("header"))).alias("metadata"))
+    return render.with_text(rows).select("c_custkey", "h", "text")
+
+
+def _places(spark, sf):
+    """Regions, nations and customers as a tree of elements."""
+    none = F.lit(None).cast("string")
+    node = lambda df, p, key, up, kind, name: df.select(F.lit("d").alias("doc_id"), F.concat(F.lit(p), F.col(key).cast("string")).alias("element_id"), up.alias("parent_id"), F.lit(kind).alias("element_type"), F.col(key).cast("long").alias("ord"), F.col(name).alias("content"))
+    out = node(_t(spark, sf, "region"), "r", "r_regionkey", none, "section", "r_name")
+    out = out.unionByName(node(_t(spark, sf, "nation"), "n", "n_nationkey", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), "section", "n_name"))
+    return out.unionByName(node(_t(spark, sf, "customer"), "c", "c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), "paragraph", "c_name"))
+
+
+@query("""select 'c' || c_custkey as element_id, n_name || '/' || r_name as said from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+  union all select 'n' || n_nationkey, r_name from nation join region on n_regionkey = r_regionkey""")
+def context_ancestors(spark, sf):
+    return trees.context_ancestors(_places(spark, sf), 2).select("element_id", F.array_join("texts", "/").alias("said"))
+
+
+@query("""with k as (select 'n' || c_nationkey as element_id, c_name as s, row_number() over (partition by c_nationkey order by c_custkey) as i from customer union all select 'r' || n_regionkey, n_name, row_number() over (partition by n_regionkey order by n_nationkey) from nation)
+  select element_id, string_agg(s, '/' order by i) as said from k where i <= 3 group by element_id""")
+def context_children(spark, sf):
+    return trees.context_children(_places(spark, sf), 3).select("element_id", F.array_join("texts", "/").alias("said"))
+
+
+@query("""select page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || '/x/y.html?q=1' as up, regexp_extract(url, '^(https?://[^/?#]*)', 1) || '/a' as root, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) as file from pages""")
+def url_parts(spark, sf):
+    from folia.functions import values
+
+    u = F.col("url")
+    return _t(spark, sf, "pages").select("page_id", values.join_url(u, F.lit("../../../x/./z/../y.html?q=1#f")).alias("up"), values.join_url(u, F.lit("/a")).alias("root"), values.file_name(u).alias("file"))
+
+
+@query("""select vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding, """ + _PROBE_SQL + """), lambda z: (z[1]::double - z[2]) * (z[1]::double - z[2])))), 5) as distance from embeddings""")
+def vector_distances(spark, sf):
+    """Vectors packed as 32-bit floats, unpacked, and their distance from a probe."""
+    from folia.functions import values
+    from folia.functions.vectors import literal
+
+    v = values.unpack_floats(values.pack_floats(F.col("embedding")))
+    return _t(spark, sf, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(values.euclidean(F.col("v"), literal(_PROBE)), 5).alias("distance"))
+
+
+@query("""select doc_id, case when doc_id % 4 = 0 then text when doc_id % 4 = 1 then 'Error: no content for db://c/t/k/' || doc_id || '/text' when doc_id % 4 = 2 then '- ' || lang else 'Error: no element e' || doc_id || ' in db://c/t/k/' || doc_id || '/text' end as text from documents""")
+def pointer_lookup(spark, sf):
+    """Whole roots, rendered elements, and words for what isn't there."""
+    from folia.sources import resolve
+
+    key, m = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    d = _t(spark, sf, "documents").select("doc_id", "text", "lang", F.concat(F.lit("db://c/t/k/"), key, F.lit("/text")).alias("source"), F.concat(F.lit("e"), key).alias("element_id"), F.when(m == 0, "root").otherwise("list_item").alias("element_type"))
+    elements = d.where(m == 2).select("element_id", F.lit("list_item").alias("element_type"), F.col("lang").alias("content"), F.lit(None).cast("string").alias("metadata"))
+    got = resolve.resolve(d.select("doc_id", "source", "element_id", "element_type"), d.where(m != 1).select("source", F.col("text").alias("content")), elements)
+    return got.select("doc_id", "text")
+
+
+@query("""with e as (select c_custkey as id, round(c_acctbal / 10000, 4) as c from customer) select id, c as confidence from e where c >= 0.5""")
+def confident_edges(spark, sf):
+    rows = _t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit("link").alias("relationship_type"), F.col("c_custkey").cast("string").alias("relationship_id"), F.to_json(F.struct(F.round(F.col("c_acctbal") / 10000, 4).alias("confidence"))).alias("metadata"))
+    return edges.by_confidence(edges.between(rows, ["link"], 0.5).drop("confidence", "similarity")).select("id", "confidence")
+
+
+@query()
+def approximate_topk(spark, sf):
+    """Top-k by inverted lists; a test measures its recall against the exact search."""
+    from folia.operators import ann
+
+    v = _vectors(spark, sf)
+    model = ann.fit(v, 16)
+    return _rounded(ann.search(ann.index(v, model), model, _PROBE, 10, probes=8), "score")
+
+
 # --- table structure ---------------------------------------------------------
 
 

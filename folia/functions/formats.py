@@ -74,7 +74,7 @@ def _any(text: Column, pattern: str) -> Column:
 
 
 def content_kind(text: Column) -> Column:
-    """markdown, html or text by the number of telling patterns."""
+    """markdown, html or text by the number of telling patterns (fixed values)."""
     markdown = _any(text, r"(?m)^#{1,6}\s+") + _any(text, r"(?m)^-\s+") + _any(text, r"\[.+?\]\(.+?\)") + _any(text, r"(?m)^```")
     html = _any(text, r"<[a-z]+[^>]*>") + _any(text, r"</[a-z]+>") + _any(text, r"<[a-z]+[^>]*/>")
     opening = F.trim(text).rlike(r"^(<!DOCTYPE html>|<html|<\?xml)")
@@ -95,9 +95,15 @@ def type_from_content(text: Column) -> Column:
 
 
 def type_from_magic(content: Column) -> Column:
-    """By the first bytes; office files by the folder names near their start."""
-    head = F.substring(content, 1, 4000)
-    has = lambda s: F.contains(F.hex(head), F.lit(s.encode().hex().upper()))
+    """By the first bytes; office files by the folder names in their directory, wherever it stands."""
+    has = lambda s: F.contains(content, F.lit(s.encode()))
     zipped = F.when(has("word/"), "docx").when(has("xl/"), "xlsx").when(has("ppt/"), "pptx").otherwise("zip")
     start = lambda h: F.startswith(F.hex(F.substring(content, 1, 8)), F.lit(h))
     return F.when(start("25504446"), "pdf").when(start("504B0304"), zipped).when(start("D0CF11E0A1B11AE1"), "ms_compound").when(F.is_valid_utf8(content.cast("string")), "text").otherwise("binary")
+
+
+def detect(path: Column, content: Column, doc_type: Column | None = None) -> Column:
+    """A stated type, else what the path's extension says, else what the text looks like."""
+    by_path = type_from_path(path)
+    stated = F.nullif(doc_type, F.lit("")) if doc_type is not None else F.lit(None).cast("string")
+    return F.coalesce(stated, F.when(by_path != "text", by_path), type_from_content(F.coalesce(content, F.lit(""))), F.lit("text"))

@@ -1,0 +1,66 @@
+"""Approximate nearest neighbours: inverted lists around centroids.
+
+The centroids are fitted on a bounded sample; every vector is then dealt to the
+list of its nearest centroid, and a search reads the lists of the centroids
+nearest to the query only.  Vectors of length 0 go to the first list.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folia.operators.search import top_k
+
+
+@dataclass(frozen=True)
+class Lists:
+    centroids: np.ndarray
+
+    def nearest(self, v: np.ndarray, n: int = 1) -> np.ndarray:
+        return np.argsort(-(v @ self.centroids.T), axis=1, kind="stable")[:, :n]
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(n, n, 1)
+
+
+def fit(vectors: DataFrame, lists: int = 100, key: str = "element_pk", column: str = "embedding", sample: int = 20_000, rounds: int = 10) -> Lists:
+    """Centroids by spherical k-means on the at most ``sample`` vectors with the least hashes."""
+    rows = vectors.where(F.col(column).isNotNull()).select(F.xxhash64(key).alias("h"), key, column).orderBy("h", key).limit(sample).select(column).collect()
+    v = _unit(np.array([r[0] for r in rows], dtype=np.float64).reshape(len(rows), -1))
+    c = v[np.unique(np.linspace(0, len(v) - 1, min(lists, len(v))).astype(int))] if len(v) else np.zeros((1, v.shape[1]))
+    for _ in range(rounds if len(v) else 0):
+        at = np.argmax(v @ c.T, axis=1)
+        total = np.zeros_like(c)
+        np.add.at(total, at, v)
+        c = np.where(np.linalg.norm(total, axis=1, keepdims=True) > 0, _unit(total), c)
+    return Lists(c)
+
+
+def index(vectors: DataFrame, model: Lists, column: str = "embedding") -> DataFrame:
+    """Every row with its list; write it partitioned by ``list_id`` and a search prunes the others."""
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    at = vectors.columns.index(column)
+
+    def run(batches):
+        for b in batches:
+            got = np.zeros(b.num_rows, dtype=np.int32)
+            rows = [(i, v) for i, v in enumerate(b.column(at).to_pylist()) if v is not None and len(v) == model.centroids.shape[1]]
+            if rows:
+                got[[i for i, _ in rows]] = model.nearest(np.array([v for _, v in rows], dtype=np.float64))[:, 0]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], names=[*b.schema.names, "list_id"])
+
+    return vectors.mapInArrow(run, StructType([*vectors.schema.fields, StructField("list_id", IntegerType())]))
+
+
+def search(indexed: DataFrame, model: Lists, query: list[float], k: int = 10, probes: int = 10, **more) -> DataFrame:
+    """key, score of the nearest rows in the ``probes`` lists nearest to the query."""
+    at = model.nearest(_unit(np.array([query], dtype=np.float64)), probes)[0].tolist()
+    return top_k(indexed.where(F.col("list_id").isin(at)), query, k, **more)

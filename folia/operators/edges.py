@@ -74,11 +74,13 @@ def semantic_edges(vectors: DataFrame, threshold: float = 0.7, per_element: int
     ``per_element`` times as many pairs as it has elements, then those at the
     threshold.  The join is an equi join by document.
     """
+    # few of the pairs reach the threshold, and those rank as they would among all
     a, b = (vectors.select("doc_id", *(F.col(c).alias(f"{c}_{s}") for c in ("element_id", "ord", "embedding"))) for s in "ab")
     pairs = a.join(b, "doc_id").where("ord_a < ord_b").withColumn("similarity", cosine(F.col("embedding_a"), F.col("embedding_b")))
     sizes = vectors.groupBy("doc_id").agg(F.count("*").alias("n"))
     best = Window.partitionBy("doc_id").orderBy(F.desc("similarity"), "ord_a", "ord_b")
-    return pairs.withColumn("rank", F.row_number().over(best)).join(sizes, "doc_id").where(F.col("rank") <= per_element * F.col("n")).where(F.col("similarity") >= threshold).select("doc_id", F.col("element_id_a").alias("source_id"), F.col("element_id_b").alias("target_reference"), "similarity")
+    pairs = pairs.where(F.col("similarity") >= threshold)
+    return pairs.withColumn("rank", F.row_number().over(best)).join(sizes, "doc_id").where(F.col("rank") <= per_element * F.col("n")).select("doc_id", F.col("element_id_a").alias("source_id"), F.col("element_id_b").alias("target_reference"), "similarity")
 
 
 def outgoing(edges: DataFrame, elements: DataFrame) -> DataFrame:
@@ -93,3 +95,32 @@ def union_detectors(*edges: DataFrame) -> DataFrame:
     for e in edges[1:]:
         out = out.unionByName(e, allowMissingColumns=True)
     return out
+
+
+def similarity_edges(pairs: DataFrame) -> DataFrame:
+    """Pairs (doc_id, source_id, target_reference, similarity) as semantic edges of the relationships relation."""
+    meta = F.to_json(F.struct(F.round("similarity", 6).alias("similarity")))
+    return pairs.select(_edge(F.col("doc_id"), F.col("source_id"), "semantic_similarity", F.col("target_reference"), meta).alias("e")).select("e.*")
+
+
+def confidence(edges: DataFrame) -> DataFrame:
+    """Edges with what their metadata say of confidence and similarity (null where they don't)."""
+    of = lambda f: F.get_json_object("metadata", f"$.{f}").cast("double").alias(f)
+    return edges.select("*", of("confidence"), of("similarity"))
+
+
+def by_confidence(edges: DataFrame, key: str = "confidence") -> DataFrame:
+    """Edges by confidence or similarity, highest first; those without come last."""
+    return confidence(edges).orderBy(F.desc_nulls_last(key), "relationship_id")
+
+
+def between(edges: DataFrame, kinds: list[str] | None = None, at_least: float | None = None, category_: str | None = None) -> DataFrame:
+    """Edges of some kinds or of a category, with a confidence or similarity of at least a bound."""
+    got = confidence(edges)
+    if kinds:
+        got = got.where(F.col("relationship_type").isin(kinds))
+    if category_:
+        got = got.where(category(F.col("relationship_type")) == category_)
+    if at_least is not None:
+        got = got.where(F.coalesce("confidence", "similarity") >= at_least)
+    return got

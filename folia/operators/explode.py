@@ -1,6 +1,6 @@
 """Documents to elements: one generator per format that SQL can express.
 
-All return rows of doc_id, ord, element_type, parent_ord, content, metadata (JSON
+All return rows of doc_id, ord, element_type, parent_ord, parent_type, content, metadata (JSON
 text); ``with_ids`` turns them into the elements relation with deterministic ids.
 """
 
@@ -10,19 +10,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.functions.text import EMAIL, URL, element_id, preview, word_count
+from folia.operators.staging import staged
 
-COLUMNS = ["doc_id", "ord", "element_type", "parent_ord", "content", "metadata"]
+COLUMNS = ["doc_id", "ord", "element_type", "parent_ord", "parent_type", "content", "metadata"]
+#: Places that a paragraph leaves for its sentences.
+SENTENCES = 1 << 20
 
 
 def with_ids(rows: DataFrame, whole: bool = False) -> DataFrame:
     """element_id, doc_id, element_type, parent_id, ord, content_preview, content_hash, metadata; with ``whole`` also content.
 
-    Parents are looked up in the rows of the same document.
+    A parent's id follows from its document, place and type, so no join is needed.
     """
-    rows = rows.withColumn("element_id", element_id(F.col("doc_id"), F.col("ord"), F.col("element_type")))
-    parents = rows.select("doc_id", F.col("ord").alias("parent_ord"), F.col("element_id").alias("parent_id"))
-    got = rows.join(parents, ["doc_id", "parent_ord"], "left")
-    return got.select("element_id", F.col("doc_id").cast("string").alias("doc_id"), "element_type", "parent_id", "ord", preview(F.col("content")).alias("content_preview"), F.md5(F.coalesce("content", F.lit(""))).alias("content_hash"), "metadata", *(["content"] if whole else []))
+    parent = F.when(F.col("parent_ord").isNotNull(), element_id(F.col("doc_id"), F.col("parent_ord"), F.col("parent_type")))
+    own = element_id(F.col("doc_id"), F.col("ord"), F.col("element_type"))
+    return rows.select(own.alias("element_id"), F.col("doc_id").cast("string").alias("doc_id"), "element_type", parent.alias("parent_id"), "ord", preview(F.col("content")).alias("content_preview"), F.md5(F.coalesce("content", F.lit(""))).alias("content_hash"), "metadata", *(["content"] if whole else []))
 
 
 def explode_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n\n", normalise: bool = False, min_length: int = 1) -> DataFrame:
@@ -33,15 +35,15 @@ def explode_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.concat(F.array(F.lit(None).cast("string")), parts).alias("parts")).select("doc_id", F.posexplode("parts").alias("ord", "content"))
     meta = F.to_json(F.struct((F.col("ord") - 1).alias("index"), F.char_length("content").alias("length"), word_count(F.col("content")).alias("word_count"), F.col("content").rlike(URL).alias("has_urls"), F.col("content").rlike(EMAIL).alias("has_emails")))
     root = F.col("ord") == 0
-    return rows.select("doc_id", "ord", F.when(root, "root").otherwise("paragraph").alias("element_type"), F.when(~root, F.lit(0)).alias("parent_ord"), "content", F.when(~root, meta).alias("metadata"))
+    return rows.select("doc_id", "ord", F.when(root, "root").otherwise("paragraph").alias("element_type"), F.when(~root, F.lit(0)).alias("parent_ord"), F.when(~root, "root").alias("parent_type"), "content", F.when(~root, meta).alias("metadata"))
 
 
 def explode_sentences(paragraphs: DataFrame) -> DataFrame:
     """Paragraph rows with their sentences as children: a tree of three levels."""
     kids = paragraphs.where("element_type = 'paragraph'").select("doc_id", F.col("ord").alias("parent_ord"), F.posexplode(F.filter(F.split("content", r"(?<=[.!?])\s+"), lambda x: x != "")).alias("i", "content"))
-    kids = kids.select("doc_id", (F.col("parent_ord") * 10_000 + F.col("i") + 1).alias("ord"), F.lit("line").alias("element_type"), (F.col("parent_ord") * 10_000).alias("parent_ord"), "content", F.lit(None).cast("string").alias("metadata"))
-    own = paragraphs.withColumn("ord", F.col("ord") * 10_000).withColumn("parent_ord", F.col("parent_ord") * 10_000)
-    return own.unionByName(kids)
+    wide = lambda c: F.col(c).cast("long") * SENTENCES
+    kids = kids.select("doc_id", (wide("parent_ord") + F.col("i") + 1).alias("ord"), F.lit("line").alias("element_type"), wide("parent_ord").alias("parent_ord"), F.lit("paragraph").alias("parent_type"), "content", F.lit(None).cast("string").alias("metadata"))
+    return paragraphs.withColumn("ord", wide("ord")).withColumn("parent_ord", wide("parent_ord")).unionByName(kids)
 
 
 def text_stats(text: Column) -> list[Column]:
@@ -100,8 +102,8 @@ def explode_markdown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parent = F.coalesce(parent, F.greatest(F.lit(-1), *(F.col(f"h{j}") for j in range(1, 7))))
     content = F.trim(F.when(F.col("kind") == "header", F.regexp_replace("raw", r"^#+\s+", "")).when(F.col("kind") == "list_item", F.regexp_replace("raw", r"^\s*([-*+]|\d+[.)])\s+", "")).when(F.col("kind") == "blockquote", F.regexp_replace("raw", r"(?m)^\s*>\s?", "")).otherwise(F.col("raw")))
     meta = F.when(F.col("kind") == "header", F.to_json(F.struct("level", F.regexp_replace("raw", r"^#+\s+", "").alias("text"))))
-    body = blocks.select("doc_id", (F.col("n") + 1).alias("ord"), F.col("kind").alias("element_type"), (parent + 1).alias("parent_ord"), content.alias("content"), meta.alias("metadata"))
-    roots = docs.select(F.col(id_col).alias("doc_id"), F.lit(0).alias("ord"), F.lit("root").alias("element_type"), F.lit(None).cast("int").alias("parent_ord"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("metadata"))
+    body = blocks.select("doc_id", (F.col("n") + 1).alias("ord"), F.col("kind").alias("element_type"), (parent + 1).alias("parent_ord"), F.when(parent >= 0, "header").otherwise("root").alias("parent_type"), content.alias("content"), meta.alias("metadata"))
+    roots = docs.select(F.col(id_col).alias("doc_id"), F.lit(0).alias("ord"), F.lit("root").alias("element_type"), F.lit(None).cast("int").alias("parent_ord"), F.lit(None).cast("string").alias("parent_type"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("metadata"))
     return roots.unionByName(body)
 
 
@@ -135,27 +137,51 @@ def column_types(cells: DataFrame) -> DataFrame:
     return got.select("header", F.when(F.col("i"), "integer").when(F.col("f"), "float").when(F.col("b"), "boolean").when(F.col("d"), "date").otherwise("string").alias("inferred_type"))
 
 
-def explode_json(docs: DataFrame, id_col: str, json_col: str, max_depth: int = 10) -> DataFrame:
-    """doc_id, path, depth, json_type, value of every node of a JSON text.
+def explode_json(docs: DataFrame, id_col: str, json_col: str, max_depth: int | None = None) -> DataFrame:
+    """doc_id, path, depth, json_type, value of every node of a JSON text, down to ``max_depth`` if one is given.
 
-    Each level explodes the level before; as many joins-free passes as levels.
+    Each level explodes the level before, which is staged; the last one is empty.
     """
     node = docs.select(F.col(id_col).alias("doc_id"), F.lit("$").alias("path"), F.lit(0).alias("depth"), F.try_parse_json(F.col(json_col)).alias("v")).where("v is not null")
-    kind = lambda c: F.schema_of_variant(c)
-    out = None
-    for depth in range(max_depth + 1):
-        named = node.select("doc_id", "path", "depth", kind(F.col("v")).alias("s"), F.to_json("v").alias("value"), "v")
-        level = named.select("doc_id", "path", "depth", F.when(F.startswith("s", F.lit("OBJECT")), "object").when(F.startswith("s", F.lit("ARRAY")), "array").when(F.col("s") == "STRING", "string").when(F.col("s") == "BOOLEAN", "boolean").when(F.col("s") == "VOID", "null").when(F.col("s") == "BIGINT", "integer").otherwise("number").alias("json_type"), "value")
+    out, depth = None, 0
+    while True:
+        s = F.schema_of_variant(F.col("v"))
+        kind = F.when(F.startswith("s", F.lit("OBJECT")), "object").when(F.startswith("s", F.lit("ARRAY")), "array").when(F.col("s") == "STRING", "string").when(F.col("s") == "BOOLEAN", "boolean").when(F.col("s") == "VOID", "null").when(F.col("s") == "BIGINT", "integer").otherwise("number")
+        level = staged(node.select("doc_id", "path", "depth", s.alias("s"), F.to_json("v").alias("value")).select("doc_id", "path", "depth", kind.alias("json_type"), "value"), "json-level")
         out = level if out is None else out.unionByName(level)
-        if depth == max_depth:
-            break
-        node = _children(named)
-    return out
+        inner = level.where("json_type in ('object', 'array')")
+        if depth == max_depth or inner.isEmpty():
+            return out
+        depth += 1
+        node = _children(inner.withColumn("v", F.parse_json("value")))
 
 
-def _children(named: DataFrame) -> DataFrame:
-    named.createOrReplaceTempView("__json_level")
-    return named.sparkSession.sql(
-        "select n.doc_id, case when e.key is null then concat(n.path, '[', e.pos, ']') else concat(n.path, '.', e.key) end as path, n.depth + 1 as depth, e.value as v"
-        " from __json_level n, lateral variant_explode(n.v) e where n.s like 'OBJECT%' or n.s like 'ARRAY%'"
+def _children(inner: DataFrame) -> DataFrame:
+    e = inner.sparkSession.tvf.variant_explode(F.col("v").outer())
+    got = inner.lateralJoin(e.select("pos", "key", F.col("value").alias("child")))
+    path = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("path", F.lit("."), "key"))
+    return got.select("doc_id", path.alias("path"), (F.col("depth") + 1).alias("depth"), F.col("child").alias("v"))
+
+
+def markdown_stats(text: Column) -> list[Column]:
+    """Counts of headers, list items, code blocks and links, the title (first header of level 1) and the languages of code."""
+    langs = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"(?m)^```([A-Za-z0-9_+-]+)"), 1), lambda x: x != ""))
+    targets = F.regexp_extract_all(text, F.lit(r"\[[^\]\[]+\]\(([^)]+)\)"), 1)
+    return [
+        F.regexp_count(text, F.lit(r"(?m)^#{1,6}\s+\S")).alias("header_count"),
+        F.regexp_count(text, F.lit(r"(?m)^\s*([-*+]|\d+[.)])\s+")).alias("list_item_count"),
+        F.floor(F.regexp_count(text, F.lit(r"(?m)^```")) / 2).cast("int").alias("code_block_count"),
+        F.size(targets).alias("link_count"),
+        F.size(F.array_distinct(targets)).alias("distinct_links"),
+        F.nullif(F.regexp_extract(text, r"(?m)^#\s+(.+)$", 1), F.lit("")).alias("title"),
+        F.array_join(langs, ",").alias("code_languages"),
+    ]
+
+
+def cell_links(cells: DataFrame) -> DataFrame:
+    """row_key, col, link_target, link_type: URLs and mail addresses in cells."""
+    found = F.concat(
+        F.transform(F.regexp_extract_all("value", F.lit(URL), 1), lambda u: F.struct(u.alias("link_target"), F.lit("url").alias("link_type"))),
+        F.transform(F.regexp_extract_all("value", F.lit(EMAIL), 1), lambda m: F.struct(F.concat(F.lit("mailto:"), m).alias("link_target"), F.lit("email").alias("link_type"))),
     )
+    return cells.select("row_key", "col", F.inline(found))

@@ -1,14 +1,17 @@
 """HTML, XML and office documents to elements, where only a parser will do.
 
 Each is a table function over Arrow batches: one input row, many output rows of
-doc_id, ord, element_type, parent_ord, content, metadata.
+doc_id, ord, element_type, parent_ord, parent_type, content, metadata.
 """
 
 from __future__ import annotations
 
+import csv
 import io
 import json
+import re
 import zipfile
+import zlib
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -16,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = pa.schema([("doc_id", pa.string()), ("ord", pa.int32()), ("element_type", pa.string()), ("parent_ord", pa.int32()), ("content", pa.string()), ("metadata", pa.string())])
-DDL = "doc_id string, ord int, element_type string, parent_ord int, content string, metadata string"
+SCHEMA = pa.schema([("doc_id", pa.string()), ("ord", pa.int32()), ("element_type", pa.string()), ("parent_ord", pa.int32()), ("parent_type", pa.string()), ("content", pa.string()), ("metadata", pa.string())])
+DDL = "doc_id string, ord int, element_type string, parent_ord int, parent_type string, content string, metadata string"
 
 # The tags that become elements, and what they are called.
 TAGS = {
@@ -185,7 +188,7 @@ def pptx_elements(data: bytes) -> list[tuple]:
     return out
 
 
-def xlsx_elements(data: bytes, max_rows: int = 1000, max_columns: int = 100) -> list[tuple]:
+def xlsx_elements(data: bytes) -> list[tuple]:
     """root, workbook, sheets, rows and cells; the first row of a sheet holds its headers."""
     out: list[tuple] = [(0, "root", None, None, None), (1, "workbook", 0, None, None)]
     z = zipfile.ZipFile(io.BytesIO(data))
@@ -195,9 +198,9 @@ def xlsx_elements(data: bytes, max_rows: int = 1000, max_columns: int = 100) ->
     for i, name in enumerate(sheets):
         sheet = len(out)
         out.append((sheet, "sheet", 1, names[i] if i < len(names) else name, json.dumps({"index": i})))
-        for row in list(ElementTree.fromstring(z.read(name)).iter(_S + "row"))[:max_rows]:
+        for row in ElementTree.fromstring(z.read(name)).iter(_S + "row"):
             cells = []
-            for c in row.findall(_S + "c")[:max_columns]:
+            for c in row.findall(_S + "c"):
                 v, inline = c.find(_S + "v"), c.find(f"{_S}is/{_S}t")
                 text = inline.text if inline is not None else None if v is None or v.text is None else shared[int(v.text)] if c.get("t") == "s" else v.text
                 if text:
@@ -209,7 +212,106 @@ def xlsx_elements(data: bytes, max_rows: int = 1000, max_columns: int = 100) ->
     return out
 
 
-PARSERS = {"html": html_elements, "xml": xml_elements, "docx": docx_elements, "pptx": pptx_elements, "xlsx": xlsx_elements}
+def csv_table(text: str) -> list[list[str]]:
+    """The rows of a CSV text; the dialect is had from its start, a mark of byte order, blank lines and spaces around cells go."""
+    text = text.lstrip("\ufeff").lstrip("\r\n")
+    try:
+        dialect = csv.Sniffer().sniff(text[:8192], delimiters=",\t;|")
+    except csv.Error:
+        dialect = csv.excel
+    rows = csv.reader(io.StringIO(text, newline=""), delimiter=dialect.delimiter, quotechar=dialect.quotechar or '"', skipinitialspace=True)
+    return [[c.strip() for c in r] for r in rows if any(c.strip() for c in r)]
+
+
+def csv_elements(text: str | None) -> list[tuple]:
+    """root, table, a header row (its names in the metadata), rows and cells."""
+    out: list[tuple] = [(0, "root", None, None, None)]
+    rows = csv_table(text or "")
+    if not rows:
+        return out
+    out.append((1, "table", 0, None, json.dumps({"columns": len(rows[0]), "rows": len(rows) - 1})))
+    out.append((2, "table_header_row", 1, ", ".join(rows[0]), json.dumps({"values": rows[0]})))
+    for r, row in enumerate(rows[1:], 1):
+        at = len(out)
+        out.append((at, "table_row", 1, ", ".join(row), json.dumps({"row": r})))
+        out += [(at + 1 + c, "table_cell", at, v, json.dumps({"row": r, "col": c, "header": rows[0][c] if c < len(rows[0]) else f"column_{c + 1}"})) for c, v in enumerate(row)]
+    return out
+
+
+def json_elements(text: str | None) -> list[tuple]:
+    """root, then json_object, json_field, json_array and json_item by structure, each with its path; broken input is a root alone."""
+    out: list[tuple] = [(0, "root", None, None, None)]
+    try:
+        top = json.loads(text or "")
+    except ValueError as e:
+        return [(0, "root", None, None, json.dumps({"error": str(e)}))]
+    plain = lambda v: v if isinstance(v, str) else json.dumps(v)
+    todo: list[tuple] = [(top, 0, "$", None)]
+    while todo:
+        value, parent, path, name = todo.pop()
+        me = len(out)
+        kind = "json_object" if isinstance(value, dict) else "json_array" if isinstance(value, list) else "json_field" if name is not None else "json_item"
+        out.append((me, kind, parent, None if kind in ("json_object", "json_array") else plain(value), json.dumps({"json_path": path, **({"name": name} if name is not None else {})})))
+        if isinstance(value, dict):
+            todo += reversed([(v, me, f"{path}.{k}", k) for k, v in value.items()])
+        elif isinstance(value, list):
+            todo += reversed([(v, me, f"{path}[{i}]", None) for i, v in enumerate(value)])
+    return out
+
+
+def pdf_elements(data: bytes) -> list[tuple]:
+    """root, page_content, pages and their lines of text: headers where the font is large, else paragraphs.
+
+    Reads text of plain and Flate streams with simple fonts; what it can't read gives a page without lines.
+    """
+    out: list[tuple] = [(0, "root", None, None, None), (1, "page_content", 0, None, None)]
+    page = 0
+    for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", data, re.S):
+        raw = m.group(1)
+        try:
+            raw = zlib.decompress(raw)
+        except zlib.error:
+            pass
+        if b"BT" not in raw:
+            continue
+        page += 1
+        at = len(out)
+        out.append((at, "page", 1, None, json.dumps({"page": page})))
+        size, line = 0.0, ""
+
+        def put() -> None:
+            nonlocal line
+            if line.strip():
+                out.append((len(out), "header" if size >= 14 else "paragraph", at, " ".join(line.split()), json.dumps({"font_size": size})))
+            line = ""
+
+        for x in re.finditer(rb"/\S+\s+([\d.]+)\s+Tf|(\((?:\\.|[^\\()])*\))\s*(?:Tj|')|\[((?:\((?:\\.|[^\\()])*\)|[^\]])*)\]\s*TJ|(T\*|Td|TD|Tm|ET)", raw, re.S):
+            if x.group(4):
+                put()
+            elif x.group(1):
+                size = float(x.group(1))
+            else:
+                for s in [x.group(2)] if x.group(2) else re.findall(rb"\((?:\\.|[^\\()])*\)", x.group(3)):
+                    line += re.sub(rb"\\([()\\])", rb"\1", s[1:-1]).decode("latin-1")
+        put()
+    return out
+
+
+PARSERS = {"html": html_elements, "xml": xml_elements, "docx": docx_elements, "pptx": pptx_elements, "xlsx": xlsx_elements, "csv": csv_elements, "json": json_elements, "pdf": pdf_elements}
+#: Formats whose parsers take bytes.
+BINARY = ("docx", "pptx", "xlsx", "pdf")
+
+# Attributes of XML that name a link, and those whose links are of kind link.
+LINK_ATTRIBUTES = ("href", "src", "link", "url", "uri", "ref", "reference", "target", "source", "resource", "location")
+PLAIN_LINKS = ("href", "src")
+
+
+def markup_links(rows: DataFrame) -> DataFrame:
+    """doc_id, ord, link_target, link_type of parsed rows: html and office links, and XML attributes that name one."""
+    html = F.transform(F.from_json(F.get_json_object("metadata", "$.links"), "array<string>"), lambda u: F.struct(u.alias("link_target"), F.lit("link").alias("link_type")))
+    attrs = [F.struct(F.get_json_object("metadata", f"$.attributes.{a}").alias("link_target"), F.lit("link" if a in PLAIN_LINKS else "referenced_by").alias("link_type")) for a in LINK_ATTRIBUTES]
+    xml = F.filter(F.array(*attrs), lambda x: x["link_target"].isNotNull())
+    return rows.select("doc_id", "ord", F.inline(F.concat(F.coalesce(html, F.array().cast("array<struct<link_target:string,link_type:string>>")), xml)))
 
 
 def explode_markup(docs: DataFrame, kind: str, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
@@ -222,9 +324,10 @@ def explode_markup(docs: DataFrame, kind: str, id_col: str = "doc_id", content_c
                 c, rows = b.slice(at, 64), []
                 for doc, content in zip(c.column(0).to_pylist(), c.column(1).to_pylist(), strict=True):
                     try:
-                        rows += [(doc, *r) for r in parse(content)]
+                        got = parse(content)
+                        rows += [(doc, i, kind, up, None if up is None else got[up][1], text, meta) for i, kind, up, text, meta in got]
                     except Exception as e:
-                        rows.append((doc, 0, "root", None, None, json.dumps({"error": f"{type(e).__name__}: {e}"})))
+                        rows.append((doc, 0, "root", None, None, None, json.dumps({"error": f"{type(e).__name__}: {e}"})))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,61 +51,55 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10, wanted: dict | No
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
-def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 20, key: str = "element_pk", column: str = "embedding", group: str | None = None, threshold: float | None = None, block: int = 4096) -> DataFrame:
+def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 20, key: str = "element_pk", column: str = "embedding", group: str | None = None, threshold: float | None = None, block: int = 4096, corpus_block: int = 16_384) -> DataFrame:
     """source, target, score: each query's k nearest corpus rows, exactly.
 
-    The queries go in blocks of bounded size; every task multiplies its batches
-    with a block and keeps k rows a query, which are merged by query.  With
-    ``group`` a row of the query's own group isn't a neighbour.
+    Both sides are cut into blocks by a hash of their key; a task multiplies one
+    block of queries with one of the corpus and gives k rows a query, which are
+    merged by query.  Nothing passes the driver but the two sizes.  With ``group``
+    a row of the query's own group isn't a neighbour; vectors of other dimensions
+    never are.
     """
-    sc, out = corpus.sparkSession.sparkContext, None
+    kin = F.col(group).cast("string") if group else F.lit(None).cast("string")
+    side = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"), kin.alias("kin")).where(F.col(column).isNotNull())
+    q, c = side(queries), side(corpus)
+    n_q, n_c = (max(1, -(-df.count() // size)) for df, size in ((q, block), (c, corpus_block)))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = q.select("*", F.lit(True).alias("asks"), place(n_q).alias("i"), every(n_c).alias("j")).unionByName(c.select("*", F.lit(False).alias("asks"), every(n_q).alias("i"), place(n_c).alias("j")))
     schema = pa.schema([("source", pa.int64()), ("target", pa.int64()), ("score", pa.float64())])
 
-    def part(block_rows):
-        ids = np.array([r[0] for r in block_rows], dtype=np.int64)
-        m = np.array([r[1] for r in block_rows], dtype=np.float64)
-        groups = np.array([r[2] for r in block_rows], dtype=object)
-        norms = np.linalg.norm(m, axis=1)
-        shared = sc.broadcast((ids, m / np.where(norms, norms, 1)[:, None], groups))
-
-        def run(batches):
-            ids, m, groups = shared.value
-            have = None
-            for b in batches:
-                keep = [i for i, v in enumerate(b.column(1).to_pylist()) if v is not None and len(v) == m.shape[1]]
-                if not keep:
-                    continue
-                v = np.array([b.column(1)[i].as_py() for i in keep], dtype=np.float64)
-                n = np.linalg.norm(v, axis=1)
-                own, kin = np.array([b.column(0)[i].as_py() for i in keep], dtype=np.int64), np.array([b.column(2)[i].as_py() for i in keep], dtype=object)
-                s = m @ (v / np.where(n, n, 1)[:, None]).T
-                s[(ids[:, None] == own[None, :]) | ((groups[:, None] == kin[None, :]) if group else False)] = -np.inf
-                t = np.broadcast_to(own, s.shape)
-                if have is not None:
-                    s, t = np.concatenate([have[0], s], axis=1), np.concatenate([have[1], t], axis=1)
-                order = np.lexsort((t, -s), axis=1)[:, :k]
-                have = np.take_along_axis(s, order, 1), np.take_along_axis(t, order, 1)
-            if have is not None:
-                src = np.repeat(ids, have[0].shape[1])
-                s, t = have[0].ravel(), have[1].ravel()
-                ok = np.isfinite(s) & ((s >= threshold) if threshold is not None else True)
-                yield pa.RecordBatch.from_arrays([pa.array(src[ok]), pa.array(t[ok]), pa.array(s[ok])], schema=schema)
-
-        return corpus.select(F.col(key).cast("long"), column, F.col(group) if group else F.lit(None).cast("int").alias("g")).mapInArrow(run, "source bigint, target bigint, score double")
-
-    held: dict[int, list] = {}  # by dimension: vectors of others are no neighbours
-    for r in queries.select(F.col(key).cast("long"), column, F.col(group) if group else F.lit(None).alias("g")).where(F.col(column).isNotNull()).toLocalIterator():
-        rows = held.setdefault(len(r[1]), [])
-        rows.append(tuple(r))
-        if len(rows) == block:
-            out = part(rows) if out is None else out.unionByName(part(rows))
-            held[len(r[1])] = []
-    for rows in filter(None, held.values()):
-        out = part(rows) if out is None else out.unionByName(part(rows))
-    if out is None:
-        return corpus.sparkSession.createDataFrame([], "source bigint, target bigint, score double")
+    def matrix(t: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        v = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        n = np.linalg.norm(v, axis=1)
+        return t["id"].to_numpy(), v / np.where(n, n, 1)[:, None], np.array(t["kin"].to_pylist(), dtype=object)
+
+    def nearest(table: pa.Table) -> pa.Table:
+        asks, sizes, out = table["asks"].to_numpy(), pc.list_value_length(table["v"]).to_numpy(), []
+        for width in np.unique(sizes[sizes > 0]).tolist():
+            at = sizes == width
+            if not (at & asks).any() or not (at & ~asks).any():
+                continue
+            (ids, m, groups), (own, v, kins) = matrix(table.filter(pa.array(at & asks)), width), matrix(table.filter(pa.array(at & ~asks)), width)
+            by = np.argsort(own, kind="stable")
+            own, v, kins = own[by], v[by], kins[by]
+            for lo in range(0, len(ids), 512):  # bounded scores at a time
+                s = m[lo : lo + 512] @ v.T
+                s[(ids[lo : lo + 512, None] == own[None, :]) | ((groups[lo : lo + 512, None] == kins[None, :]) if group else False)] = -np.inf
+                best = min(k, s.shape[1])
+                least = -np.partition(-s, best - 1, axis=1)[:, best - 1 : best]
+                r, t = np.nonzero((s >= least) & np.isfinite(s) & (s >= (-np.inf if threshold is None else threshold)))
+                # ties at the edge come in order of the key
+                order = np.lexsort((own[t], -s[r, t], r))
+                r, t = r[order], t[order]
+                first = np.searchsorted(r, r)
+                top = np.arange(len(r)) - first < k
+                out.append((ids[lo + r[top]], own[t[top]], s[r[top], t[top]]))
+        return pa.table([np.concatenate([x[i] for x in out]) if out else pa.array([], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    found = rows.groupBy("i", "j").applyInArrow(nearest, "source bigint, target bigint, score double")
     best = Window.partitionBy("source").orderBy(F.desc("score"), "target")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
 
 
 def hybrid_rank(text_hits: DataFrame, vector_hits: DataFrame, k: int = 10, key: str = "element_pk", text_weight: float = 0.3, vector_weight: float = 0.7, text_scale: float = 10.0) -> DataFrame:
@@ -121,3 +116,14 @@ def best_per_document(hits: DataFrame, key: str = "element_pk") -> DataFrame:
 
 def document_sources(hits: DataFrame, documents: DataFrame) -> DataFrame:
     return hits.join(documents.select("doc_id", "source"), "doc_id").where("source <> ''").select("source").distinct()
+
+
+def capped(limit: int | None, min_score: float | None, most: int = 100) -> tuple[int, float]:
+    """A service's bounds on what a caller asks for: at most ``most`` rows, no score below 0."""
+    return min(10 if limit is None else limit, most), max(0.0 if min_score is None else min_score, 0.0)
+
+
+def flattened(paths: DataFrame, hits: DataFrame, elements: DataFrame) -> DataFrame:
+    """Hits as flat rows with their path and score, sorted by path."""
+    rows = elements.join(paths.select("element_id", "path"), "element_id").join(hits.select("element_id", "score"), "element_id")
+    return rows.orderBy("path")

@@ -68,14 +68,33 @@ def delete_relationships(edges: DataFrame, element_id: str, kind: str | None = N
 
 
 def swap(df: DataFrame, root: str, table: str) -> str:
-    """Writes a new version of a table and makes it the current one; returns its path."""
+    """Writes a new version of a table and makes it the current one; returns its path.
+
+    Pointers are only ever added and the one with the greatest number counts, so a
+    failure at any place leaves the old version or the new one.
+    """
     import uuid
 
-    path = f"{root}/{table}/v-{uuid.uuid4().hex}"
+    path, spark = f"{root}/{table}/v-{uuid.uuid4().hex}", df.sparkSession
     df.write.parquet(path)
-    df.sparkSession.createDataFrame([(path,)], "path string").write.mode("overwrite").json(f"{root}/{table}/_current")
+    last = _pointer(spark, root, table)
+    spark.createDataFrame([((last.version if last else 0) + 1, path)], "version long, path string").coalesce(1).write.mode("append").json(f"{root}/{table}/_current")
     return path
 
 
-def current(spark, root: str, table: str) -> DataFrame:
-    return spark.read.parquet(spark.read.schema("path string").json(f"{root}/{table}/_current").first().path)
+def _pointer(spark, root: str, table: str):
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.schema("version long, path string").json(f"{root}/{table}/_current")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return rows.orderBy(F.desc("version"), "path").first()
+
+
+def current(spark, root: str, table: str) -> DataFrame | None:
+    """The current version of a table, None before the first."""
+    at = _pointer(spark, root, table)
+    return spark.read.parquet(at.path) if at else None

@@ -1,7 +1,7 @@
 """Ancestry, outlines and context over the parent hierarchy.
 
-Trees are walked level by level with joins; a walk ends when no row has a parent
-left or at ``max_depth`` (which also ends cycles).
+Trees are walked level by level with joins.  The hierarchy is staged once and so is
+each level; a walk ends with the first level that is empty, or at ``max_depth``.
 """
 
 from __future__ import annotations
@@ -9,31 +9,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folia.operators.staging import staged
 
-def ancestry(hits: DataFrame, elements: DataFrame, max_depth: int = 10) -> DataFrame:
-    """element_id, ancestor_id, distance: each hit's ancestors, itself at distance 0."""
-    up = elements.select(F.col("element_id").alias("at"), "parent_id")
-    level = hits.select("element_id", F.col("element_id").alias("at"), F.lit(0).alias("distance"))
-    out = level
-    for d in range(1, max_depth + 1):
-        level = level.join(up, "at").where("parent_id is not null and parent_id <> element_id").select("element_id", F.col("parent_id").alias("at"), F.lit(d).alias("distance"))
+
+def ancestry(hits: DataFrame, elements: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """element_id, ancestor_id, distance: each hit's ancestors, itself at distance 0.  Cycles end where they close."""
+    up = staged(elements.select(F.col("element_id").alias("at"), "parent_id").where("parent_id is not null"), "tree-up")
+    level = staged(hits.select("element_id", F.col("element_id").alias("at"), F.lit(0).alias("distance")), "tree-level")
+    out, d = level, 0
+    while d != max_depth:
+        d += 1
+        level = level.join(up, "at").select("element_id", F.col("parent_id").alias("at"), F.lit(d).alias("distance"))
+        level = staged(level.join(out.select("element_id", "at"), ["element_id", "at"], "left_anti"), "tree-level")
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
     return out.withColumnRenamed("at", "ancestor_id")
 
 
-def paths(elements: DataFrame, max_depth: int = 10) -> DataFrame:
+def paths(elements: DataFrame, max_depth: int | None = None) -> DataFrame:
     """element_id, depth, path: the document and the chain of ids down to each element."""
-    kids = elements.where("parent_id is not null").select("element_id", "parent_id")
-    level = elements.where("parent_id is null").select("element_id", F.lit(0).alias("depth"), F.concat_ws("/", "doc_id", "element_id").alias("path"))
-    out = level
-    for d in range(1, max_depth + 1):
-        level = kids.join(level.select(F.col("element_id").alias("parent_id"), "path"), "parent_id").select("element_id", F.lit(d).alias("depth"), F.concat_ws("/", "path", "element_id").alias("path"))
+    rows = staged(elements.select("doc_id", "element_id", "parent_id"), "tree-rows")
+    kids = rows.where("parent_id is not null").select("element_id", "parent_id")
+    level = rows.where("parent_id is null").select("element_id", F.lit(0).alias("depth"), F.concat_ws("/", "doc_id", "element_id").alias("path"))
+    out, d = level, 0
+    while d != max_depth:
+        d += 1
+        level = staged(kids.join(level.select(F.col("element_id").alias("parent_id"), "path"), "parent_id").select("element_id", F.lit(d).alias("depth"), F.concat_ws("/", "path", "element_id").alias("path")), "tree-level")
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
     return out
 
 
-def outline(hits: DataFrame, elements: DataFrame, max_depth: int = 10) -> DataFrame:
+def outline(hits: DataFrame, elements: DataFrame, max_depth: int | None = None) -> DataFrame:
     """The hits and all their ancestors, once each; those that aren't hits have no score."""
+    elements = staged(elements.select("element_id", "doc_id", "parent_id", "element_type"), "tree-elements")
+    hits = staged(hits.select("element_id", "score"), "tree-hits")
     nodes = ancestry(hits, elements, max_depth).select(F.col("ancestor_id").alias("element_id")).distinct()
     return nodes.join(hits.select("element_id", "score"), "element_id", "left").join(elements.select("element_id", "doc_id", "parent_id", "element_type"), "element_id")
 
@@ -64,11 +76,50 @@ def sections(elements: DataFrame) -> DataFrame:
     return elements.select("doc_id", "element_id", "element_type", head.alias("section_id")).where("element_type <> 'header' and section_id is not null").drop("element_type")
 
 
-def crawl(seeds: DataFrame, links: DataFrame, max_depth: int = 3) -> DataFrame:
+def crawl(seeds: DataFrame, links: DataFrame, max_depth: int | None = 3) -> DataFrame:
     """node, depth: what is reached from the seeds over links (source, target), each node once, at its least depth."""
-    seen = seeds.select("node", F.lit(0).alias("depth")).distinct()
-    frontier = seen
-    for d in range(1, max_depth + 1):
-        frontier = links.join(frontier.select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
+    links = staged(links.select("source", "target"), "crawl-links")
+    frontier = seen = staged(seeds.select("node", F.lit(0).alias("depth")).distinct(), "crawl-level")
+    d = 0
+    while d != max_depth:
+        d += 1
+        found = links.join(frontier.select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node")).distinct()
+        frontier = staged(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)), "crawl-level")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
+
+
+def meaningful(elements: DataFrame, text_col: str = "content") -> DataFrame:
+    """Elements that say something as context: not a root, and with text."""
+    return elements.where((F.col("element_type") != "root") & (F.trim(text_col) != ""))
+
+
+def context_ancestors(elements: DataFrame, depth: int = 1, text_col: str = "content") -> DataFrame:
+    """element_id, texts: of each element the nearest ``depth`` ancestors with text, nearest first."""
+    rows = staged(elements.select("element_id", "parent_id", "element_type", text_col), "context-rows")
+    up = ancestry(rows.select("element_id"), rows).where("distance > 0")
+    said = meaningful(rows, text_col).select(F.col("element_id").alias("ancestor_id"), F.col(text_col).alias("said"))
+    near = Window.partitionBy("element_id").orderBy("distance")
+    got = up.join(said, "ancestor_id").withColumn("k", F.row_number().over(near)).where(F.col("k") <= depth)
+    return got.groupBy("element_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "said"))), lambda x: x["said"]).alias("texts"))
+
+
+def context_children(elements: DataFrame, count: int = 3, text_col: str = "content") -> DataFrame:
+    """element_id, texts: of each element its first ``count`` children with text, in order."""
+    kids = meaningful(elements, text_col).where("parent_id is not null")
+    first = Window.partitionBy("parent_id").orderBy("ord", "element_id")
+    kids = kids.withColumn("k", F.row_number().over(first)).where(F.col("k") <= count)
+    return kids.groupBy(F.col("parent_id").alias("element_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col(text_col).alias("said")))), lambda x: x["said"]).alias("texts"))
+
+
+def family_context(elements: DataFrame, before: int = 1, after: int = 1, ancestors: int = 1, children: int = 1, most_words: int = 500, text_col: str = "content") -> DataFrame:
+    """doc_id, element_id, text: an element with its neighbours, ancestors and children, in this order."""
+    from folia.functions.text import first_words
+
+    elements = staged(elements.select("doc_id", "element_id", "parent_id", "element_type", "ord", first_words(F.col(text_col), most_words).alias("content")), "context-elements")
+    out = context(elements, before, after, most_words)
+    for texts, name in ((context_ancestors(elements, ancestors), "up"), (context_children(elements, children), "down")):
+        out = out.join(texts.withColumnRenamed("texts", name), "element_id", "left")
+    return out.select("doc_id", "element_id", "ord", F.concat_ws("\n\n", "text", "up", "down").alias("text"))

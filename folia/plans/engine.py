@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.operators import edges, explode, markup, search, store, trees
+from folia.functions.formats import detect
+from folia.operators import edges, embed, explode, markup, search, store, trees
 
 Embed = Callable[[DataFrame], DataFrame]
 
@@ -16,56 +17,116 @@ class Engine:
     """Five relations below a root folder, each replaced as a whole version at a time.
 
     ``embed`` turns rows of element_pk and text into rows of element_pk and
-    embedding (a pandas or Arrow function over a model of the caller's).
+    embedding (see ``folia.operators.embed``).  ``semantic`` is the least
+    similarity of elements of one document that makes an edge, and ``across`` that
+    of elements of different ones; None leaves such edges out.
     """
 
-    def __init__(self, spark: SparkSession, root: str, embed: Embed | None = None):
-        self.spark, self.root, self.embed = spark, root.rstrip("/"), embed
+    def __init__(self, spark: SparkSession, root: str, embed: Embed | None = None, semantic: float | None = None, across: float | None = None):
+        self.spark, self.root, self.embed, self.semantic, self.across = spark, root.rstrip("/"), embed, semantic, across
 
     def table(self, name: str) -> DataFrame | None:
-        try:
-            return store.current(self.spark, self.root, name)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
+        return store.current(self.spark, self.root, name)
+
+    def parsed(self, docs: DataFrame) -> DataFrame:
+        """Rows of all documents (doc_id, doc_type, content, perhaps bytes), each by its format's generator."""
+        of = lambda *kinds: docs.where(F.col("doc_type").isin(*kinds))
+        own = ["markdown", *markup.PARSERS]
+        if "bytes" not in docs.columns:
+            own = [k for k in own if k not in markup.BINARY]
+        text = explode.explode_text(docs.where(~F.col("doc_type").isin(*own)), "doc_id", "content")
+        rows = text.withColumn("doc_id", F.col("doc_id").cast("string")).unionByName(explode.explode_markdown(of("markdown"), "doc_id", "content"))
+        for kind in own[1:]:
+            rows = rows.unionByName(markup.explode_markup(of(kind), kind, content_col="bytes" if kind in markup.BINARY else "content"))
+        return rows
+
+    def links(self, docs: DataFrame, rows: DataFrame) -> DataFrame:
+        """doc_id, source_id, link_text, link_target: links of text and Markdown leave the root, those of markup their element."""
+        root = F.md5(F.concat_ws("|", F.col("doc_id"), F.lit("0"), F.lit("root"))).alias("source_id")
+        plain = explode.text_links(docs.where(~F.col("doc_type").isin("markdown", *markup.PARSERS)), "doc_id", "content").select("doc_id", root, "link_text", "link_target")
+        marked = explode.markdown_links(docs.where("doc_type = 'markdown'"), "doc_id", "content").select("doc_id", root, "link_text", "link_target")
+        ids = rows.select("doc_id", "ord", F.md5(F.concat_ws("|", "doc_id", F.col("ord").cast("string"), "element_type")).alias("source_id"), "metadata")
+        deep = markup.markup_links(ids.where("metadata is not null")).join(ids.select("doc_id", "ord", "source_id"), ["doc_id", "ord"]).select("doc_id", "source_id", F.lit(None).cast("string").alias("link_text"), "link_target")
+        return plain.unionByName(marked).unionByName(deep)
 
     def ingest(self, docs: DataFrame) -> dict[str, int]:
-        """Takes source_id, doc_type, content; only new and changed sources are parsed again.
+        """Takes source_id, doc_type, content (and bytes for office files and PDF); only new and changed sources are parsed again.
 
-        Returns the numbers of documents, elements and relationships written and
-        of unchanged documents.
+        A type that isn't stated is detected.  Of rows with one source_id that with
+        the greatest content hash counts.  Returns the numbers of documents,
+        elements and relationships written and of unchanged documents.
         """
-        docs = docs.select("source_id", "doc_type", "content", F.md5(F.coalesce("content", F.lit(""))).alias("content_hash")).dropDuplicates(["source_id"])
+        more = ["bytes"] if "bytes" in docs.columns else []
+        raw = F.coalesce("content", F.lit(""))
+        hashed = F.md5(F.coalesce(F.col("bytes"), F.encode(raw, "UTF-8"))) if more else F.md5(raw)
+        docs = docs.select("source_id", detect(F.col("source_id"), F.col("content"), F.col("doc_type")).alias("doc_type"), "content", *more, hashed.alias("content_hash"))
+        docs = docs.groupBy("source_id").agg(F.max_by(F.struct("doc_type", "content", *more, "content_hash"), F.struct("content_hash", "doc_type")).alias("r")).select("source_id", "r.*")
         old = self.table("documents")
         todo = docs if old is None else docs.join(old.select("source_id", F.col("content_hash").alias("h")), "source_id", "left").where("h is null or h <> content_hash").drop("h")
         path = store.swap(todo.withColumn("doc_id", F.md5("source_id")), self.root, "batch")
         todo = self.spark.read.parquet(path)
-        text = explode.explode_text(todo.where("doc_type not in ('html', 'xml', 'markdown')"), "doc_id", "content")
-        rows = text.withColumn("doc_id", F.col("doc_id").cast("string")).unionByName(explode.explode_markdown(todo.where("doc_type = 'markdown'"), "doc_id", "content"))
-        for kind in ("html", "xml"):
-            rows = rows.unionByName(markup.explode_markup(todo.where(F.col("doc_type") == kind), kind))
+        rows = self.spark.read.parquet(store.swap(self.parsed(todo), self.root, "rows"))
         new = explode.with_ids(rows)
         before = self.table("elements")
         elements = store.replace_elements(new.withColumn("element_pk", F.lit(0).cast("long")).limit(0) if before is None else before, new)
         elements = self.spark.read.parquet(store.swap(elements, self.root, "elements"))
         fresh = elements.join(todo.select("doc_id"), "doc_id", "left_semi")
-        found = edges.union_detectors(edges.containment_edges(fresh), edges.sibling_edges(fresh))
-        kept = self.table("relationships")
-        if kept is not None:
-            found = kept.join(todo.select("doc_id"), "doc_id", "left_anti").unionByName(found)
-        store.swap(found, self.root, "relationships")
+        found = edges.union_detectors(edges.containment_edges(fresh), edges.sibling_edges(fresh), edges.link_edges(self.links(todo, rows), fresh))
         if self.embed:
             vectors = self.embed(trees.context(explode.with_ids(rows, whole=True)).join(fresh.select("element_id", "element_pk"), "element_id").select("element_pk", "text"))
             had = self.table("embeddings")
             if had is not None:
                 vectors = had.join(elements.select("element_pk"), "element_pk", "left_semi").join(fresh.select("element_pk"), "element_pk", "left_anti").unionByName(vectors)
-            store.swap(vectors, self.root, "embeddings")
+            vectors = self.spark.read.parquet(store.swap(vectors, self.root, "embeddings"))
+            found = edges.union_detectors(found, *self._similar(fresh, elements, vectors))
+        kept = self.table("relationships")
+        if kept is not None:
+            found = kept.join(todo.select("doc_id"), "doc_id", "left_anti").unionByName(found)
+        store.swap(found, self.root, "relationships")
         changed, total = todo.count(), docs.count()
         documents = todo.select("source_id", "doc_id", "doc_type", "content_hash")
         store.swap(documents if old is None else store.upsert(old, documents, "source_id"), self.root, "documents")
         return {"documents": changed, "unchanged": total - changed, "elements": fresh.count(), "relationships": self.table("relationships").join(todo.select("doc_id"), "doc_id", "left_semi").count()}
 
+    def _similar(self, fresh: DataFrame, elements: DataFrame, vectors: DataFrame) -> list[DataFrame]:
+        """Semantic edges in the documents just parsed, and from their containers to other documents."""
+        from folia.schema import CONTAINERS
+
+        named = fresh.join(vectors, "element_pk")
+        out = []
+        if self.semantic is not None:
+            out.append(edges.similarity_edges(edges.semantic_edges(named.select("doc_id", "element_id", "ord", "embedding"), self.semantic)))
+        if self.across is not None:
+            everything = elements.select("element_pk", "element_id", "doc_id").join(vectors, "element_pk")
+            pairs = search.knn_join(named.where(F.lower("element_type").isin(CONTAINERS)), everything, 20, group="doc_id", threshold=self.across)
+            a, b = (elements.select(F.col("element_pk").alias(k), F.col("element_id").alias(n), *more) for k, n, more in (("source", "source_id", ["doc_id"]), ("target", "target_reference", [])))
+            out.append(edges.similarity_edges(pairs.withColumnRenamed("score", "similarity").join(a, "source").join(b, "target")))
+        return out
+
+    def search_text(self, text: str, limit: int = 10, wanted: dict | None = None, min_score: float = 0.0) -> DataFrame:
+        """Hits of a text: its vector is made as those of the elements were."""
+        return self.search(embed.query_vector(self.spark, self.embed, text), limit, wanted, min_score)
+
+    def document(self, doc_id: str) -> DataFrame:
+        return self.table("documents").where(F.col("doc_id") == doc_id)
+
+    def element(self, key: int | str) -> DataFrame:
+        """By element_pk or element_id."""
+        return self.table("elements").where(F.col("element_pk" if isinstance(key, int) else "element_id") == key)
+
+    def document_elements(self, source: str) -> DataFrame:
+        """By doc_id or source_id, in document order."""
+        ids = self.table("documents").where((F.col("doc_id") == source) | (F.col("source_id") == source)).select("doc_id")
+        return self.table("elements").join(ids, "doc_id", "left_semi").orderBy("doc_id", "ord")
+
+    def document_relationships(self, doc_id: str) -> DataFrame:
+        ids = self.table("elements").where(F.col("doc_id") == doc_id).select(F.col("element_id").alias("source_id"))
+        return self.table("relationships").join(ids, "source_id", "left_semi")
+
+    def counts(self) -> dict[str, int]:
+        """Rows of each relation; 0 for one that isn't there yet."""
+        return {t: 0 if (df := self.table(t)) is None else df.count() for t in ("documents", "elements", "relationships", "embeddings")}
+
     def search(self, query: list[float], limit: int = 10, wanted: dict | None = None, min_score: float = 0.0) -> DataFrame:
         """Hits with their elements, best first; at least ``min_score`` among the best 2 * limit."""
         vectors = self.table("embeddings").join(self.table("elements"), "element_pk")

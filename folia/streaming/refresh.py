@@ -21,12 +21,8 @@ def refresh(spark: SparkSession, folder: str, schema: str, state: str, checkpoin
     def batch(df: DataFrame, number: int) -> None:
         rows = df.withColumn("content_hash", F.md5(F.coalesce("content", F.lit(""))))
         rows = rows.groupBy("source_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "source_id"]), F.struct("version", "content_hash")).alias("r")).select("source_id", "r.*")
-        try:
-            old = store.current(spark, state, "sources")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = rows.limit(0)
+        old = store.current(spark, state, "sources")
+        old = rows.limit(0) if old is None else old
         changed = rows.join(old.select("source_id", F.col("content_hash").alias("h")), "source_id", "left").where("h is null or h <> content_hash").drop("h")
         store.swap(store.upsert(old, changed, "source_id"), state, "sources")
         if apply:
