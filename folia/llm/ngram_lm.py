@@ -3,7 +3,9 @@
 Counting: each task folds its documents' n-grams into sorted, compressed arrays,
 dealt by the last word of the context.  All n-grams with that word meet in one
 part, so the part alone knows the counts of its contexts and, without their first
-words, of all shorter n-grams: one shuffle serves all levels.  Words that a sample
+words, of all shorter n-grams: one shuffle serves all levels.  The arrays number
+words; those of a sample have numbers that all tasks know, so the lists that name
+words for the rest don't grow with the number of parts.  Words that the sample
 shows to be frequent are dealt by the word before too, and their pairs merged in a
 second, small round; a last round merges what several parts know of one word.  A part
 writes its n-grams and contexts as sorted hash arrays into the shared folder.
@@ -45,11 +47,13 @@ PART_BYTES, LEAST_PARTS = 8 << 20, 16
 #: Parts that one task merges, one after the other: their n-grams travel with one list of words.
 GROUP = 4
 #: Ways that n-grams are dealt at once; more groups of parts take more rounds.
-FAN = 64
-#: Documents in the sample that shows frequent words; it decides where rows go, not what they say.
+FAN = 1024
+#: Documents in the sample that shows frequent words; it decides where rows go and how they are written, not what they say.
 SAMPLE = 2_000
-#: The most parts that words are dealt to.
-WORD_PARTS = 4096
+#: The most words of the sample that all tasks know, so that blobs name them by number: 8 bytes each are broadcast.
+KNOWN = 1 << 18
+#: Parts of n-grams for each part that words are dealt to, and the most of these.
+WORD_SHARE, WORD_PARTS = 64, 4096
 
 
 def held_out(id_col: str) -> Column:
@@ -139,13 +143,46 @@ def _distinct(columns: list[np.ndarray], n: np.ndarray | None, names: int) -> tu
     return [c[order[first]] for c in columns], sums
 
 
+class Known:
+    """The words that all tasks know, the most frequent first."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.order = words, np.argsort(words)
+
+    def __reduce__(self):
+        return Known, (self.words,)
+
+    def places(self, names: np.ndarray) -> np.ndarray:
+        """The number of each word, that of all words for others."""
+        if not len(self.words):
+            return np.zeros(len(names), dtype=np.int64)
+        at = self.order[np.minimum(np.searchsorted(self.words, names, sorter=self.order), len(self.order) - 1)]
+        return np.where(self.words[at] == names, at, len(self.words))
+
+    def first(self, names: np.ndarray, *less: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The names with known words first, in their order, then others (by ``less``), and the new number of each."""
+        rank = np.lexsort((*less, self.places(names)))
+        back = np.empty(len(rank), dtype=np.int64)
+        back[rank] = np.arange(len(rank))
+        return names[rank], back
+
+    def written(self, names: np.ndarray) -> tuple[bytes, bytes]:
+        """Names that come known first as the steps between their numbers, and the rest."""
+        at = self.places(names)
+        known = at < len(self.words)
+        return packed(steps(at[known])), planes(names[~known])
+
+    def read(self, blob: tuple[bytes, bytes]) -> np.ndarray:
+        return np.concatenate([self.words[np.cumsum(unpacked(blob[0])[0], dtype=np.int64)], flat(blob[1], "<u8")])
+
+
 BLOBS = pa.schema([("part", pa.int64()), ("salt", pa.int64()), ("data", pa.binary())])
 BLOBS_DDL = "part bigint, salt bigint, data binary"
 TALLY = pa.schema([("part", pa.int64()), ("what", pa.string()), ("n", pa.list_(pa.int64()))])
 
 
-def _dealt_grams(names: np.ndarray, columns: list[np.ndarray], n: np.ndarray, part: np.ndarray, width: int):
-    """(group of ``width`` parts, blob) of distinct n-grams in order.
+def _dealt_grams(names: np.ndarray, columns: list[np.ndarray], n: np.ndarray, part: np.ndarray, width: int, known: Known):
+    """(group of ``width`` parts, blob) of distinct n-grams in order; of the names known ones are first.
 
     A blob names the words of all its parts once; of each part it has the context's
     last word, then the words before it, the last word and the counts.
@@ -166,14 +203,16 @@ def _dealt_grams(names: np.ndarray, columns: list[np.ndarray], n: np.ndarray, pa
             step = steps(own[0])
             own[1] = np.where(step > 0, own[1], steps(own[1]))
             slices.append((int(part[rows[0]]), packed(step, *own[1:], n[rows])))
-        yield int(part[order[lo]]) // width, pickle.dumps((planes(names[there]), slices), protocol=5)
+        yield int(part[order[lo]]) // width, pickle.dumps((known.written(names[there]), slices), protocol=5)
 
 
-def _read_grams(blobs: list[bytes], order: int):
-    """The names of all blobs, and (part, columns of numbers, counts) part by part; an n-gram may come several times."""
+def _read_grams(blobs: list[bytes], order: int, known: Known):
+    """The names of all blobs, known ones first, and (part, columns of numbers, counts) part by part; an n-gram may come several times."""
     got = [pickle.loads(x) for x in blobs]
-    tables = [flat(x, "<u8") for x, _ in got]
+    tables = [known.read(x) for x, _ in got]
     names, at = np.unique(np.concatenate(tables), return_inverse=True)
+    names, back = known.first(names)
+    at = back[at]
     starts = np.cumsum([0, *map(len, tables)]).tolist()
     by_part: dict[int, list] = {}
     for i, (_, slices) in enumerate(got):
@@ -209,7 +248,7 @@ def _in_batches(rows):
         yield batch(BLOBS, [p for p, _ in got], np.full(len(got), salt), [d for _, d in got])
 
 
-def _count(batches, layout: Layout, order: int, width: int):
+def _count(batches, layout: Layout, order: int, width: int, known: Known):
     """Folded n-grams of training texts as blobs by groups of ``width`` parts."""
     words, held, size = WordHashes(500_000), [], 0
 
@@ -217,12 +256,10 @@ def _count(batches, layout: Layout, order: int, width: int):
         t = np.concatenate([[START], *held])
         names, t, n = np.unique(t, return_inverse=True, return_counts=True)
         # frequent words have low numbers, which compress
-        rank = np.argsort(-n, kind="stable")
-        back = np.empty(len(rank), dtype=np.int64)
-        back[rank] = np.arange(len(rank))
-        names, t = names[rank], back[t]
+        names, back = known.first(names, -n)
+        t = back[t]
         columns, n = _distinct(before(t[1:], np.array([len(x) for x in held]), order, t[0]), None, len(names))
-        yield from _dealt_grams(names, columns, n, layout.of_grams([names[c] for c in columns]), width)
+        yield from _dealt_grams(names, columns, n, layout.of_grams([names[c] for c in columns]), width, known)
 
     for b in sliced(batches):
         for text in b.column(0).to_pylist():
@@ -235,15 +272,15 @@ def _count(batches, layout: Layout, order: int, width: int):
         yield from _in_batches(fold())
 
 
-def _refold(batches, layout: Layout, order: int, width: int):
+def _refold(batches, layout: Layout, order: int, width: int, known: Known):
     """Blobs of wide groups merged as they come and dealt to groups of ``width`` parts."""
     held, size = [], 0
 
     def fold():
-        names, parts = _read_grams(held, order)
+        names, parts = _read_grams(held, order, known)
         *columns, n = map(np.concatenate, zip(*((*c, n) for _, c, n in parts), strict=True))
         columns, n = _distinct(columns, n, len(names))
-        yield from _dealt_grams(names, columns, n, layout.of_grams([names[c] for c in columns]), width)
+        yield from _dealt_grams(names, columns, n, layout.of_grams([names[c] for c in columns]), width, known)
 
     for b in batches:
         for data in b.column("data").to_pylist():
@@ -378,11 +415,11 @@ def _table(out: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table([[p for p, _ in out], [0] * len(out), [d for _, d in out]], schema=BLOBS)
 
 
-def _merge_grams(folder: str, layout: Layout, order: int):
+def _merge_grams(folder: str, layout: Layout, order: int, known):
     """Merges the n-grams of a group of parts, part by part, and writes the arrays of all levels down to its words; passes on pairs after frequent words and what other parts add to."""
 
     def merge(table: pa.Table) -> pa.Table:
-        names, parts = _read_grams(table["data"].to_pylist(), order)
+        names, parts = _read_grams(table["data"].to_pylist(), order, known.value)
         hot, shared, later = layout.is_hot(names), layout.is_shared(names), []
         rows, out = np.zeros((6, len(names)), dtype=np.int64), []
         start = int(np.flatnonzero(names == START)[0]) if (names == START).any() else -1
@@ -422,20 +459,20 @@ def _merge_grams(folder: str, layout: Layout, order: int):
         if later:
             *pairs, n = map(np.concatenate, zip(*later, strict=True))
             pairs, n = _distinct(pairs, n, len(names))
-            out += _dealt_grams(names, pairs, n, layout.of_grams([names[c] for c in pairs]), GROUP)
+            out += _dealt_grams(names, pairs, n, layout.of_grams([names[c] for c in pairs]), GROUP, known.value)
         out += _word_rows(layout, names, rows)
         return _table(out)
 
     return merge
 
 
-def _merge_pairs(folder: str, layout: Layout):
+def _merge_pairs(folder: str, layout: Layout, known):
     """Merges pairs after frequent words; passes everything else on."""
 
     def merge(table: pa.Table) -> pa.Table:
         if table["part"][0].as_py() < 0:
             return table.select(BLOBS.names)
-        names, parts = _read_grams(table["data"].to_pylist(), 2)
+        names, parts = _read_grams(table["data"].to_pylist(), 2, known.value)
         rows, out = np.zeros((6, len(names)), dtype=np.int64), []
         for part, columns, n in parts:
             columns, n = _distinct(columns, n, len(names))
@@ -589,12 +626,12 @@ def _file(folder: str, name: str) -> SortedHashes | None:
     return SortedHashes(path)
 
 
-def _frequent(docs: DataFrame, parts: int) -> tuple:
-    """Words with over half a part's share of a sample's tokens, and START."""
+def _frequent(docs: DataFrame, parts: int) -> tuple[tuple, np.ndarray]:
+    """Words with over half a part's share of a sample's tokens, and START; and the KNOWN most frequent, by frequency."""
     words = WordHashes()
     t = np.concatenate([[START], *(tokens(words, r[0]) for r in docs.take(SAMPLE))])
     w, n = np.unique(t, return_counts=True)
-    return tuple(sorted({*w[2 * parts * n > len(t)].tolist(), int(START)}))
+    return tuple(sorted({*w[2 * parts * n > len(t)].tolist(), int(START)})), w[np.lexsort((w, -n))][:KNOWN]
 
 
 def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None, order: int = 2, fan: int = FAN) -> NgramModel:
@@ -611,16 +648,18 @@ def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None, orde
     size = size if size < 1 << 60 else 0
     parts = max(LEAST_PARTS, size // PART_BYTES)
     texts = docs.select(F.col(text_col).alias("text"))
-    layout = Layout(parts, min(WORD_PARTS, max(LEAST_PARTS, parts // fan)), _frequent(texts, parts), order)
+    hot, words = _frequent(texts, parts)
+    layout = Layout(parts, min(WORD_PARTS, max(LEAST_PARTS, parts // WORD_SHARE)), hot, order)
+    known = docs.sparkSession.sparkContext.broadcast(Known(words))  # KNOWN words at most
     tasks = max(fan, size // (64 << 20))
     width = max(GROUP, -(-parts // fan))
-    stats = texts.mapInArrow(lambda b, width=width: _count(b, layout, order, width), BLOBS_DDL)
+    stats = texts.mapInArrow(lambda b, width=width: _count(b, layout, order, width, known.value), BLOBS_DDL)
     while width > GROUP:  # wider groups of parts are dealt on, each by several tasks
         width = max(GROUP, -(-width // fan))
-        stats = stats.withColumn("salt", F.pmod("salt", F.lit(-(-tasks // fan)))).repartition(tasks, "part", "salt").mapInArrow(lambda b, width=width: _refold(b, layout, order, width), BLOBS_DDL)
-    stats = stats.groupBy("part").applyInArrow(_merge_grams(folder, layout, order), BLOBS_DDL)
+        stats = stats.withColumn("salt", F.pmod("salt", F.lit(-(-tasks // fan)))).repartition(tasks, "part", "salt").mapInArrow(lambda b, width=width: _refold(b, layout, order, width, known.value), BLOBS_DDL)
+    stats = stats.groupBy("part").applyInArrow(_merge_grams(folder, layout, order, known), BLOBS_DDL)
     if order > 2:
-        stats = stats.groupBy("part").applyInArrow(_merge_pairs(folder, layout), BLOBS_DDL)
+        stats = stats.groupBy("part").applyInArrow(_merge_pairs(folder, layout, known), BLOBS_DDL)
     tallies = stats.groupBy("part").applyInArrow(_merge_words(folder, layout), "part bigint, what string, n array<bigint>")
     # added up per kind: a row per level, whatever the number of parts
     total = {r.what: r.n for r in tallies.select("what", F.posexplode("n").alias("i", "x")).groupBy("what", "i").agg(F.sum("x").alias("x")).groupBy("what").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("n")).collect()}
