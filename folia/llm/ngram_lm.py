@@ -34,7 +34,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm._arrays import flat, groups, packed, planes, steps, unpacked
+from folia.llm._arrays import flat, groups, narrow, packed, planes, steps, unpacked
 from folia.llm._store import filesystem, new_folder, publish
 from folia.llm._text import WordHashes, batch, mapped, mix, sliced
 
@@ -166,9 +166,8 @@ class Known:
         back[rank] = np.arange(len(rank))
         return names[rank], back
 
-    def written(self, names: np.ndarray) -> tuple[bytes, bytes]:
-        """Names that come known first as the steps between their numbers, and the rest."""
-        at = self.places(names)
+    def written(self, names: np.ndarray, at: np.ndarray) -> tuple[bytes, bytes]:
+        """Names that come known first, with their places, as the steps between these, and the rest."""
         known = at < len(self.words)
         return packed(steps(at[known])), planes(names[~known])
 
@@ -187,7 +186,7 @@ def _dealt_grams(names: np.ndarray, columns: list[np.ndarray], n: np.ndarray, pa
     A blob names the words of all its parts once; of each part it has the context's
     last word, then the words before it, the last word and the counts.
     """
-    order = np.argsort(part, kind="stable")
+    order, places = np.argsort(narrow(part), kind="stable"), known.places(names)
     cut = np.append(groups(part[order] // width), len(order)).tolist()
     for lo, hi in zip(cut, cut[1:], strict=False):
         there = np.zeros(len(names), dtype=bool)
@@ -203,7 +202,7 @@ def _dealt_grams(names: np.ndarray, columns: list[np.ndarray], n: np.ndarray, pa
             step = steps(own[0])
             own[1] = np.where(step > 0, own[1], steps(own[1]))
             slices.append((int(part[rows[0]]), packed(step, *own[1:], n[rows])))
-        yield int(part[order[lo]]) // width, pickle.dumps((known.written(names[there]), slices), protocol=5)
+        yield int(part[order[lo]]) // width, pickle.dumps((known.written(names[there], places[there]), slices), protocol=5)
 
 
 def _read_grams(blobs: list[bytes], order: int, known: Known):
@@ -326,7 +325,7 @@ class SortedHashes:
     """A file of ``_save``, mapped into memory once."""
 
     def __init__(self, path: str):
-        raw = np.memmap(path, dtype="u1", mode="r")
+        raw = np.memmap(path, dtype="u1", mode="r").view(np.ndarray)
         n, self.bits, columns, values, rest = np.frombuffer(raw[:64].tobytes(), dtype="<u8")[:5].astype(int).tolist()
         at = 64
 
@@ -345,19 +344,25 @@ class SortedHashes:
         """(places of the keys that are there, their rows of values)."""
         b = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), dtype=np.int64)
         lo, hi = self.starts[b].astype(np.int64), self.starts[b + 1].astype(np.int64)
-        mask = np.uint64((1 << (64 - self.bits)) - 1)
-        want, end = keys & mask, hi
-        at = lambda i: (self.high[i].astype(np.uint64) << np.uint64(32)) | self.low[i]
+        end = hi.copy()
+        high, low = (keys >> np.uint64(32)).astype(self.high.dtype), keys.astype(np.uint32)  # without bucket bits, as in the file
         open_ = np.flatnonzero(lo < hi)
-        while len(open_):  # binary search in all buckets at once
+        while len(open_):  # binary search by the high bits in all buckets at once
             m = (lo[open_] + hi[open_]) >> 1
-            less = at(m) < want[open_]
+            less = self.high[m] < high[open_]
             lo[open_[less]] = m[less] + 1
             hi[open_[~less]] = m[~less]
             open_ = open_[lo[open_] < hi[open_]]
-        end = self.starts[b + 1].astype(np.int64)
-        hit = np.flatnonzero(lo < end)
-        hit = hit[at(lo[hit]) == want[hit]]
+        hit, open_ = [], np.flatnonzero(lo < end)
+        while len(open_):  # rows with equal high bits follow in order of the low ones
+            row = lo[open_]
+            same = self.high[row] == high[open_]
+            have = self.low[row]
+            hit.append(open_[same & (have == low[open_])])
+            open_ = open_[same & (have < low[open_])]
+            lo[open_] += 1
+            open_ = open_[lo[open_] < end[open_]]
+        hit = np.concatenate(hit) if hit else open_
         row = lo[hit]
         code = self.code[row].astype(np.int64)
         more = code == 255
@@ -528,7 +533,9 @@ class NgramModel:
     def _look(self, kind: str, part: np.ndarray, keys: np.ndarray, columns: int) -> np.ndarray:
         """A row of values for each key; 0 where a key isn't there."""
         out = np.zeros((len(keys), columns))
-        order = np.argsort(part, kind="stable")
+        # by part, and in a part nearly in the order of its file, so that look-ups pass through it once
+        order = np.argsort((keys >> np.uint64(48)).astype(np.uint16), kind="stable")
+        order = order[np.argsort(narrow(part)[order], kind="stable")]
         cut = np.append(groups(part[order]), len(order)).tolist()
         for lo, hi in zip(cut, cut[1:], strict=False):
             rows = order[lo:hi]
@@ -573,15 +580,16 @@ class NgramModel:
         first[starts] = True
         for level in range(2, order + 1):
             off = np.array(self.gram_off[level - 2])
-            own, at = _unique(columns[-level:], len(words))
+            # most of the longest n-grams come once in a batch: they are looked up as they are
+            own, at = _unique(columns[-level:], len(words)) if level < order else (columns[-level:], slice(None))
             c = self._grams([words[x] for x in own])[at]
             total, one, two, more = context
             gamma = (one * off[1] + two * off[2] + more * off[3]) / np.maximum(total, 1)
             gamma[total == 0] = 1.0  # a context never seen says nothing about the next word
             p = np.maximum(c - off[np.minimum(c, 3).astype(int)], 0) / np.maximum(total, 1) + gamma * p
             if level < order:  # the contexts of the next level: the n-grams that end before the token
-                heads, at = _unique(columns[-level - 1 : -1], len(words))
-                heads = [words[x] for x in heads]
+                heads = [words[np.append(x, start)] for x in own]
+                at = np.where(first, len(own[0]), np.concatenate([[0], at[:-1]]))
                 # any word after them would do: their part goes by their last two
                 seen = self._look(f"c{level + 1}", self.layout.of_grams([*heads, heads[-1]]), gram_keys(heads), 4)
                 context = list(seen[at].T)
