@@ -80,8 +80,17 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.filter_audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+_ALL = (op1_html_extraction, op2_token_counts, op3_lm_scoring, op4_packing, op5_license_scan, op6_warc, op7_quality_rules, op8_decontamination, op9_quality_classifier, op10_near_dedup, op11_filter_audit)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_lm_scoring, op4_packing, op5_license_scan, op6_warc, op7_quality_rules, op8_decontamination, op9_quality_classifier, op10_near_dedup)}
+    return {f.__name__: f for f in _ALL}
 
 
 OP6_SQL = """
@@ -95,5 +104,41 @@ from q left join f on q.payload_digest = f.payload_digest
 """
 
 
+#: The five conditions row by row, then every order walked step by step: a row's
+#: first failed filter in the order is the one that removes it.
+OP11_SQL = r"""
+with d as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+         coalesce(doc_id > min(doc_id) over (partition by coalesce(text, '')), false) as e
+  from documents),
+l as (select doc_id, max((quality = 1)::int) as q, max((toxic = 1)::int) as x from labels group by doc_id),
+r as (
+  select part, coalesce(q, 0) = 1 as good, coalesce(x, 0) = 1 as toxic,
+         (case when len(w) < 200 then 'A' else '' end) || (case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end)
+         || (case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) then 'C' else '' end)
+         || (case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end) || (case when e then 'E' else '' end) as fails
+  from d left join l on d.doc_id = l.doc_id),
+g as (select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from r group by part, fails),
+f as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+o as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order from f a, f b, f c, f d, f e
+  where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s as (select filter_order, k::int as step, substr(filter_order, k::int, 1) as f, substr(filter_order, 1, k::int - 1) as before from o, range(1, 6) as x(k)),
+c as (
+  select part, filter_order, step, s.f,
+         sum(n) filter (not contains(fails, s.f) and translate(fails, before, '') = fails) as kept,
+         sum(n) filter (contains(fails, s.f) and translate(fails, before, '') = fails) as removed,
+         sum(n) filter (contains(fails, s.f) and translate(fails, before, '') <> fails) as redundant,
+         sum(n) filter (fails = s.f) as unique_fails,
+         sum(good) filter (contains(fails, s.f) and translate(fails, before, '') = fails) as good_lost,
+         sum(toxic) filter (contains(fails, s.f) and translate(fails, before, '') = fails) as toxic_lost
+  from g, s group by part, filter_order, step, s.f)
+select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant,
+       coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+       (sum(coalesce(removed, 0)) over (partition by part, f))::bigint as shapley
+from c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL}
+    return {"op6_warc": OP6_SQL, "op11_filter_audit": OP11_SQL}
