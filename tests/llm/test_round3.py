@@ -8,9 +8,9 @@ from collections import Counter
 from itertools import permutations
 
 import duckdb
-import pytest
+import numpy as np
 
-from folia.llm import filter_audit
+from folia.llm import filter_audit, periodic_runs
 from folia.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +82,98 @@ def test_words_of_long_texts(monkeypatch):
     monkeypatch.setattr(filter_audit, "PIECE", 10)
     w = W.findall(text.decode())
     assert filter_audit.word_counts(text) == whole == (len(w), len(set(w)))
+
+
+def brute_runs(s):
+    """Every maximal stretch with a smallest period that fits twice, by comparing all distances."""
+    n, out = len(s), set()
+    for p in range(1, n // 2 + 1):
+        i = 0
+        while i + p < n:
+            j = i
+            while j + p < n and s[j] == s[j + p]:
+                j += 1
+            if j - i >= p:
+                part = s[i : j + p]
+                if all(any(x != y for x, y in zip(part, part[q:])) for q in range(1, p)):
+                    out.add((i, j - i + p, p))
+            i = max(j, i + 1)
+    return out
+
+
+def test_runs_equal_brute_force():
+    r = random.Random(3)
+    for _ in range(1500):
+        n, k = r.randint(0, 40), r.randint(1, 4)
+        s = [r.randrange(k) for _ in range(n)]
+        if n and r.random() < 0.4:
+            a = r.randrange(n)
+            p = 1 + (n - a) // r.randint(2, 6)
+            s = s[:a] + [s[a + (i - a) % p] for i in range(a, n)]
+        got = list(zip(*(x.tolist() for x in periodic_runs.runs(np.array(s, dtype=np.int64))), strict=True))
+        assert len(got) == len(set(got)) and set(got) == brute_runs(s), s
+
+
+def test_each_step_of_the_method():
+    """Blocks are the longest earlier parts, every kind of square gets a mark, and links drop one symbol."""
+    r = random.Random(8)
+    for _ in range(300):
+        s = np.append(np.array([r.randrange(3) for _ in range(r.randint(2, 24))], dtype=np.int64), 9)
+        text, n = s.tolist(), len(s)
+        ahead, back = periodic_runs.Extensions(s), periodic_runs.Extensions(s[::-1].copy())
+        tree = periodic_runs.SuffixTree(s, ahead)
+        before = periodic_runs.longest_before(tree, n)
+        assert before.tolist() == [max([next(k for k in range(n) if i + k == n or text[j + k] != text[i + k]) for j in range(i)], default=0) for i in range(n)]
+        start, half = periodic_runs.leftmost_cover(s, ahead, back, periodic_runs.blocks(before))
+        assert all(text[i : i + k] == text[i + k : i + 2 * k] for i, k in zip(start.tolist(), half.tolist(), strict=True))
+        kinds = periodic_runs.vocabulary(s, tree, start, half, before)
+        squares = {tuple(text[i : i + 2 * k]) for k in range(1, n) for i in range(n - 2 * k + 1) if text[i : i + k] == text[i + k : i + 2 * k]}
+        marked = [tuple(text[tree.least[v] : tree.least[v] + 2 * k]) for v, k in kinds]
+        assert len(marked) == len(set(marked)) and set(marked) == squares
+
+
+def brute_periodic(i, t):
+    words = W.findall(t or "")
+    n, h = len(words), zlib.crc32(str(i).encode()) if i is not None else 1
+    if h % 10 == 0 and n:
+        a, g = h // 10 % n, h // 10
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[k] if k < a else words[a + (k - a) % p] for k in range(n)]
+    got = sorted(((s, m, q) for s, m, q in brute_runs(words) if m >= max(6, 4 * q)), key=lambda x: (x[0], x[2]))
+    drop = {k for s, m, q in got for k in range(s + q, s + m)}
+    best = max(got, key=lambda x: (x[1] / x[2], -x[0], -x[2])) if got else (None,) * 3
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    kept = " ".join(w for k, w in enumerate(words) if k not in drop)
+    lines = "".join(f"{s},{m},{q}\n" for s, m, q in got)
+    return (i, len(got), *best, 1000 * best[1] // best[2] if got else None, sha(lines), sha(kept)), (lines, kept)
+
+
+PERIODIC = ("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def test_periodic_runs_equal_brute_force(spark, monkeypatch):
+    r = random.Random(11)
+    bits = [lambda: "a " * r.randint(1, 9), lambda: (prose(r.randint(1, 4), r) + "\t\n") * r.randint(1, 7), lambda: prose(r.randint(1, 30), r) + " ", lambda: "é\x0bü " * r.randint(2, 6)]
+    rows = [(None, "x " * 9), (1, None), (2, ""), (3, "w"), (4, " \n"), (5, "a b " * 4), (5, "a b " * 4), (6, "a " * 5), (7, "a " * 6 + "b " * 6), (8, "a a a a b " * 5), (9, "x y x y x y x y z " * 4)]
+    rows += [(100 + k, "".join(r.choice(bits)() for _ in range(r.randint(1, 8)))) for k in range(150)]
+    docs = spark.createDataFrame([(*x, "en", 1, "y") for x in rows], "doc_id long, text string, lang string, period int, runs string").repartition(3)
+    want = Counter(brute_periodic(*x)[0] for x in rows)
+    got = periodic_runs.find_runs(docs, plant=True).collect()
+    assert Counter(tuple(x[c] for c in PERIODIC) for x in got) == want
+    texts = {brute_periodic(*x)[0]: brute_periodic(*x)[1] for x in rows}
+    assert all((x.runs, x.collapsed) == texts[tuple(x[c] for c in PERIODIC)] for x in got)
+    assert periodic_runs.find_runs(docs.limit(0), plant=True).count() == 0
+
+
+def test_periodic_runs_of_the_table(spark):
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 6000").collect()]
+    want = Counter(brute_periodic(*x)[0] for x in rows)
+    docs = {x[0] for x in rows}
+    assert Counter(tuple(x) for x in Q.op13_periodic_runs(spark, SF).collect() if x.doc_id in docs) == want
+
+
+def test_a_very_long_periodic_text(spark):
+    unit = [f"w{k}" for k in range(20_000)]
+    docs = spark.createDataFrame([(2, " ".join(unit * 9 + ["end"] * 7))], "doc_id long, text string")
+    got = periodic_runs.find_runs(docs).first()
+    assert got.runs == "0,180000,20000\n180000,7,1\n" and got.exponent_milli == 9000 and got.collapsed == " ".join([*unit, "end"])
