@@ -86,13 +86,22 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from folia.llm.kd_shards import shard
+
+    placed = shard(_table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folia.llm.periodic_runs import find_runs
 
     return find_runs(_table(spark, sf_dir, "documents"), plant=True, with_text=False)
 
 
-_ALL = (op1_html_extraction, op2_token_counts, op3_lm_scoring, op4_packing, op5_license_scan, op6_warc, op7_quality_rules, op8_decontamination, op9_quality_classifier, op10_near_dedup, op11_filter_audit, op13_periodic_runs)
+_ALL = (op1_html_extraction, op2_token_counts, op3_lm_scoring, op4_packing, op5_license_scan, op6_warc, op7_quality_rules, op8_decontamination, op9_quality_classifier, op10_near_dedup, op11_filter_audit, op12_sharding, op13_periodic_runs)
 
 
 def queries() -> dict:

@@ -9,8 +9,9 @@ from itertools import permutations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
-from folia.llm import filter_audit, periodic_runs
+from folia.llm import filter_audit, kd_shards, periodic_runs
 from folia.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -177,3 +178,90 @@ def test_a_very_long_periodic_text(spark):
     docs = spark.createDataFrame([(2, " ".join(unit * 9 + ["end"] * 7))], "doc_id long, text string")
     got = periodic_runs.find_runs(docs).first()
     assert got.runs == "0,180000,20000\n180000,7,1\n" and got.exponent_milli == 9000 and got.collapsed == " ".join([*unit, "end"])
+
+
+def brute_tree(pts, shards):
+    """Shard of each point (coordinates, tie, size) by sorting every node whole."""
+    out = {}
+
+    def cut(mine, k, first):
+        if k == 1 or not mine:
+            out.update(dict.fromkeys(mine, first))
+            return
+        dims = range(len(pts[0][0]))
+        span = [max(pts[i][0][d] for i in mine) - min(pts[i][0][d] for i in mine) for d in dims]
+        d = span.index(max(span))
+        key = lambda i: (pts[i][0][d], pts[i][1])
+        need = sum(pts[i][2] for i in mine) * (k // 2) / k
+        sums, at = {}, 0
+        for i in mine:
+            sums[key(i)] = sums.get(key(i), 0) + pts[i][2]
+        for x in sorted(sums):
+            if at + sums[x] >= need:
+                last = (x, True) if at + sums[x] - need <= need - at else (x, False)
+                break
+            at += sums[x]
+        left = [i for i in mine if key(i) < last[0] or key(i) == last[0] and last[1]]
+        cut(left, k // 2, first)
+        cut(sorted(set(mine) - set(left)), k - k // 2, first + k // 2)
+
+    cut(list(range(len(pts))), shards, 0)
+    return out
+
+
+def test_tree_equals_brute_force(spark):
+    r = random.Random(2)
+    rows = [(k % 90 if r.random() < 0.9 else None, prose(r.randint(0, 40)) if r.random() < 0.7 else "the same", r.choice(["en", "en", "de", None]), r.choice(["https://x/a", "https://x/b", "https://y", None])) for k in range(400)]
+    docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, lang string, source string, size int").repartition(4)
+    raw = kd_shards.staged(kd_shards.measured(docs, "doc_id", "text", kd_shards.DIMENSIONS), "t-raw")
+    got = kd_shards.staged(kd_shards.points(raw, kd_shards.scales(raw, 4)), "t-points")
+    pts = [((x.c0, x.c1, x.c2, x.c3), x.tie, x["size"]) for x in got.collect()]
+    for shards in (1, 2, 7, 40):
+        tree = kd_shards.fit(got, 4, shards, 0)
+        want = brute_tree(pts, shards)
+        at = tree.route(np.array([p[0] for p in pts]).T, np.array([p[1] for p in pts]))
+        assert [tree.shards()[v] for v in at] == [want[i] for i in range(len(pts))]
+
+
+def test_scaled_values_keep_their_order():
+    for values in (["", "a", "ab", "abcdefghi", "abcdefghij", "b", "é"], ["https://x/a", "https://x/b", "https://x/bb"], [-5.0, 0.0, 1e-9, 3.0, 1e18], ["same"], [2.0]):
+        scale = kd_shards.Scale.of(min(values), max(values))
+        got = scale.numbers(pa.array([None, *values])).tolist()
+        assert got == sorted(got) and got[0] == 0 < got[1] and got[-1] < 1 << 32
+
+
+def checked_shards(rows, shards, slack):
+    """Every row once, slots without gaps, and bytes of the shards within ``slack`` of their mean."""
+    size, slots = Counter(), {}
+    for x in rows:
+        size[x.shard] += x["size"]
+        slots.setdefault(x.shard, []).append(x.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) <= set(range(shards))
+    mean = sum(size.values()) / shards
+    assert all(abs(size[k] - mean) <= slack for k in range(shards)), size
+    return size
+
+
+def test_shards(spark):
+    r = random.Random(4)
+    hot = prose(30)
+    rows = [(None, None), (1, ""), (1, ""), (2, "é"), *[(7, hot)] * 900, *[(10 + k, hot) for k in range(600)], *[(5000 + k, prose(r.randint(1, 60))) for k in range(1500)], (9, "long " * 1000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 3, 0, 0) for i, t in rows], "doc_id long, text string, lang string, source string, shard int, slot int, id int").repartition(6)
+    got = kd_shards.shard(docs, shards=16).collect()
+    assert Counter((x.doc_id, x["size"], x.text_crc32) for x in got) == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
+    total = sum(x["size"] for x in got)
+    checked_shards(got, 16, 6000)
+    by_size = kd_shards.shard(docs, target_bytes=total // 5 + 1).collect()
+    assert len(checked_shards(by_size, 5, 6000)) == 5
+    one = kd_shards.shard(docs.limit(1), shards=40).collect()
+    assert len(one) == 1 and one[0].slot == 0
+    assert kd_shards.shard(docs.limit(0), shards=40).count() == 0
+    assert kd_shards.shard(docs.limit(0), target_bytes=10).count() == 0
+
+
+def test_sharding_of_the_table(spark):
+    got = Q.op12_sharding(spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert Counter((x.doc_id, x["size"], x.text_crc32) for x in got) == Counter((x.doc_id, len((x.text or "").encode()) + 16, zlib.crc32((x.text or "").encode())) for x in docs)
+    assert {(x.law, x.grown_shard) for x in got} == {("bytes", None)}
+    checked_shards(got, 40, max(x["size"] for x in got))
