@@ -103,10 +103,18 @@ def similarity_edges(pairs: DataFrame) -> DataFrame:
     return pairs.select(_edge(F.col("doc_id"), F.col("source_id"), "semantic_similarity", F.col("target_reference"), meta).alias("e")).select("e.*")
 
 
+def section_edges(pairs: DataFrame, sections: DataFrame) -> DataFrame:
+    """Pairs (source, target, score) of element_pk as semantic_section edges; ``sections`` has the element_pk, element_id and doc_id of both sides."""
+    a, b = (sections.select(F.col("element_pk").alias(k), F.col("element_id").alias(f"{k}_id"), F.col("doc_id").alias(f"{k}_doc")) for k in ("source", "target"))
+    meta = F.to_json(F.struct(F.round("score", 6).alias("similarity_score"), F.lit(True).alias("cross_document"), F.col("source_doc").alias("source_doc_id"), F.col("target_doc").alias("target_doc_id")))
+    named = pairs.join(a, "source").join(b, "target")
+    return named.select(_edge(F.col("source_doc"), F.col("source_id"), "semantic_section", F.col("target_id"), meta).alias("e")).select("e.*")
+
+
 def confidence(edges: DataFrame) -> DataFrame:
     """Edges with what their metadata say of confidence and similarity (null where they don't)."""
-    of = lambda f: F.get_json_object("metadata", f"$.{f}").cast("double").alias(f)
-    return edges.select("*", of("confidence"), of("similarity"))
+    of = lambda *names: F.coalesce(*(F.get_json_object("metadata", f"$.{f}") for f in names)).cast("double").alias(names[0])
+    return edges.select("*", of("confidence"), of("similarity", "similarity_score"))
 
 
 def by_confidence(edges: DataFrame, key: str = "confidence") -> DataFrame:

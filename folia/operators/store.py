@@ -73,13 +73,27 @@ def swap(df: DataFrame, root: str, table: str) -> str:
     Pointers are only ever added and the one with the greatest number counts, so a
     failure at any place leaves the old version or the new one.
     """
+    path = new_version(root, table)
+    df.write.parquet(path)
+    point(df.sparkSession, root, table, path)
+    return path
+
+
+def new_version(root: str, table: str) -> str:
     import uuid
 
-    path, spark = f"{root}/{table}/v-{uuid.uuid4().hex}", df.sparkSession
-    df.write.parquet(path)
+    return f"{root}/{table}/v-{uuid.uuid4().hex}"
+
+
+def point(spark, root: str, table: str, path: str) -> None:
+    """Makes a written version the current one."""
     last = _pointer(spark, root, table)
     spark.createDataFrame([((last.version if last else 0) + 1, path)], "version long, path string").coalesce(1).write.mode("append").json(f"{root}/{table}/_current")
-    return path
+
+
+def current_path(spark, root: str, table: str) -> str | None:
+    at = _pointer(spark, root, table)
+    return at.path if at else None
 
 
 def _pointer(spark, root: str, table: str):
@@ -96,5 +110,5 @@ def _pointer(spark, root: str, table: str):
 
 def current(spark, root: str, table: str) -> DataFrame | None:
     """The current version of a table, None before the first."""
-    at = _pointer(spark, root, table)
-    return spark.read.parquet(at.path) if at else None
+    path = current_path(spark, root, table)
+    return spark.read.parquet(path) if path else None

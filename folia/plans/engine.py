@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from folia.functions.formats import detect
-from folia.operators import edges, embed, explode, markup, search, store, trees
+from folia.operators import edges, embed, explode, markup, search, store, trees, vector_index
+from folia.schema import SECTION_TYPES
 
 Embed = Callable[[DataFrame], DataFrame]
 
@@ -19,11 +20,16 @@ class Engine:
     ``embed`` turns rows of element_pk and text into rows of element_pk and
     embedding (see ``folia.operators.embed``).  ``semantic`` is the least
     similarity of elements of one document that makes an edge, and ``across`` that
-    of elements of different ones; None leaves such edges out.
+    of sections of different ones; None leaves such edges out.
+
+    Vectors are kept in a vector index besides: ``lists`` of them, of which a
+    search reads ``probes``.  The index keeps its centroids from ingest to ingest
+    until there are four times the vectors they were fitted for.
     """
 
-    def __init__(self, spark: SparkSession, root: str, embed: Embed | None = None, semantic: float | None = None, across: float | None = None):
+    def __init__(self, spark: SparkSession, root: str, embed: Embed | None = None, semantic: float | None = None, across: float | None = None, lists: int = 100, probes: int = 10):
         self.spark, self.root, self.embed, self.semantic, self.across = spark, root.rstrip("/"), embed, semantic, across
+        self.lists, self.probes = lists, probes
 
     def table(self, name: str) -> DataFrame | None:
         return store.current(self.spark, self.root, name)
@@ -62,7 +68,9 @@ class Engine:
         docs = docs.select("source_id", detect(F.col("source_id"), F.col("content"), F.col("doc_type")).alias("doc_type"), "content", *more, hashed.alias("content_hash"))
         docs = docs.groupBy("source_id").agg(F.max_by(F.struct("doc_type", "content", *more, "content_hash"), F.struct("content_hash", "doc_type")).alias("r")).select("source_id", "r.*")
         old = self.table("documents")
-        todo = docs if old is None else docs.join(old.select("source_id", F.col("content_hash").alias("h")), "source_id", "left").where("h is null or h <> content_hash").drop("h")
+        seen = Observation()
+        docs_seen = docs.observe(seen, F.count("*").alias("n"))
+        todo = docs_seen if old is None else docs_seen.join(old.select("source_id", F.col("content_hash").alias("h")), "source_id", "left").where("h is null or h <> content_hash").drop("h")
         path = store.swap(todo.withColumn("doc_id", F.md5("source_id")), self.root, "batch")
         todo = self.spark.read.parquet(path)
         rows = self.spark.read.parquet(store.swap(self.parsed(todo), self.root, "rows"))
@@ -78,29 +86,48 @@ class Engine:
             if had is not None:
                 vectors = had.join(elements.select("element_pk"), "element_pk", "left_semi").join(fresh.select("element_pk"), "element_pk", "left_anti").unionByName(vectors)
             vectors = self.spark.read.parquet(store.swap(vectors, self.root, "embeddings"))
-            found = edges.union_detectors(found, *self._similar(fresh, elements, vectors))
+            found = edges.union_detectors(found, *self._similar(fresh, elements, self._indexed(elements, fresh, vectors)))
         kept = self.table("relationships")
         if kept is not None:
-            found = kept.join(todo.select("doc_id"), "doc_id", "left_anti").unionByName(found)
+            kept = kept.join(todo.select("doc_id"), "doc_id", "left_anti")
+            if before is not None:  # sections of other documents may be like ones that have gone or changed
+                stale = before.join(todo.select("doc_id"), "doc_id", "left_semi").select(F.col("element_id").alias("target_reference"), F.lit("semantic_section").alias("relationship_type"))
+                kept = kept.join(stale, ["target_reference", "relationship_type"], "left_anti").select(found.columns)
+            found = kept.unionByName(found)
         store.swap(found, self.root, "relationships")
-        changed, total = todo.count(), docs.count()
+        changed, total = todo.count(), seen.get["n"]
         documents = todo.select("source_id", "doc_id", "doc_type", "content_hash")
         store.swap(documents if old is None else store.upsert(old, documents, "source_id"), self.root, "documents")
         return {"documents": changed, "unchanged": total - changed, "elements": fresh.count(), "relationships": self.table("relationships").join(todo.select("doc_id"), "doc_id", "left_semi").count()}
 
-    def _similar(self, fresh: DataFrame, elements: DataFrame, vectors: DataFrame) -> list[DataFrame]:
-        """Semantic edges in the documents just parsed, and from their containers to other documents."""
-        from folia.schema import CONTAINERS
-
-        named = fresh.join(vectors, "element_pk")
+    def index(self) -> vector_index.Index | None:
+        path = store.current_path(self.spark, self.root, "vector_index")
+        return vector_index.open_index(self.spark, path) if path else None
+
+    def _indexed(self, elements: DataFrame, fresh: DataFrame, vectors: DataFrame) -> vector_index.Index:
+        """A new version of the vector index: rows of unchanged documents stay as they are, those of ``fresh`` are dealt anew."""
+        described = lambda rows: rows.join(elements.select("element_pk", "doc_id", "element_type"), "element_pk").select("element_pk", "doc_id", "element_type", "embedding")
+        old, path = self.index(), store.new_version(self.root, "vector_index")
+        fitted = 0 if old is None else sum(old.sizes.values())
+        if not fitted or vectors.count() > 4 * fitted:
+            got = vector_index.build(described(vectors), path, lists=self.lists)
+        else:
+            kept = old.rows.join(elements.select("element_pk"), "element_pk", "left_semi").join(fresh.select("element_pk"), "element_pk", "left_anti")
+            new = vectors.join(fresh.select("element_pk"), "element_pk", "left_semi")
+            got = vector_index.write(kept.unionByName(vector_index.assigned(described(new), old.model)), old.model, path)
+        store.point(self.spark, self.root, "vector_index", path)
+        return got
+
+    def _similar(self, fresh: DataFrame, elements: DataFrame, index: vector_index.Index) -> list[DataFrame]:
+        """Semantic edges in the documents just parsed, and from their sections to those of other documents."""
+        new = index.rows.join(fresh.select("element_pk", "element_id", "ord"), "element_pk")
         out = []
         if self.semantic is not None:
-            out.append(edges.similarity_edges(edges.semantic_edges(named.select("doc_id", "element_id", "ord", "embedding"), self.semantic)))
+            out.append(edges.similarity_edges(edges.semantic_edges(new.select("doc_id", "element_id", "ord", "embedding"), self.semantic)))
         if self.across is not None:
-            everything = elements.select("element_pk", "element_id", "doc_id").join(vectors, "element_pk")
-            pairs = search.knn_join(named.where(F.lower("element_type").isin(CONTAINERS)), everything, 20, group="doc_id", threshold=self.across)
-            a, b = (elements.select(F.col("element_pk").alias(k), F.col("element_id").alias(n), *more) for k, n, more in (("source", "source_id", ["doc_id"]), ("target", "target_reference", [])))
-            out.append(edges.similarity_edges(pairs.withColumnRenamed("score", "similarity").join(a, "source").join(b, "target")))
+            section = F.lower("element_type").isin(SECTION_TYPES)
+            pairs = index.knn_join(new.where(section), 20, self.probes, group="doc_id", threshold=self.across, where=section)
+            out.append(edges.section_edges(pairs, elements))
         return out
 
     def search_text(self, text: str, limit: int = 10, wanted: dict | None = None, min_score: float = 0.0) -> DataFrame:
@@ -128,10 +155,20 @@ class Engine:
         return {t: 0 if (df := self.table(t)) is None else df.count() for t in ("documents", "elements", "relationships", "embeddings")}
 
     def search(self, query: list[float], limit: int = 10, wanted: dict | None = None, min_score: float = 0.0) -> DataFrame:
-        """Hits with their elements, best first; at least ``min_score`` among the best 2 * limit."""
-        vectors = self.table("embeddings").join(self.table("elements"), "element_pk")
-        hits = search.top_k(vectors, query, 2 * limit, wanted).where(F.col("score") >= min_score)
-        return hits.join(self.table("elements"), "element_pk").orderBy(F.desc("score"), "element_pk").limit(limit)
+        """Hits with their elements, best first; at least ``min_score`` among the best 2 * limit.
+
+        Without ``wanted`` the lists of the index that are nearest to the query are
+        read; with it, the elements are filtered first and all their vectors compared.
+        """
+        elements, index = self.table("elements"), self.index()
+        if wanted or index is None:
+            allowed = elements.where(search.criteria(wanted or {}))
+            hits = search.top_k(self.table("embeddings").join(allowed.select("element_pk"), "element_pk", "left_semi"), query, 2 * limit)
+        else:
+            hits = index.search(query, 2 * limit, self.probes)
+        hits = hits.where(F.col("score") >= min_score)
+        # at most 2 * limit rows
+        return elements.join(F.broadcast(hits), "element_pk").orderBy(F.desc("score"), "element_pk").limit(limit)
 
     def search_outline(self, query: list[float], limit: int = 10, include_parents: bool = True, **more) -> DataFrame:
         got = trees.outline(self.search(query, limit, **more).select("element_id", "score"), self.table("elements"))
@@ -159,5 +196,9 @@ class Engine:
         store.swap(links, self.root, "relationships")
         if had is not None:
             store.swap(vectors, self.root, "embeddings")
+        if index := self.index():
+            path = store.new_version(self.root, "vector_index")
+            vector_index.write(index.rows.join(gone, "doc_id", "left_anti"), index.model, path)
+            store.point(self.spark, self.root, "vector_index", path)
         store.swap(elements, self.root, "elements")
         store.swap(documents, self.root, "documents")

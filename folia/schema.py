@@ -14,6 +14,9 @@ CONTAINERS = [
     "slide", "comments_container", "comments", "json_array", "json_object", "slide_masters", "slide_templates", "headers", "footers", "page_header", "page_footer", "body",
 ]
 
+# Element types whose likeness across documents makes an edge.
+SECTION_TYPES = ["body", "div", "list", "header", "section", "title", "h1", "h2", "h3", "h4", "h5", "h6"]
+
 # Categories of relationship types; all others are unknown.
 STRUCTURAL = ["next_sibling", "previous_sibling", "contains", "contained_by", "contains_row", "contains_cell", "contains_item"]
 EXPLICIT = ["link", "referenced_by"]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folia.functions import formats, values
-from folia.operators import ann, edges, embed, explode, markup, render, search, store, trees
+from folia.operators import edges, embed, explode, markup, render, search, store, trees
 from folia.sources import resolve
 from folia.sources.config import Config
 from tests.test_operators import _zip, rows
@@ -94,19 +94,6 @@ def test_sections(spark):
     assert got == {"p": "A", "q": "B"}
 
 
-def test_approximate_search_recall(spark):
-    g = np.random.default_rng(4)
-    v = g.normal(size=(1500, 16))
-    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "element_pk long, embedding array<float>").cache()
-    model = ann.fit(df, 24)
-    indexed = ann.index(df, model).cache()
-    hits = 0
-    for q in range(0, 1500, 150):
-        want = {r.element_pk for r in search.top_k(df, v[q].tolist(), 10).collect()}
-        hits += len(want & {r.element_pk for r in ann.search(indexed, model, v[q].tolist(), 10, probes=12).collect()})
-    assert indexed.count() == 1500 and hits >= 90
-
-
 def test_embedders(spark):
     e = embed.embedder("hashing", dimensions=32)
     got = {r.element_pk: r.embedding for r in e(spark.createDataFrame([(1, "a b"), (2, "b a"), (3, None)], "element_pk long, text string")).collect()}
