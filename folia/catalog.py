@@ -278,10 +278,10 @@ def content_search(spark, sf):
     return search.containing(_elements(spark, sf), "content_preview", "The TH").select("element_id")
 
 
-@query("with" + EL + "select el.element_id, d.source from el join documents d on el.doc_id = d.doc_id::varchar where d.source = 'src3' and el.ord <= 2")
+@query("with" + EL + "select el.element_id, d.source from el join documents d on el.doc_id = d.doc_id::varchar where d.source = 'src3'")
 def document_elements(spark, sf):
     d = _t(spark, sf, "documents").where("source = 'src3'").select(F.col("doc_id").cast("string").alias("doc_id"), "source")
-    return _elements(spark, sf).where("ord <= 2").join(d, "doc_id").select("element_id", "source")
+    return _elements(spark, sf).join(d, "doc_id").select("element_id", "source")
 
 
 @query("with" + EL + "select element_type, element_type = 'root' as is_root, parent_id is not null as has_parent, element_type = 'root' as is_container, count(*) as n from el group by all")
@@ -388,19 +388,19 @@ def document_sources(spark, sf):
 @query("with" + EL + "select element_id, element_id as ancestor_id, 0 as distance from el where ord in (0, 2) union all select element_id, parent_id, 1 from el where ord = 2")
 def ancestry(spark, sf):
     e = _elements(spark, sf)
-    return trees.ancestry(e.where("ord in (0, 2)"), e, 3)
+    return trees.ancestry(e.where("ord in (0, 2)"), e)
 
 
 @query("with" + EL + "select element_id, least(ord, 1) as depth, case when ord = 0 then doc_id || '/' || element_id else doc_id || '/' || parent_id || '/' || element_id end as path from el")
 def tree_paths(spark, sf):
-    return trees.paths(_elements(spark, sf), 3)
+    return trees.paths(_elements(spark, sf))
 
 
 @query("with" + EL + "select element_id, doc_id, element_type, case when ord = 2 then 1.5::double end as score from el where ord = 2 or ord = 0 and doc_id in (select doc_id from el where ord = 2)")
 def outline(spark, sf):
     e = _elements(spark, sf)
-    hits = e.where("ord = 2").select("element_id", F.lit(1.5).alias("score"))
-    return trees.outline(hits, e, 3).select("element_id", "doc_id", "element_type", "score")
+    hits = e.where("ord = 2").select("doc_id", "element_id", F.lit(1.5).alias("score"))
+    return trees.outline(hits, e).select("element_id", "doc_id", "element_type", "score")
 
 
 @query("with" + EL + "select doc_id, parent_id, array_to_string(list(element_id order by ord), ',') as kids from el where parent_id is not null group by doc_id, parent_id")
@@ -518,12 +518,22 @@ def rendered_cells(spark, sf):
 
 
 def _places(spark, sf):
-    """Regions, nations and customers as a tree of elements."""
-    none = F.lit(None).cast("string")
-    node = lambda df, p, key, up, kind, name: df.select(F.lit("d").alias("doc_id"), F.concat(F.lit(p), F.col(key).cast("string")).alias("element_id"), up.alias("parent_id"), F.lit(kind).alias("element_type"), F.col(key).cast("long").alias("ord"), F.col(name).alias("content"))
-    out = node(_t(spark, sf, "region"), "r", "r_regionkey", none, "section", "r_name")
-    out = out.unionByName(node(_t(spark, sf, "nation"), "n", "n_nationkey", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), "section", "n_name"))
-    return out.unionByName(node(_t(spark, sf, "customer"), "c", "c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), "paragraph", "c_name"))
+    """Regions, nations and customers as trees of elements, a document per region."""
+    none, nation = F.lit(None).cast("string"), _t(spark, sf, "nation")
+    node = lambda df, doc, p, key, up, kind, name: df.select(F.col(doc).cast("string").alias("doc_id"), F.concat(F.lit(p), F.col(key).cast("string")).alias("element_id"), up.alias("parent_id"), F.lit(kind).alias("element_type"), F.col(key).cast("long").alias("ord"), F.col(name).alias("content"))
+    out = node(_t(spark, sf, "region"), "r_regionkey", "r", "r_regionkey", none, "section", "r_name")
+    out = out.unionByName(node(nation, "n_regionkey", "n", "n_nationkey", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), "section", "n_name"))
+    customers = _t(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return out.unionByName(node(customers, "n_regionkey", "c", "c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), "paragraph", "c_name"))
+
+
+@query("""with m as (select n_nationkey as n, any_value(n_regionkey) as r, count(c_custkey) as m from nation left join customer on c_nationkey = n_nationkey group by n_nationkey),
+  t as (select n, r, m, sum(m + 1) over (partition by r order by n) - m as pre, row_number() over (partition by r order by n) as place from m)
+  select 'r' || r_regionkey as element_id, 0::bigint as pre, coalesce((select sum(m + 1) from m where r = r_regionkey), 0)::bigint as last, 0 as depth, 1 as place from region
+  union all select 'n' || n, pre::bigint, (pre + m)::bigint, 1, place::int from t
+  union all select 'c' || c_custkey, (pre + i)::bigint, (pre + i)::bigint, 2, i::int from (select c_custkey, c_nationkey, row_number() over (partition by c_nationkey order by c_custkey) as i from customer) c join t on c_nationkey = n""")
+def interval_labels(spark, sf):
+    return trees.labelled(_places(spark, sf)).drop("doc_id")
 
 
 @query("""select 'c' || c_custkey as element_id, n_name || '/' || r_name as said from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey

@@ -1,7 +1,8 @@
-"""Ancestry, outlines and context over the parent hierarchy.
+"""Outlines, sections, context and crawls over the parent hierarchy.
 
-Trees are walked level by level with joins.  The hierarchy is staged once and so is
-each level; a walk ends with the first level that is empty, or at ``max_depth``.
+Ancestors, paths and outlines come from :mod:`folia.operators.intervals`.  A crawl
+walks its links level by level with joins over staged levels and ends with the
+first that is empty, or at ``max_depth``.
 """
 
 from __future__ import annotations
@@ -9,45 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folia.operators.intervals import ancestry, labelled, outline, paths, subtree
 from folia.operators.staging import staged
 
-
-def ancestry(hits: DataFrame, elements: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """element_id, ancestor_id, distance: each hit's ancestors, itself at distance 0.  Cycles end where they close."""
-    up = staged(elements.select(F.col("element_id").alias("at"), "parent_id").where("parent_id is not null"), "tree-up")
-    level = staged(hits.select("element_id", F.col("element_id").alias("at"), F.lit(0).alias("distance")), "tree-level")
-    out, d = level, 0
-    while d != max_depth:
-        d += 1
-        level = level.join(up, "at").select("element_id", F.col("parent_id").alias("at"), F.lit(d).alias("distance"))
-        level = staged(level.join(out.select("element_id", "at"), ["element_id", "at"], "left_anti"), "tree-level")
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.withColumnRenamed("at", "ancestor_id")
-
-
-def paths(elements: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """element_id, depth, path: the document and the chain of ids down to each element."""
-    rows = staged(elements.select("doc_id", "element_id", "parent_id"), "tree-rows")
-    kids = rows.where("parent_id is not null").select("element_id", "parent_id")
-    level = rows.where("parent_id is null").select("element_id", F.lit(0).alias("depth"), F.concat_ws("/", "doc_id", "element_id").alias("path"))
-    out, d = level, 0
-    while d != max_depth:
-        d += 1
-        level = staged(kids.join(level.select(F.col("element_id").alias("parent_id"), "path"), "parent_id").select("element_id", F.lit(d).alias("depth"), F.concat_ws("/", "path", "element_id").alias("path")), "tree-level")
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
-
-
-def outline(hits: DataFrame, elements: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """The hits and all their ancestors, once each; those that aren't hits have no score."""
-    elements = staged(elements.select("element_id", "doc_id", "parent_id", "element_type"), "tree-elements")
-    hits = staged(hits.select("element_id", "score"), "tree-hits")
-    nodes = ancestry(hits, elements, max_depth).select(F.col("ancestor_id").alias("element_id")).distinct()
-    return nodes.join(hits.select("element_id", "score"), "element_id", "left").join(elements.select("element_id", "doc_id", "parent_id", "element_type"), "element_id")
+__all__ = ["ancestry", "children", "context", "context_ancestors", "context_children", "crawl", "family_context", "labelled", "meaningful", "outline", "paths", "sections", "subtree"]
 
 
 def children(elements: DataFrame) -> DataFrame:
@@ -98,8 +64,8 @@ def meaningful(elements: DataFrame, text_col: str = "content") -> DataFrame:
 
 def context_ancestors(elements: DataFrame, depth: int = 1, text_col: str = "content") -> DataFrame:
     """element_id, texts: of each element the nearest ``depth`` ancestors with text, nearest first."""
-    rows = staged(elements.select("element_id", "parent_id", "element_type", text_col), "context-rows")
-    up = ancestry(rows.select("element_id"), rows).where("distance > 0")
+    rows = elements.select("doc_id", "element_id", "parent_id", "element_type", text_col)
+    up = ancestry(rows.select("doc_id", "element_id"), rows).where("distance > 0")
     said = meaningful(rows, text_col).select(F.col("element_id").alias("ancestor_id"), F.col(text_col).alias("said"))
     near = Window.partitionBy("element_id").orderBy("distance")
     got = up.join(said, "ancestor_id").withColumn("k", F.row_number().over(near)).where(F.col("k") <= depth)

@@ -171,7 +171,7 @@ class Engine:
         return elements.join(F.broadcast(hits), "element_pk").orderBy(F.desc("score"), "element_pk").limit(limit)
 
     def search_outline(self, query: list[float], limit: int = 10, include_parents: bool = True, **more) -> DataFrame:
-        got = trees.outline(self.search(query, limit, **more).select("element_id", "score"), self.table("elements"))
+        got = trees.outline(self.search(query, limit, **more).select("doc_id", "element_id", "score"), self.table("elements"))
         return got if include_parents else got.where("score is not null")
 
     def search_enriched(self, query: list[float], limit: int = 10, **more) -> DataFrame:
