@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folia.functions import formats, temporal, text
-from folia.operators import edges, explode, geometry, markup, search, store, trees, vector_index
+from folia.operators import edges, explode, geometry, markup, search, selectors, store, trees, vector_index
 from folia.operators.staging import shared_folder
 from folia.sources import scan
 from folia.streaming import refresh
@@ -604,6 +604,57 @@ def _vector_index(spark, sf):
     return vector_index.build(_vectors(spark, sf), shared_folder(spark, "vector-index"), lists=64)
 
 
+# --- look-ups by path ------------------------------------------------------------
+
+
+@query("""with i as (select l_orderkey, to_json({'items': list({'line': l_linenumber, 'qty': l_quantity::int, 'mode': l_returnflag} order by l_linenumber, l_quantity::int, l_returnflag)}) as j from lineitem group by l_orderkey),
+  x as (select l_orderkey, j, json_extract(j, '$.items[*].mode')::varchar[] as modes, json_extract(j, '$.items[*].qty')::int[] as qty, json_extract(j, '$.items[*].line')::varchar[] as lines from i)
+  select l_orderkey, json_extract_string(j, '$.items[0].mode') as first_mode, json_extract_string(j, '$.items[4].qty') as fifth, json_extract(j, '$.missing[0]')::varchar as nothing,
+    array_to_string(list_transform(modes, lambda a: trim(a, '"')), ',') as modes, array_to_string(list_transform(modes[2:3], lambda a: trim(a, '"')), ',') as inner_modes,
+    array_to_string(list_transform(list_filter(list_zip(qty, lines), lambda z: z[1] > 40), lambda z: z[2]), ',') as large from x""")
+def json_paths(spark, sf):
+    """Orders as nested records, and values in them by path."""
+    from folia.functions import jsonpath
+
+    item = F.struct(F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("int").alias("qty"), F.col("l_returnflag").alias("mode"))
+    orders = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("items"))).alias("j"))
+    one, many = (lambda p: jsonpath.text(jsonpath.find(F.col("j"), p))), (lambda p: F.array_join(F.transform(jsonpath.find_all(F.col("j"), p), jsonpath.text), ","))
+    return orders.select(
+        "l_orderkey", one("$.items[0].mode").alias("first_mode"), one("$.items[4].qty").alias("fifth"), one("$.missing[0]").alias("nothing"),
+        many("$.items[*].mode").alias("modes"), many("$.items[1:3].mode").alias("inner_modes"), many("$.items[?(@.qty > 40)].line").alias("large"),
+    )
+
+
+@query("select event_id, json_extract_string(props, '$.k') as k from events")
+def dotted_fields(spark, sf):
+    from folia.functions import jsonpath
+
+    return _t(spark, sf, "events").select("event_id", jsonpath.text(jsonpath.dotted(F.col("props"), "k")).alias("k"))
+
+
+@query("""with c as (select c_nationkey, c_custkey, c_name, c_mktsegment as seg, row_number() over (partition by c_nationkey order by c_custkey) as i from customer)
+  select c_nationkey::varchar as doc_id, 'second' as asked, c_name as value from c where i = 2
+  union all select c_nationkey::varchar, 'segments', c_name from c where seg = 'BUILDING'
+  union all select c_nationkey::varchar, 'neighbours', c_custkey::varchar from c where i > 1 and seg = 'MACHINERY'""")
+def xpath_values(spark, sf):
+    """Nations as XML with their customers, and values in them by path and selector."""
+    c = F.concat(F.lit("<customer id='"), F.col("c_custkey").cast("string"), F.lit("' seg='"), "c_mktsegment", F.lit("'><name>"), "c_name", F.lit("</name></customer>"))
+    each = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", c.alias("x")))), lambda x: x["x"])
+    docs = _t(spark, sf, "customer").groupBy("c_nationkey").agg(F.concat(F.lit("<nation>"), F.array_join(each, ""), F.lit("</nation>")).alias("content"))
+    rows = selectors.nodes(docs, "xml", "c_nationkey")
+    paths = {"second": "/nation/customer[2]/name/text()", "segments": "//customer[@seg='BUILDING']/name"}
+    got = [selectors.select_xpath(rows, p).select("doc_id", F.lit(k).alias("asked"), "value") for k, p in paths.items()]
+    after = selectors.select(rows, "nation > customer + customer[seg=MACHINERY]").select("doc_id", F.lit("neighbours").alias("asked"), F.col("attributes")["id"].alias("value"))
+    return got[0].unionByName(got[1]).unionByName(after)
+
+
+@query()
+def page_addresses(spark, sf):
+    """Every element of every page by its own selector: the text found there; a test holds that each finds its element alone."""
+    rows = selectors.nodes(_t(spark, sf, "pages"), "html", "page_id", "html")
+    return selectors.look_up(rows.select("doc_id", F.col("selector").alias("address")), rows)
+
+
 # --- table structure ---------------------------------------------------------
 
 

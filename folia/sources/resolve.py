@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folia.functions.formats import detect
+from folia.functions.jsonpath import text as text_of
 from folia.functions.text import remap_prefix, source_kind
 
 #: Kinds of sources whose records a resolver can be given.
@@ -36,6 +37,22 @@ def mongo_parts(uri: Column) -> Column:
     return F.struct(*(F.get(p, F.lit(i)).alias(n) for i, n in enumerate(names)))
 
 
+def mongo_field(uri: Column, record: Column) -> Column:
+    """What a pointer names in its record (JSON text): the field at its path as text, or the whole record; null if it isn't there.
+
+    Paths differ from row to row, so they are walked step by step over variants.
+    """
+    path = mongo_parts(uri)["field"]
+    steps = F.filter(F.split(F.translate(path, "[]", "."), r"\."), lambda x: x != "")
+
+    def step(at: Column, name: Column) -> Column:
+        index = F.try_element_at(F.try_variant_get(at, "$", "array<variant>"), F.when(name.rlike("^[0-9]+$"), name.try_cast("int")) + 1)
+        return F.coalesce(index, F.try_element_at(F.try_variant_get(at, "$", "map<string,variant>"), name))
+
+    found = text_of(F.aggregate(steps, F.try_parse_json(record), step))
+    return F.when(F.coalesce(path, F.lit("")) == "", record).otherwise(found)
+
+
 def object_parts(uri: Column) -> Column:
     """s3://bucket/key in its parts."""
     return F.struct(F.regexp_extract(uri, "^s3://([^/]+)", 1).alias("bucket"), F.regexp_extract(uri, "^s3://[^/]+/(.*)$", 1).alias("key"))
