@@ -218,7 +218,10 @@ def _compound(text: str) -> tuple[Column, ...]:
 
 def _cut(text: str, at: str) -> list[str]:
     """Pieces between the separators that stand outside brackets and quotes."""
-    return re.findall(rf"""(?:[^{at}\[("']|\[(?:[^\]"']|"[^"]*"|'[^']*')*\]|\([^)]*\))+""", text)
+    piece = rf"""(?:[^{at}\[("']|\[(?:[^\]"']|"[^"]*"|'[^']*')*\]|\([^)]*\))+"""
+    if re.sub(rf"{piece}|[{at}]", "", text):
+        raise ValueError(f"can't read {text!r}: brackets or quotes don't close")
+    return re.findall(piece, text)
 
 
 def css(selector: str) -> list[list[Step]]:
