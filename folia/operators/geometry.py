@@ -69,3 +69,25 @@ def column_affinity(headers: DataFrame) -> DataFrame:
     words = headers.select("doc_id", "header", F.explode(F.array_distinct(F.filter(F.split(F.lower("header"), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin("id", "key", "identifier")))).alias("word"))
     keys = words.where(is_identity(F.col("header"))).select("doc_id", "word", F.col("header").alias("key_column"))
     return keys.join(words.select("doc_id", "word", F.col("header").alias("other_column")), ["doc_id", "word"]).where("key_column <> other_column").select("doc_id", "key_column", "other_column", F.lit(0.7).alias("confidence")).distinct()
+
+
+def header_of_cell(elements: DataFrame) -> DataFrame:
+    """doc_id, element_id, header_id: the header cells above each cell of a table, and those before it in its row.
+
+    Cells say their row, column and extent in their metadata.  A header stands over
+    the columns it spans and beside the rows it spans: cells are spread over the
+    columns and rows they cover and meet headers in equi joins by table and column
+    or row.  A header of a row is one that isn't in a row of headers only.
+    """
+    of = lambda f, default: F.coalesce(F.get_json_object("metadata", f"$.{f}").cast("int"), F.lit(default)).alias(f)
+    rows = elements.where("element_type in ('table_row', 'table_header_row')").select("doc_id", F.col("element_id").alias("parent_id"), F.col("parent_id").alias("table_id"))
+    cells = elements.where("element_type in ('table_cell', 'table_header')").select("doc_id", "parent_id", "element_id", (F.col("element_type") == "table_header").alias("head"), of("row", 0), of("col", 0), of("rowspan", 1), of("colspan", 1))
+    cells = cells.join(rows, ["doc_id", "parent_id"])
+    plain = cells.groupBy("doc_id", "parent_id").agg((~F.bool_and("head")).alias("mixed"))
+    cells = cells.join(plain, ["doc_id", "parent_id"])
+    spread = lambda df, at, size: df.withColumn("k", F.explode(F.sequence(F.col(at), F.col(at) + F.greatest(F.col(size), F.lit(1)) - 1)))
+    heads = cells.where("head").select("doc_id", "table_id", F.col("element_id").alias("header_id"), F.col("row").alias("h_row"), F.col("col").alias("h_col"), "rowspan", "colspan", "mixed")
+    body = cells.where("not head").select("doc_id", "table_id", "element_id", "row", "col", "rowspan", "colspan")
+    above = spread(body, "col", "colspan").join(spread(heads.where("not mixed"), "h_col", "colspan").drop("rowspan", "colspan"), ["doc_id", "table_id", "k"]).where("h_row < row")
+    before = spread(body, "row", "rowspan").join(spread(heads.where("mixed"), "h_row", "rowspan").drop("rowspan", "colspan"), ["doc_id", "table_id", "k"]).where("h_col < col")
+    return above.select("doc_id", "element_id", "header_id").unionByName(before.select("doc_id", "element_id", "header_id")).distinct()

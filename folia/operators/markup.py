@@ -10,7 +10,6 @@ import csv
 import io
 import json
 import re
-import zipfile
 import zlib
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -19,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folia.operators.office import docx_elements, pptx_elements, xlsx_elements
+
 SCHEMA = pa.schema([("doc_id", pa.string()), ("ord", pa.int32()), ("element_type", pa.string()), ("parent_ord", pa.int32()), ("parent_type", pa.string()), ("content", pa.string()), ("metadata", pa.string())])
 DDL = "doc_id string, ord int, element_type string, parent_ord int, parent_type string, content string, metadata string"
 
@@ -60,6 +61,8 @@ class _Html(HTMLParser):
             meta = {k: attrs[k] for k in ("id", "class", "src", "alt") if attrs.get(k)}
             if TAGS[tag] == "header":
                 meta["level"] = int(tag[1])
+            if tag in ("td", "th"):
+                meta |= {k: int(v) for k in ("rowspan", "colspan") if (v := attrs.get(k) or "").isdigit()}
             if tag in ("ul", "ol"):
                 meta["list_type"] = "ordered" if tag == "ol" else "unordered"
             self.rows.append({"type": TAGS[tag], "parent": self._parent(), "text": [], "meta": meta, "keep": tag in ("img", "table")})
@@ -86,10 +89,36 @@ class _Html(HTMLParser):
                     self.rows[i]["text"].append(data)
 
 
+def _place_cells(rows: list[dict]) -> None:
+    """Row, column and extent of every table cell: a cell takes the first place of its row that no cell above or before covers."""
+    lines: dict[int, list[int]] = {}  # table -> its rows, row -> its cells
+    for i, r in enumerate(rows):
+        if r["type"] in ("table_row", "table_cell", "table_header"):
+            lines.setdefault(r["parent"], []).append(i)
+    for i, r in enumerate(rows):
+        if r["type"] != "table":
+            continue
+        mine = [k for k in lines.get(i, []) if rows[k]["type"] == "table_row"]
+        covered: dict[int, int] = {}  # column -> the last row that a cell from above covers
+        for n, line in enumerate(mine):
+            col = 0
+            for k in lines.get(line, []):
+                meta = rows[k]["meta"]
+                while covered.get(col, -1) >= n:
+                    col += 1
+                wide, tall = max(1, min(meta.get("colspan", 1), 1000)), meta.get("rowspan", 1)
+                tall = len(mine) - n if tall == 0 else min(tall, len(mine) - n)  # 0 goes to the table's end
+                for c in range(col, col + wide):
+                    covered[c] = n + tall - 1
+                rows[k]["meta"] = {x: y for x, y in meta.items() if x not in ("rowspan", "colspan")} | {"row": n, "col": col} | ({"colspan": wide} if wide > 1 else {}) | ({"rowspan": tall} if tall > 1 else {})
+                col += wide
+
+
 def html_elements(html: str | None) -> list[tuple]:
     p = _Html()
     p.feed(html or "")
     p.close()
+    _place_cells(p.rows)
     out, place = [], {}
     for i, r in enumerate(p.rows):
         text = " ".join(" ".join(r["text"]).split())
@@ -134,84 +163,6 @@ def xml_elements(xml: str | None) -> list[tuple]:
     return out
 
 
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
-_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-
-
-def docx_elements(data: bytes) -> list[tuple]:
-    """root, body, headers by style with a level stack, paragraphs, list items, tables, rows and cells."""
-    out: list[tuple] = [(0, "root", None, None, None), (1, "body", 0, None, None)]
-    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml")).find(_W + "body")
-    stack: list[tuple[int, int]] = []
-    text_of = lambda n: "".join(t.text or "" for t in n.iter(_W + "t")).strip()
-
-    def put(kind: str, parent: int, text: str | None, meta: dict | None = None) -> int:
-        out.append((len(out), kind, parent, text, json.dumps(meta) if meta else None))
-        return len(out) - 1
-
-    for node in body if body is not None else ():
-        parent = stack[-1][1] if stack else 1
-        if node.tag == _W + "p":
-            style = node.find(f"{_W}pPr/{_W}pStyle")
-            name, text = (style.get(_W + "val", "") if style is not None else "").lower().replace(" ", ""), text_of(node)
-            if not text:
-                continue
-            level = 1 if name == "title" else 2 if name == "subtitle" else int(name[7:]) if name.startswith("heading") and name[7:].isdigit() else 0
-            if level:
-                while stack and stack[-1][0] >= level:
-                    stack.pop()
-                stack.append((level, put("header", stack[-1][1] if stack else 1, text, {"level": level, "text": text})))
-            else:
-                put("list_item" if node.find(f"{_W}pPr/{_W}numPr") is not None else "paragraph", parent, text)
-        elif node.tag == _W + "tbl":
-            table = put("table", parent, None)
-            for r, row in enumerate(node.iter(_W + "tr")):
-                at = put("table_row", table, None, {"row": r})
-                for c, cell in enumerate(row.findall(_W + "tc")):
-                    put("table_cell", at, text_of(cell), {"row": r, "col": c})
-    return out
-
-
-def pptx_elements(data: bytes) -> list[tuple]:
-    """root, presentation body, slides in order, and the text paragraphs on each."""
-    out: list[tuple] = [(0, "root", None, None, None), (1, "presentation_body", 0, None, None)]
-    z = zipfile.ZipFile(io.BytesIO(data))
-    slides = sorted((n for n in z.namelist() if n.startswith("ppt/slides/slide") and n.endswith(".xml")), key=lambda n: int("".join(filter(str.isdigit, n.rpartition("/")[2])) or 0))
-    for i, name in enumerate(slides):
-        slide = len(out)
-        out.append((slide, "slide", 1, None, json.dumps({"index": i})))
-        for p in ElementTree.fromstring(z.read(name)).iter(_A + "p"):
-            text = "".join(t.text or "" for t in p.iter(_A + "t")).strip()
-            if text:
-                out.append((len(out), "text_box", slide, text, None))
-    return out
-
-
-def xlsx_elements(data: bytes) -> list[tuple]:
-    """root, workbook, sheets, rows and cells; the first row of a sheet holds its headers."""
-    out: list[tuple] = [(0, "root", None, None, None), (1, "workbook", 0, None, None)]
-    z = zipfile.ZipFile(io.BytesIO(data))
-    shared = ["".join(t.text or "" for t in s.iter(_S + "t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(_S + "si")] if "xl/sharedStrings.xml" in z.namelist() else []
-    names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(_S + "sheet")] if "xl/workbook.xml" in z.namelist() else []
-    sheets = sorted((n for n in z.namelist() if n.startswith("xl/worksheets/sheet")), key=lambda n: int("".join(filter(str.isdigit, n.rpartition("/")[2])) or 0))
-    for i, name in enumerate(sheets):
-        sheet = len(out)
-        out.append((sheet, "sheet", 1, names[i] if i < len(names) else name, json.dumps({"index": i})))
-        for row in ElementTree.fromstring(z.read(name)).iter(_S + "row"):
-            cells = []
-            for c in row.findall(_S + "c"):
-                v, inline = c.find(_S + "v"), c.find(f"{_S}is/{_S}t")
-                text = inline.text if inline is not None else None if v is None or v.text is None else shared[int(v.text)] if c.get("t") == "s" else v.text
-                if text:
-                    cells.append((c.get("r"), text))
-            if cells:
-                at, head = len(out), row.get("r") == "1"
-                out.append((at, "table_header_row" if head else "table_row", sheet, None, json.dumps({"row": int(row.get("r") or 0)})))
-                out += [(len(out) + k, "table_header" if head else "table_cell", at, t, json.dumps({"cell": r})) for k, (r, t) in enumerate(cells)]
-    return out
-
-
 def csv_table(text: str) -> list[list[str]]:
     """The rows of a CSV text; the dialect is had from its start, a mark of byte order, blank lines and spaces around cells go."""
     text = text.lstrip("\ufeff").lstrip("\r\n")
