@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folia.functions import formats, temporal, text
-from folia.operators import edges, explode, geometry, markup, search, selectors, store, trees, vector_index
+from folia.operators import edges, explode, geometry, markup, search, selectors, store, text_index, trees, vector_index
 from folia.operators.staging import shared_folder
 from folia.sources import scan
 from folia.streaming import refresh
@@ -584,6 +584,49 @@ def confident_edges(spark, sf):
     return edges.by_confidence(edges.between(rows, ["link"], 0.5).drop("confidence", "similarity")).select("id", "confidence")
 
 
+_ASKED = "the quality of light, the water"
+BM = """
+bw as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') as w from documents),
+bl as (select doc_id, len(w) as n from bw), bs as (select count(*) as texts, avg(n) as mean from bl),
+bt as (select doc_id, t as term, count(*) as tf from (select doc_id, unnest(w) as t from bw) where t in ('the', 'quality', 'of', 'light', 'water') group by all),
+bd as (select term, ln(1 + (texts - count(*) + 0.5) / (count(*) + 0.5)) as idf from bt, bs group by term, texts),
+bm as (select bt.doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) as score from bt join bd using (term) join bl using (doc_id), bs group by bt.doc_id)
+"""
+
+
+@query("with" + BM + "select doc_id, round(score, 6) as score from bm")
+def bm25_scores(spark, sf):
+    """Every document with one of the words, ranked through a stored inverted index."""
+    return _rounded(_text_index(spark, sf).scores(_ASKED), "score").withColumnRenamed("id", "doc_id")
+
+
+@query("with" + SC.rstrip() + "," + BM + """, v as (select element_pk, doc_id, score as v from sc)
+  select element_pk, round(s, 6) as score from (select element_pk, 0.3 * coalesce(bm.score, 0) / 10 + 0.7 * v as s from v left join bm using (doc_id)) order by s desc, element_pk limit 20""")
+def hybrid_bm25(spark, sf):
+    """All vectors by their cosine and the BM25 score of their document."""
+    s = _scored(spark, sf)
+    t = s.join(_text_index(spark, sf).scores(_ASKED).select(F.col("id").alias("doc_id"), F.col("score").alias("t")), "doc_id").select("element_pk", F.col("t").alias("score"))
+    return _rounded(search.hybrid_rank(t, s, 20), "score")
+
+
+def _text_index(spark, sf):
+    return text_index.build(_t(spark, sf, "documents"), shared_folder(spark, "text-index"), "doc_id")
+
+
+@query("""with c as (select c_custkey::varchar as key, c_name as name from customer)
+  select key as cell, h as header from c, (select unnest(['customer', 'key']) as h) union all select name, h from c, (select unnest(['customer', 'name']) as h)""")
+def header_cells(spark, sf):
+    """The headers over each cell of HTML tables, one of them over two columns."""
+    from folia.operators import geometry
+
+    line = F.concat(F.lit("<tr><td>"), F.col("c_custkey").cast("string"), F.lit("<td>"), "c_name", F.lit("</tr>"))
+    body = F.array_join(F.array_sort(F.collect_list(line)), "")
+    docs = _t(spark, sf, "customer").groupBy("c_nationkey").agg(F.concat(F.lit("<table><tr><th colspan=2>customer</tr><tr><th>key<th>name</tr>"), body, F.lit("</table>")).alias("html"))
+    el = explode.with_ids(markup.explode_markup(docs, "html", "c_nationkey", "html"), whole=True)
+    named = lambda key, name: el.select(F.col("element_id").alias(key), F.col("content").alias(name))
+    return geometry.header_of_cell(el).join(named("element_id", "cell"), "element_id").join(named("header_id", "header"), "header_id").select("cell", "header")
+
+
 @query()
 def approximate_topk(spark, sf):
     """Top-k through a stored index; a test measures its recall against the exact search."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from folia.functions.formats import detect
-from folia.operators import edges, embed, explode, markup, search, store, trees, vector_index
+from folia.operators import edges, embed, explode, markup, search, store, text_index, trees, vector_index
 from folia.schema import SECTION_TYPES
 
 Embed = Callable[[DataFrame], DataFrame]
@@ -24,12 +24,13 @@ class Engine:
 
     Vectors are kept in a vector index besides: ``lists`` of them, of which a
     search reads ``probes``.  The index keeps its centroids from ingest to ingest
-    until there are four times the vectors they were fitted for.
+    until there are four times the vectors they were fitted for.  With ``words``
+    an inverted index of the elements' texts is kept too.
     """
 
-    def __init__(self, spark: SparkSession, root: str, embed: Embed | None = None, semantic: float | None = None, across: float | None = None, lists: int = 100, probes: int = 10):
+    def __init__(self, spark: SparkSession, root: str, embed: Embed | None = None, semantic: float | None = None, across: float | None = None, lists: int = 100, probes: int = 10, words: bool = False):
         self.spark, self.root, self.embed, self.semantic, self.across = spark, root.rstrip("/"), embed, semantic, across
-        self.lists, self.probes = lists, probes
+        self.lists, self.probes, self.words = lists, probes, words
 
     def table(self, name: str) -> DataFrame | None:
         return store.current(self.spark, self.root, name)
@@ -87,6 +88,8 @@ class Engine:
                 vectors = had.join(elements.select("element_pk"), "element_pk", "left_semi").join(fresh.select("element_pk"), "element_pk", "left_anti").unionByName(vectors)
             vectors = self.spark.read.parquet(store.swap(vectors, self.root, "embeddings"))
             found = edges.union_detectors(found, *self._similar(fresh, elements, self._indexed(elements, fresh, vectors)))
+        if self.words:
+            self._words_indexed(elements, explode.with_ids(rows, whole=True).join(fresh.select("element_id", "element_pk"), "element_id").select("element_pk", F.col("content").alias("text")))
         kept = self.table("relationships")
         if kept is not None:
             kept = kept.join(todo.select("doc_id"), "doc_id", "left_anti")
@@ -118,6 +121,31 @@ class Engine:
         store.point(self.spark, self.root, "vector_index", path)
         return got
 
+    def text_index(self) -> text_index.TextIndex | None:
+        path = store.current_path(self.spark, self.root, "text_index")
+        return text_index.open_index(self.spark, path) if path else None
+
+    def _words_indexed(self, elements: DataFrame, texts: DataFrame) -> None:
+        """A new version of the inverted index: postings of unchanged documents stay, those of the texts are made anew."""
+        old, path, new = self.text_index(), store.new_version(self.root, "text_index"), text_index.postings(texts)
+        if old is not None:
+            kept = old.rows.drop("bucket").join(elements.select(F.col("element_pk").alias("id")), "id", "left_semi").join(texts.select(F.col("element_pk").alias("id")), "id", "left_anti")
+            new = kept.unionByName(new)
+        text_index.write(new, path)
+        store.point(self.spark, self.root, "text_index", path)
+
+    def search_words(self, text: str, limit: int = 10) -> DataFrame:
+        """Elements by BM25 of their own texts, best first (needs ``words``)."""
+        hits = self.text_index().search(text, limit).withColumnRenamed("id", "element_pk")
+        return self.table("elements").join(F.broadcast(hits), "element_pk").orderBy(F.desc("score"), "element_pk")
+
+    def search_hybrid(self, text: str, limit: int = 10, candidates: int = 1000) -> DataFrame:
+        """Elements by text and vector scores together: of either side the best ``candidates`` are ranked."""
+        vectors = embed.query_vector(self.spark, self.embed, text)
+        near = self.index().search(vectors, candidates, self.probes)
+        said = self.text_index().search(text, candidates).withColumnRenamed("id", "element_pk")
+        return self.table("elements").join(F.broadcast(search.hybrid_rank(said, near, limit)), "element_pk").orderBy(F.desc("score"), "element_pk")
+
     def _similar(self, fresh: DataFrame, elements: DataFrame, index: vector_index.Index) -> list[DataFrame]:
         """Semantic edges in the documents just parsed, and from their sections to those of other documents."""
         new = index.rows.join(fresh.select("element_pk", "element_id", "ord"), "element_pk")
@@ -200,5 +228,9 @@ class Engine:
             path = store.new_version(self.root, "vector_index")
             vector_index.write(index.rows.join(gone, "doc_id", "left_anti"), index.model, path)
             store.point(self.spark, self.root, "vector_index", path)
+        if words := self.text_index():
+            path = store.new_version(self.root, "text_index")
+            text_index.write(words.rows.drop("bucket").join(elements.select(F.col("element_pk").alias("id")), "id", "left_semi"), path)
+            store.point(self.spark, self.root, "text_index", path)
         store.swap(elements, self.root, "elements")
         store.swap(documents, self.root, "documents")
