@@ -16,7 +16,7 @@ from folia.functions import formats, temporal, text
 from folia.operators import edges, explode, geometry, markup, search, selectors, store, text_index, trees, vector_index
 from folia.operators.staging import shared_folder
 from folia.sources import scan
-from folia.streaming import refresh
+from folia.streaming import follow, refresh
 
 FLAGSHIP = "vector_topk"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -425,6 +425,18 @@ def link_crawl(spark, sf):
     return trees.crawl(spark.range(1, 2).select(F.col("id").alias("node")), links, 3)
 
 
+@query("""with l as (select c_custkey as s, c_custkey * 2 as t from customer union all select c_custkey, c_custkey + 7 from customer),
+  d1 as (select distinct t as node from l where s = 1), d2 as (select distinct t as node from l where s in (select node from d1)), d3 as (select distinct t as node from l where s in (select node from d2))
+  select node, min(depth)::int as depth from (select 1::bigint as node, 0 as depth union all select node, 1 from d1 union all select node, 2 from d2 union all select node, 3 from d3) group by node""")
+def followed_links(spark, sf):
+    """The same links followed by a stream whose state holds what was visited."""
+    root, c = shared_folder(spark, "followed"), _t(spark, sf, "customer").select(F.col("c_custkey").alias("s"))
+    links = c.select(F.col("s").cast("string").alias("source"), (F.col("s") * 2).cast("string").alias("target")).unionByName(c.select(F.col("s").cast("string").alias("source"), (F.col("s") + 7).cast("string").alias("target")))
+    follow.add_seeds(spark.range(1, 2).select(F.col("id").alias("target")), root)
+    got = follow.follow(spark, root, lambda new: links.join(new.withColumnRenamed("target", "source"), "source", "left_semi"), 3)
+    return got.select(F.col("target").cast("long").alias("node"), "depth")
+
+
 # --- store and stream --------------------------------------------------------
 
 

@@ -103,6 +103,25 @@ class Engine:
         store.swap(documents if old is None else store.upsert(old, documents, "source_id"), self.root, "documents")
         return {"documents": changed, "unchanged": total - changed, "elements": fresh.count(), "relationships": self.table("relationships").join(todo.select("doc_id"), "doc_id", "left_semi").count()}
 
+    def crawl(self, contents: DataFrame, seeds: DataFrame, root: str, max_depth: int | None = 3) -> DataFrame:
+        """Ingests the seeds (column target: source ids) and what their local links reach; returns source ids with their depth.
+
+        ``contents`` has source_id, doc_type and content of whatever may be reached,
+        as any source gives it.  ``root`` keeps the state, so a later call goes on.
+        """
+        from folia.functions.values import local_links
+        from folia.streaming import follow
+
+        reached = lambda new: contents.join(new.withColumnRenamed("target", "source_id"), "source_id", "left_semi")
+
+        def links(new: DataFrame) -> DataFrame:
+            docs = reached(new).select("source_id", detect(F.col("source_id"), F.col("content"), F.col("doc_type")).alias("doc_type"), "content", F.col("source_id").alias("doc_id"))
+            found = self.links(docs, explode.with_ids(self.parsed(docs)))
+            return found.select(F.col("doc_id").alias("source"), local_links(F.col("doc_id"), F.col("link_target")).alias("target"))
+
+        follow.add_seeds(seeds, root)
+        return follow.follow(self.spark, root, links, max_depth, lambda new: self.ingest(reached(new)))
+
     def index(self) -> vector_index.Index | None:
         path = store.current_path(self.spark, self.root, "vector_index")
         return vector_index.open_index(self.spark, path) if path else None
