@@ -267,19 +267,31 @@ def markup_links(rows: DataFrame) -> DataFrame:
 
 def explode_markup(docs: DataFrame, kind: str, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
     """The elements of every row; a document that can't be read gives a root with its error."""
-    parse = PARSERS[kind]
+    binary = F.col(content_col) if kind in BINARY else F.lit(None).cast("binary")
+    text = F.lit(None).cast("string") if kind in BINARY else F.col(content_col)
+    return _exploded(docs.select(F.col(id_col).cast("string"), F.lit(kind), text, binary))
+
+
+def explode_mixed(docs: DataFrame) -> DataFrame:
+    """The elements of documents of all these formats (doc_id, doc_type, content, perhaps bytes), read once."""
+    binary = F.col("bytes") if "bytes" in docs.columns else F.lit(None).cast("binary")
+    return _exploded(docs.select(F.col("doc_id").cast("string"), "doc_type", "content", binary))
+
+
+def _exploded(docs: DataFrame) -> DataFrame:
+    """docs: id, kind, text, bytes."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 64):
-                c, rows = b.slice(at, 64), []
-                for doc, content in zip(c.column(0).to_pylist(), c.column(1).to_pylist(), strict=True):
+                rows = []
+                for doc, kind, text, binary in zip(*(c.to_pylist() for c in b.slice(at, 64).columns), strict=True):
                     try:
-                        got = parse(content)
-                        rows += [(doc, i, kind, up, None if up is None else got[up][1], text, meta) for i, kind, up, text, meta in got]
+                        got = PARSERS[kind](binary if kind in BINARY else text)
+                        rows += [(doc, i, kind_, up, None if up is None else got[up][1], said, meta) for i, kind_, up, said, meta in got]
                     except Exception as e:
                         rows.append((doc, 0, "root", None, None, None, json.dumps({"error": f"{type(e).__name__}: {e}"})))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
 
-    return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(content_col).alias("content")).mapInArrow(run, DDL)
+    return docs.mapInArrow(run, DDL)

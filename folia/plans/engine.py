@@ -37,15 +37,10 @@ class Engine:
 
     def parsed(self, docs: DataFrame) -> DataFrame:
         """Rows of all documents (doc_id, doc_type, content, perhaps bytes), each by its format's generator."""
-        of = lambda *kinds: docs.where(F.col("doc_type").isin(*kinds))
-        own = ["markdown", *markup.PARSERS]
-        if "bytes" not in docs.columns:
-            own = [k for k in own if k not in markup.BINARY]
-        text = explode.explode_text(docs.where(~F.col("doc_type").isin(*own)), "doc_id", "content")
-        rows = text.withColumn("doc_id", F.col("doc_id").cast("string")).unionByName(explode.explode_markdown(of("markdown"), "doc_id", "content"))
-        for kind in own[1:]:
-            rows = rows.unionByName(markup.explode_markup(of(kind), kind, content_col="bytes" if kind in markup.BINARY else "content"))
-        return rows
+        own = [k for k in markup.PARSERS if "bytes" in docs.columns or k not in markup.BINARY]
+        text = explode.explode_text(docs.where(~F.col("doc_type").isin("markdown", *own)), "doc_id", "content")
+        marked = explode.explode_markdown(docs.where("doc_type = 'markdown'"), "doc_id", "content")
+        return text.withColumn("doc_id", F.col("doc_id").cast("string")).unionByName(marked).unionByName(markup.explode_mixed(docs.where(F.col("doc_type").isin(*own))))
 
     def links(self, docs: DataFrame, rows: DataFrame) -> DataFrame:
         """doc_id, source_id, link_text, link_target: links of text and Markdown leave the root, those of markup their element."""
