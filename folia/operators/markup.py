@@ -294,4 +294,4 @@ def _exploded(docs: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
 
-    return docs.mapInArrow(run, DDL)
+    return docs.toDF("id", "kind", "text", "bytes").mapInArrow(run, DDL)
