@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folia.functions import formats, temporal, text
-from folia.operators import edges, explode, geometry, markup, search, selectors, store, text_index, trees, vector_index
+from folia.operators import edges, explode, geometry, markup, search, selectors, statistics, store, text_index, trees, vector_index
 from folia.operators.staging import shared_folder
 from folia.sources import scan
 from folia.streaming import follow, refresh
@@ -703,6 +703,26 @@ def xpath_values(spark, sf):
     return got[0].unionByName(got[1]).unionByName(after)
 
 
+@query("""with n as (select c_nationkey, count(*) as n, sum(length(c_name) + length(c_mktsegment)) as chars, sum(len(regexp_split_to_array(c_name, '\\s+')) + len(regexp_split_to_array(c_mktsegment, '\\s+'))) as w from customer group by 1)
+  select c_nationkey::varchar as doc_id, 2 + 5 * n as elements, 2 * n as texts, w::bigint as words, chars::bigint as characters, greatest(w // 250, 1)::int as pages, 3 as depth_of_paths, 'nation' as top from n""")
+def document_statistics(spark, sf):
+    """Nations as XML with their customers, and what their elements say of each."""
+    c = F.concat(F.lit("<customer><name>"), "c_name", F.lit("</name><seg>"), "c_mktsegment", F.lit("</seg></customer>"))
+    docs = _t(spark, sf, "customer").groupBy("c_nationkey").agg(F.concat(F.lit("<nation>"), F.array_join(F.collect_list(c), ""), F.lit("</nation>")).alias("content"))
+    got = statistics.document_statistics(markup.explode_markup(docs, "xml", "c_nationkey"))
+    return got.select("doc_id", "elements", F.col("by_type")["xml_text"].alias("texts"), "words", "characters", "pages", "depth_of_paths", "top")
+
+
+@query("""with n as (select c_nationkey::varchar as doc_id, count(*) as cells from customer group by 1)
+  select doc_id, cells, c.* from n, (values (0, 'customer_key', 'integer', true, false), (1, 'day', 'date', false, true), (2, 'at', 'string', false, true), (3, 'balance', 'float', false, false)) c(col, header, inferred_type, is_identity, is_temporal)""")
+def column_verdicts(spark, sf):
+    """Nations as CSV with their customers, and what each column is."""
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("c_custkey", F.lit(300)).cast("int")).cast("string"), F.concat(F.pmod("c_custkey", F.lit(12)).cast("string"), F.lit("pm")), F.concat(F.col("c_custkey").cast("string"), F.lit(".5")))
+    body = F.array_join(F.collect_list(line), "\n")
+    docs = _t(spark, sf, "customer").groupBy("c_nationkey").agg(F.concat(F.lit("customer_key,day,at,balance\n"), body).alias("content"))
+    return statistics.column_statistics(statistics.cells(markup.explode_markup(docs, "csv", "c_nationkey")))
+
+
 @query()
 def page_addresses(spark, sf):
     """Every element of every page by its own selector: the text found there; a test holds that each finds its element alone."""

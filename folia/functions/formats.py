@@ -81,13 +81,17 @@ def content_kind(text: Column) -> Column:
     return F.when(opening, "html").when(markdown >= 2, "markdown").when(html >= 2, "html").otherwise("text")
 
 
+# What marks a text as HTML.
+HTML_MARKS = r"(?i)<!DOCTYPE html|<html|<body|<div|<p>"
+
+
 def type_from_content(text: Column) -> Column:
     """csv, markdown, html, json, xml or text, in this order of tests."""
     json = F.trim(text).rlike(r"^[\{\[]") & F.try_parse_json(text).isNotNull()
     return (
         F.when(is_likely_csv(text), "csv")
         .when(text.rlike(r"(?m)^#{1,6}\s+\S"), "markdown")
-        .when(text.rlike(r"(?i)<!DOCTYPE html|<html|<body|<div|<p>"), "html")
+        .when(text.rlike(HTML_MARKS), "html")
         .when(json, "json")
         .when(F.trim(text).rlike(r"^<(\?xml|[A-Za-z])"), "xml")
         .otherwise("text")

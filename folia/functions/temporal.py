@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns of ranges and of times of day.
+# Patterns of ranges and of times of day.  [-–—to] takes the letters t and o too, since results must match.
 RANGES = [
     r"^\d{1,2}:\d{2}\s*[-–—to]\s*\d{1,2}:\d{2}$",
     r"^\d{1,2}:\d{2}\s*(?:am|pm)\s*[-–—to]\s*\d{1,2}:\d{2}\s*(?:am|pm)$",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The link patterns.
+# The link patterns, with the | among the letters of EMAIL, since results must match.
 URL = r"""(https?://[^\s<>"'\(\)]+)"""
 EMAIL = r"\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,})\b"
 MARKDOWN_LINK = r"\[([^\]]+)\]\(([^)]+)\)"

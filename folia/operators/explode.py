@@ -124,17 +124,18 @@ def explode_cells(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return got.withColumn("content_preview", F.when(temporal_kind(F.col("value")) != "NONE", F.concat(F.lit("[TIME] "), "value")).otherwise(F.col("value")))
 
 
-def column_types(cells: DataFrame) -> DataFrame:
-    """header, inferred_type: integer, float, boolean, date or string; empty cells don't count."""
+def column_types(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """header (or the columns ``by``), inferred_type: integer, float, boolean, date or string; empty cells don't count."""
     v = F.when(F.trim("value") != "", F.trim("value"))
     every = lambda c: F.coalesce(F.bool_and(F.when(v.isNotNull(), c)), F.lit(False))
-    got = cells.groupBy("header").agg(
+    by = by or ["header"]
+    got = cells.groupBy(*by).agg(
         every(v.rlike(r"^[+-]?\d+$")).alias("i"),
         every(v.try_cast("double").isNotNull()).alias("f"),
         every(F.lower(v).isin("true", "false", "yes", "no")).alias("b"),
         every(v.rlike(r"^(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{2,4})")).alias("d"),
     )
-    return got.select("header", F.when(F.col("i"), "integer").when(F.col("f"), "float").when(F.col("b"), "boolean").when(F.col("d"), "date").otherwise("string").alias("inferred_type"))
+    return got.select(*by, F.when(F.col("i"), "integer").when(F.col("f"), "float").when(F.col("b"), "boolean").when(F.col("d"), "date").otherwise("string").alias("inferred_type"))
 
 
 def explode_json(docs: DataFrame, id_col: str, json_col: str, max_depth: int | None = None) -> DataFrame:
