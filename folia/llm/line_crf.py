@@ -11,10 +11,13 @@ weighted by their length, on a scale fitted to the training documents.
 from __future__ import annotations
 
 import operator
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -26,7 +29,11 @@ SYMBOLS, ENDS = "#*$%&|<>=_~^\\", ".!?:;\"”»"
 FEATURES = ("chars", "words", "word_chars", "symbols", "upper", "letters", "digits", "bangs", "distinct", "beside", "again", "ends")
 #: Thresholds per feature: half at quantiles, half at equal steps, so that rare extremes have their own.
 CUTS = 8
+#: Texts of more characters are scored by blocks of lines; chains of more lines go line by line with carried messages.
+LONG_TEXT, LONG_CHAIN = 1 << 20, 2048
+BLOCK_LINES, BLOCK_CHARS = 1 << 16, 1 << 22
 
+_LINE = re.compile(r"[^\n]+")
 _flags: np.ndarray | None = None
 
 
@@ -45,31 +52,59 @@ def _char_flags() -> np.ndarray:
     return _flags
 
 
-def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(a row of FEATURES per line with a word, lines per text); null is empty."""
-    lines, sizes, words = [], [], []
-    for t in texts:
-        own = [x for x in t.split("\n") if x and not x.isspace()] if t else []
-        seen: set[str] = set()
-        for x in own:
-            w = x.split()
-            words.append((len(w), len(set(w)), sum(map(operator.eq, w, w[1:])), x in seen, x.rstrip()[-1:] in ENDS))
-            seen.add(x)
-        lines += own
-        sizes.append(len(own))
-    if not lines:
-        return np.zeros((0, len(FEATURES)), dtype=np.float32), np.array(sizes, dtype=np.int64)
+def _rows(lines: list[str], again) -> np.ndarray:
+    """A row of FEATURES per line; ``again`` says which lines stand earlier in their text."""
+    words = []
+    for x in lines:
+        w = x.split()
+        words.append((len(w), len(set(w)), sum(map(operator.eq, w, w[1:])), x.rstrip()[-1:] in ENDS))
     flags = _char_flags()[np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-    chars = np.array([len(x) for x in lines], dtype=np.int64)
+    chars = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
     starts = np.cumsum(chars) - chars
     letters, upper, digits, symbols, bangs, spaces = (np.add.reduceat((flags & bit) > 0, starts, dtype=np.int64) for bit in (1, 2, 4, 8, 16, 32))
-    n, distinct, beside, again, ends = np.array(words, dtype=np.float64).T
+    n, distinct, beside, ends = np.array(words, dtype=np.float64).T
     solid = np.maximum(chars - spaces, 1)
     cols = (
         np.log1p(chars), np.log1p(n), solid / np.maximum(n, 1), symbols / np.maximum(n, 1), upper / np.maximum(letters, 1), letters / solid,
         digits / solid, bangs / np.maximum(n, 1), distinct / np.maximum(n, 1), beside / np.maximum(n, 1), again, ends,
     )
-    return np.stack(cols, axis=1).astype(np.float32), np.array(sizes, dtype=np.int64)
+    return np.stack(cols, axis=1).astype(np.float32)
+
+
+def _lines(text: str | None) -> Iterator[str]:
+    """The lines with a word."""
+    return (x for m in _LINE.finditer(text or "") if not (x := m.group()).isspace())
+
+
+def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of FEATURES per line with a word, lines per text); null is empty."""
+    lines, sizes, again = [], [], []
+    for t in texts:
+        own, seen = list(_lines(t)), set()
+        for x in own:
+            again.append(x in seen)
+            seen.add(x)
+        lines += own
+        sizes.append(len(own))
+    raw = _rows(lines, again) if lines else np.zeros((0, len(FEATURES)), dtype=np.float32)
+    return raw, np.array(sizes, dtype=np.int64)
+
+
+def line_blocks(text: str) -> Iterator[np.ndarray]:
+    """The same rows for one text, in blocks of bounded lines and characters."""
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in _lines(text)), dtype=np.uint64)
+    again = np.ones(len(hashes), dtype=bool)
+    again[np.unique(hashes, return_index=True)[1]] = False
+    del hashes
+    held, chars, at = [], 0, 0
+    for x in _lines(text):
+        held.append(x)
+        chars += len(x)
+        if len(held) == BLOCK_LINES or chars >= BLOCK_CHARS:
+            yield _rows(held, again[at : at + len(held)])
+            held, chars, at = [], 0, at + len(held)
+    if held:
+        yield _rows(held, again[at:])
 
 
 def neighbours(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -97,8 +132,41 @@ class LineCrf:
             x[:, 1 + j * CUTS : 1 + (j + 1) * CUTS] = raw[:, j : j + 1] > self.cuts[j]
         return neighbours(x, sizes)
 
+    def votes(self, raw: np.ndarray) -> np.ndarray:
+        """What each line adds to the potential of itself, of the line after it and of the line before it.
+
+        The weights of the cuts below a value are a prefix sum, so no row of the design is made.
+        """
+        w = self.weights.reshape(3, -1).astype(np.float64)
+        out = np.repeat(w[:, :1], len(raw), axis=1)
+        for j, cuts in enumerate(self.cuts):
+            order = np.argsort(cuts, kind="stable")
+            sums = np.zeros((3, CUTS + 1))
+            np.cumsum(w[:, 1 + j * CUTS : 1 + (j + 1) * CUTS][:, order], axis=1, out=sums[:, 1:])
+            out += sums[:, np.searchsorted(cuts[order], raw[:, j])]
+        return out
+
+    def potentials(self, votes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Log-odds of good of each line, of its own features and its neighbours'."""
+        u = votes[0].copy()
+        if len(u):
+            ends = np.cumsum(sizes[sizes > 0])
+            inner = np.ones(len(u), dtype=bool)
+            inner[ends - 1] = False
+            at = np.flatnonzero(inner)
+            u[at + 1] += votes[1][at]
+            u[at] += votes[2][at + 1]
+        return u
+
     def marginals(self, raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return forward_backward(self.design(raw, sizes) @ self.weights, sizes, self.trans)[0]
+        u, p = self.potentials(self.votes(raw), sizes), np.empty(len(raw))
+        short = sizes <= LONG_CHAIN
+        line = np.repeat(short, sizes)
+        p[line] = forward_backward(u[line], sizes[short], self.trans)[0]
+        ends = np.cumsum(sizes)
+        for k in np.flatnonzero(~short):
+            p[ends[k] - sizes[k] : ends[k]] = chain_marginals(u[ends[k] - sizes[k] : ends[k]], self.trans)
+        return p
 
     def quality(self, raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Length-weighted mean marginal per text; 0 where there is no line."""
@@ -107,11 +175,65 @@ class LineCrf:
         total = np.bincount(doc, w, len(sizes))
         return np.bincount(doc, w * p, len(sizes)) / np.maximum(total, 1e-9)
 
+    def quality_of_long(self, text: str) -> float:
+        """``quality`` of one text; of a line it holds a few numbers at a time."""
+        votes, w = [np.zeros((3, 0))], [np.zeros(0)]
+        for raw in line_blocks(text):
+            votes.append(self.votes(raw).astype(np.float32))
+            w.append(np.expm1(raw[:, 0].astype(np.float64)).astype(np.float32))
+        votes, w = np.concatenate(votes[1:] or votes, axis=1), np.concatenate(w[1:] or w)
+        u = self.potentials(votes, np.array([len(w)]))
+        del votes
+        p = chain_marginals(u, self.trans)
+        return float(np.dot(w, p) / max(w.sum(dtype=np.float64), 1e-9))
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        q = self.quality(*line_features(texts))
+        q, held, chars = np.zeros(len(texts)), [], 0
+
+        def settle():
+            q[held] = self.quality(*line_features([texts[i] for i in held]))
+            held.clear()
+
+        for i, t in enumerate(texts):
+            if t and len(t) > LONG_TEXT:
+                q[i] = self.quality_of_long(t)
+                continue
+            held.append(i)
+            chars += len(t or "")
+            if chars > LONG_TEXT:
+                settle()
+                chars = 0
+        if held:
+            settle()
         return 1 / (1 + np.exp(-np.clip(self.slope * _logit(q) + self.shift, -30, 30)))
 
 
+def chain_marginals(u: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """P(good) of each line of one chain; the messages are odds, carried from line to line."""
+    (bb, bg), (gb, gg) = np.exp(trans - trans.max()).tolist()
+    into, out = np.empty(len(u)), np.empty(len(u))
+    odds = 1.0
+    for at in range(0, len(u), BLOCK_LINES):  # odds of a line by those before it
+        got, own = [], np.exp(np.clip(u[at : at + BLOCK_LINES].astype(np.float64), -30, 30)).tolist()
+        for e in own:
+            got.append(odds)
+            odds *= e
+            odds = (odds * gg + bg) / (odds * gb + bb)
+        into[at : at + len(got)] = got
+    odds = 1.0
+    for at in range((len(u) - 1) // BLOCK_LINES * BLOCK_LINES, -1, -BLOCK_LINES):  # and by those after it
+        got, own = [], np.exp(np.clip(u[at : at + BLOCK_LINES].astype(np.float64), -30, 30)).tolist()
+        for e in reversed(own):
+            got.append(odds)
+            odds *= e
+            odds = (odds * gg + gb) / (odds * bg + bb)
+        out[at : at + len(got)] = got[::-1]
+    z = np.log(into)
+    z += np.log(out)
+    z += np.clip(u, -30, 30)
+    return 1 / (1 + np.exp(-z))
+
+
 def _logit(q: np.ndarray) -> np.ndarray:
     q = np.clip(q, 1e-3, 1 - 1e-3)
     return np.log(q / (1 - q))

@@ -265,3 +265,46 @@ def test_sharding_of_the_table(spark):
     assert Counter((x.doc_id, x["size"], x.text_crc32) for x in got) == Counter((x.doc_id, len((x.text or "").encode()) + 16, zlib.crc32((x.text or "").encode())) for x in docs)
     assert {(x.law, x.grown_shard) for x in got} == {("bytes", None)}
     checked_shards(got, 40, max(x["size"] for x in got))
+
+
+def _crf():
+    from folia.llm import line_crf
+
+    rng = np.random.default_rng(1)
+    texts = ["\n".join(" ".join(rng.choice(list("abcdefgh!#"), rng.integers(1, 9))) for _ in range(rng.integers(0, 40))) for _ in range(200)]
+    raw, sizes = line_crf.line_features([*texts, None, "", " \n "])
+    return line_crf.train(raw, sizes, rng.integers(0, 2, len(sizes))), raw, sizes, texts
+
+
+def test_line_scores_equal_brute_force():
+    """Potentials from the design row by row, marginals by summing over all labellings."""
+    from itertools import product
+
+    model, raw, sizes, _ = _crf()
+    u = model.design(raw, sizes) @ model.weights
+    ends = np.cumsum(sizes)
+    quality = model.quality(raw, sizes)
+    seen = 0
+    for k in np.flatnonzero((sizes > 0) & (sizes < 9)):
+        own, want = u[ends[k] - sizes[k] : ends[k]], np.zeros(sizes[k])
+        total = 0.0
+        for y in product((0, 1), repeat=int(sizes[k])):
+            weight = np.exp(sum(own[i] * (y[i] - 0.5) for i in range(len(y))) + sum(model.trans[a, b] for a, b in zip(y, y[1:], strict=False)))
+            total += weight
+            want += weight * np.array(y)
+        w = np.expm1(raw[ends[k] - sizes[k] : ends[k], 0].astype(float))
+        assert abs(quality[k] - (w * want / total).sum() / w.sum()) < 1e-5
+        seen += 1
+    assert seen > 20
+
+
+def test_long_texts_score_as_short_ones(monkeypatch):
+    from folia.llm import line_crf
+
+    model, _, _, texts = _crf()
+    every = [*texts[:40], "\n".join(texts), None, ""]
+    want = model.scores(every)
+    monkeypatch.setattr(line_crf, "LONG_TEXT", 100)
+    monkeypatch.setattr(line_crf, "LONG_CHAIN", 5)
+    monkeypatch.setattr(line_crf, "BLOCK_LINES", 7)
+    assert np.abs(model.scores(every) - want).max() < 1e-6
