@@ -1,21 +1,28 @@
 """Benchmark decontamination by SimHash windows of each item's own size.
 
 A text is compared with an item through the windows that have as many words as
-the item.  A window's 64-bit SimHash is the sign of the summed word vectors
-(weight of a word: its letters), had for all windows of a stretch by one
-cumulative sum.  Fingerprints are looked up in a multi-index: they are cut into
-RADIUS + 1 blocks, so any fingerprint within RADIUS bits of an item's agrees with
-it in a whole block and is found.  What is found and truly within the radius is
-verified by the exact weighted similarity of the two sets of word shingles.
+the item.  A window's SimHash has the signs of the summed vectors of its word
+shingles.  A shingle's vector is as long as the root of its weight (its letters),
+so the cosine of two windows is at least their weighted overlap, and at a
+similarity of 0.8 a place of the print differs with probability 0.15: 29 of 192
+places, with a standard deviation of 5.  RADIUS is 47, while unrelated windows
+differ in 96 places.
+
+Prints are looked up in a multi-index.  They are cut into BLOCKS of 8 bits, and
+RADIUS < 2 * BLOCKS, so a print within the radius differs from an item's in at
+most one bit of some block; each block value lists the items within one bit of
+it, so every pair within the radius is found.  Those are verified by the exact
+weighted similarity of the two sets of word shingles.
 
 Only windows that hold at least one shingle of an item of their length are
-signed, and of the pairs found only those whose item has a shingle in the text
-are verified.  That loses nothing: any other pair has similarity 0.
+signed.  That loses nothing: any other window has similarity 0 to all of them.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,57 +30,77 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from folia.llm._text import WordHashes, batch, kept_where, mapped, mix, plain_words, shingle_hashes
+from folia.llm._text import PLAIN_WORDS, WordHashes, batch, kept_where, mapped, mix, shingle_hashes
 
-#: A long changed word at an item's edge turns over more than 20 bits while the similarity stays at 0.8 or more.
-RADIUS = 31
-BLOCKS = RADIUS + 1
-BLOCK_BITS = 64 // BLOCKS
+#: Places of a print (a multiple of 64), and how many may differ.
+BITS, RADIUS = 192, 47
+BLOCK_BITS = 8
+BLOCKS = BITS // BLOCK_BITS
+#: Shingles that are signed at once, starts that are looked up at once, and pairs that a look-up expands at once.
+SIGNED, STARTS, PAIRS = 8192, 4096, 1 << 20
 #: Items that one pass over the documents holds; more items take more passes.
 ITEMS_A_PASS = 50_000
 _FILTER_BITS = 22
 
 
-def word_vectors(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """For each word +weight or -weight in each of 64 places, by the bits of its hash."""
-    bits = np.unpackbits(mix(hashes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.where(bits == 1, weights[:, None], -weights[:, None]).astype(np.int32)
+def shingle_vectors(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each shingle plus or minus the root of its weight (in sixteenths) in each of BITS places, by the bits of its hash."""
+    seeds = np.arange(1, BITS // 64 + 1, dtype=np.uint64)
+    bits = np.unpackbits(mix(mix(hashes)[:, None] ^ mix(seeds)[None, :]).view(np.uint8), axis=1, bitorder="little")
+    root = np.rint(16 * np.sqrt(weights)).astype(np.int32)
+    return (2 * bits.astype(np.int32) - 1) * root[:, None]
 
 
-def simhashes(vectors: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    sums = np.zeros((len(vectors) + 1, 64), dtype=np.int64)
-    np.cumsum(vectors, axis=0, out=sums[1:])
-    bits = (sums[ends] - sums[starts]) > 0
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+def simhashes(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A print (row of 64-bit words) for each range of shingles.
+
+    The prefix sums are made SIGNED shingles at a time and kept at the starts and
+    ends only, so ranges of any length take bounded memory.
+    """
+    at = np.union1d(starts, ends)
+    sums, total = np.zeros((len(at), BITS), dtype=np.int64), np.zeros(BITS, dtype=np.int64)
+    for lo in range(int(at[0]), int(at[-1]), SIGNED):
+        hi = min(lo + SIGNED, int(at[-1]))
+        part = np.cumsum(shingle_vectors(hashes[lo:hi], weights[lo:hi]), axis=0, dtype=np.int64)
+        first, last = np.searchsorted(at, [lo + 1, hi + 1])
+        sums[first:last] = total + part[at[first:last] - lo - 1]
+        total = total + part[-1]
+    bits = (sums[np.searchsorted(at, ends)] - sums[np.searchsorted(at, starts)]) > 0
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
 class MultiIndex:
-    """Fingerprints by block; ``near`` gives every pair within RADIUS bits."""
+    """Prints by block; ``near`` gives every pair within RADIUS bits."""
 
     def __init__(self, prints: np.ndarray):
         self.prints, self.order, self.first = prints, [], []
-        for j in range(BLOCKS):
-            v = self.block(prints, j)
-            self.order.append(np.argsort(v, kind="stable"))
-            self.first.append(np.searchsorted(np.sort(v), np.arange((1 << BLOCK_BITS) + 1)))
+        flips = np.concatenate([[0], 1 << np.arange(BLOCK_BITS)])
+        for v in self.blocks(prints):
+            near = (v[:, None] ^ flips).ravel()
+            order = np.argsort(near, kind="stable")
+            self.order.append((order // len(flips)).astype(np.int32))
+            self.first.append(np.searchsorted(near[order], np.arange((1 << BLOCK_BITS) + 1)))
 
     @staticmethod
-    def block(prints: np.ndarray, j: int) -> np.ndarray:
-        return ((prints >> np.uint64(j * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
+    def blocks(prints: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(prints).view(np.uint8).reshape(-1, BLOCKS).T.astype(np.int64)
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into ``prints``, index of the item) of the pairs within the radius."""
-        who, what, n = [], [], len(self.prints)
-        for j in range(BLOCKS):
-            v = self.block(prints, j)
-            count = self.first[j][v + 1] - self.first[j][v]
-            w = np.repeat(np.arange(len(prints)), count)
-            inner = np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count)
-            i = self.order[j][self.first[j][v][w] + inner]
-            close = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
-            who.append(w[close])
-            what.append(i[close])
-        pairs = np.unique(np.concatenate(who) * n + np.concatenate(what))
+        found, n = [np.zeros(0, dtype=np.int64)], len(self.prints)
+        for v, order, first in zip(self.blocks(prints), self.order, self.first, strict=True):
+            ends = np.cumsum(first[v + 1] - first[v])
+            for lo in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+                pair = np.arange(lo, min(lo + PAIRS, int(ends[-1])))
+                w = np.searchsorted(ends, pair, side="right")
+                i = order[first[v[w] + 1] - (ends[w] - pair)].astype(np.int64)
+                close = distances(prints[w], self.prints[i]) <= RADIUS
+                found.append(np.unique(w[close] * n + i[close]))
+        pairs = np.unique(np.concatenate(found))
         return pairs // n, pairs % n
 
 
@@ -101,75 +128,73 @@ class Items:
         for item, text in items:
             hashes, sizes = self.of(text)
             if len(hashes):
-                by_length[len(hashes)].append((item, hashes, sizes))
+                by_length[len(hashes)].append((item, *self.shingles(hashes, sizes, min(n, len(hashes)))))
         self.groups = {}
-        runs = defaultdict(lambda: defaultdict(lambda: defaultdict(list)))  # words in a shingle -> shingle -> item length -> items
+        lengths = defaultdict(lambda: defaultdict(set))  # words in a shingle -> shingle -> lengths of items that have it
         for length, group in by_length.items():
-            prints = np.concatenate([simhashes(word_vectors(h, s), np.array([0]), np.array([length])) for _, h, s in group])
-            sets = [_weigh(*self.shingles(h, s)) for _, h, s in group]
+            prints = np.concatenate([simhashes(g, w, np.array([0]), np.array([len(g)])) for _, g, w in group])
+            sets = [_weigh(g, w) for _, g, w in group]
             self.groups[length] = ([i for i, _, _ in group], MultiIndex(prints), sets)
-            for i, x in enumerate(sets):
+            for x in sets:
                 for s in x:
-                    runs[min(n, length)][s][length].append(i)
+                    lengths[min(n, length)][s].add(length)
         self.runs = {}
-        for size, got in runs.items():
+        for size, got in lengths.items():
             bits = np.zeros(1 << _FILTER_BITS, dtype=bool)
             keys = np.array(list(got), dtype=np.uint64)
             bits[(keys & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
-            self.runs[size] = (bits, {k: sorted(v.items()) for k, v in got.items()})
+            self.runs[size] = (bits, {k: sorted(v) for k, v in got.items()})
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = plain_words(text)
-        return self.words.of(words), np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-
-    def shingles(self, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, letters) of each run of n words."""
-        n = min(self.n, len(hashes))
+        """(hash, letters) of each word; the words themselves are held a few at a time."""
+        hashes, sizes = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+        found = (m.group() for m in PLAIN_WORDS.finditer((text or "").lower()))
+        while words := list(islice(found, 1 << 16)):
+            hashes.append(self.words.of(words))
+            sizes.append(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+        return np.concatenate(hashes), np.concatenate(sizes)
+
+    def shingles(self, hashes: np.ndarray, sizes: np.ndarray, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, letters) of each run of ``size`` words."""
+        size = min(self.n if size is None else size, len(hashes))
         total = np.concatenate([[0], np.cumsum(sizes)])
-        return shingle_hashes(hashes, self.n), total[n:] - total[:-n]
+        return shingle_hashes(hashes, size), total[size:] - total[: len(total) - size]
 
     def search(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item, similarity, first word, words) of the best window of each item found."""
-        words = plain_words(text)
-        if not words:
-            return []
-        hashes = self.words.of(words)
-        at = defaultdict(list)  # item length -> places of shingles of such items
-        shared = defaultdict(set)  # item length -> items with a shingle in the text
+        hashes, sizes = self.of(text)
+        best: dict[int, tuple[float, int, int]] = {}
         for size, (bits, lengths) in self.runs.items():
             if size > len(hashes):
                 continue
-            g = shingle_hashes(hashes, size) if size < self.n else shingle_hashes(hashes, self.n)
+            g, letters = self.shingles(hashes, sizes, size)
+            at = defaultdict(lambda: array("q"))  # item length -> places of shingles of such items
             for p in np.flatnonzero(bits[(g & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)]).tolist():
-                for length, group in lengths.get(int(g[p]), ()):
-                    at[length].append((p, size))
-                    shared[length].update(group)
-        if not at:
-            return []
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        best: dict[int, tuple[float, int, int]] = {}
-        for length, places in at.items():
-            span = np.zeros(len(hashes) + 1, dtype=np.int64)
-            for p, size in places:  # starts of the windows that hold this shingle
-                last = max(0, min(p, len(hashes) - length))
-                span[max(0, min(p + size - length, last))] += 1
-                span[last + 1] -= 1
-            starts = np.flatnonzero(np.cumsum(span)[:-1] > 0)
-            lo, hi = int(starts[0]), min(len(hashes), int(starts[-1]) + length)
-            ids, index, sets = self.groups[length]
-            for part in np.array_split(starts, max(1, len(starts) // 20_000)):
-                lo, hi = int(part[0]), min(len(hashes), int(part[-1]) + length)
-                ends = np.minimum(part + length, hi)
-                prints = simhashes(word_vectors(hashes[lo:hi], sizes[lo:hi]), part - lo, ends - lo)
-                for w, i in zip(*(x.tolist() for x in index.near(prints)), strict=True):
-                    if i not in shared[length]:
-                        continue
-                    s, e = int(part[w]), int(ends[w])
-                    sim = weighted_similarity(sets[i], _weigh(*self.shingles(hashes[s:e], sizes[s:e])))
-                    if sim >= self.threshold and sim > best.get(ids[i], (0.0,))[0]:
-                        best[ids[i]] = (sim, s, e - s)
+                for length in lengths.get(int(g[p]), ()):
+                    at[length].append(p)
+            for length, places in at.items():
+                self._windows(g, letters, size, length, np.frombuffer(places, dtype=np.int64), len(hashes), best)
         return sorted((i, *v) for i, v in best.items())
 
+    def _windows(self, g, letters, size: int, length: int, places: np.ndarray, n_words: int, best: dict) -> None:
+        """Looks up the windows of ``length`` words that hold a shingle at one of ``places``; a shorter text is one window."""
+        last = max(0, n_words - length)
+        span = np.zeros(last + 2, dtype=np.int32)
+        until = np.minimum(places, last)
+        np.add.at(span, np.clip(places + size - length, 0, until), 1)
+        np.add.at(span, until + 1, -1)
+        starts = np.flatnonzero(np.cumsum(span)[:-1] > 0)
+        # windows that overlap are signed together, in pieces of bounded span
+        cut = np.flatnonzero((np.diff(starts) > length) | (np.diff(starts // STARTS) > 0)) + 1
+        ids, index, sets = self.groups[length]
+        held = min(length, n_words) - size + 1
+        for part in np.split(starts, cut):
+            for w, i in zip(*(x.tolist() for x in index.near(simhashes(g, letters, part, part + held))), strict=True):
+                s = int(part[w])
+                sim = weighted_similarity(sets[i], _weigh(g[s : s + held], letters[s : s + held]))
+                if sim >= self.threshold and sim > best.get(ids[i], (0.0,))[0]:
+                    best[ids[i]] = (sim, s, min(length, n_words))
+
 
 def _passes(benchmark: DataFrame, item_col: str, text_col: str, n: int, threshold: float):
     """A broadcast of at most ITEMS_A_PASS items each, until all items have had their pass."""

@@ -361,27 +361,90 @@ def test_decontamination(spark, frame):
     assert decontaminate.find_leaks(frame(docs), bench.where("false")).count() == 0
 
 
+def _print_of(index, text):
+    g, w = index.shingles(*index.of(text))
+    return decontaminate.simhashes(g, w, np.array([0]), np.array([len(g)])), decontaminate._weigh(g, w)
+
+
 def test_decontamination_finds_items_with_a_long_word_changed():
-    r, far = random.Random(9), 0
+    r, found = random.Random(9), 0
     for _ in range(60):
         words = ["".join(r.choice("abcdefgh") for _ in range(32)), *prose(49, r).split()]
         index = decontaminate.Items([(1, " ".join(words))], 5, 0.8)
         words[0] = "".join(r.choice("ijklmnop") for _ in range(32))
-        (h, s), (ids, prints, sets) = index.of(" ".join(words)), index.groups[50]
-        signed = decontaminate.simhashes(decontaminate.word_vectors(h, s), np.array([0]), np.array([50]))
-        if decontaminate.weighted_similarity(sets[0], decontaminate._weigh(*index.shingles(h, s))) >= 0.8:
-            far += int(np.bitwise_count(signed ^ prints.prints)[0]) > 15
+        if decontaminate.weighted_similarity(index.groups[50][2][0], _print_of(index, " ".join(words))[1]) >= 0.8:
+            found += 1
             assert index.search(" ".join(words))
-    assert far
+    assert found
+
+
+def test_prints_follow_similarity(spark):
+    """Variants of items at a similarity of 0.8 or more are within the radius, unrelated windows aren't."""
+    r = random.Random(3)
+    items = [x.text for x in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").orderBy("item_id").collect() if x.text]
+    vocabulary = sorted({w for t in items for w in near_dup.plain_words(t)})
+    near = lost = 0
+    for t in items:
+        words, index = near_dup.plain_words(t), decontaminate.Items([(1, t)], 5, 0.8)
+        own, bag = _print_of(index, t)
+        for _ in range(100):
+            x = list(words)
+            for _ in range(r.randint(1, 3)):
+                k = r.choice([0, len(x) - 1, r.randrange(len(x))])
+                x[k : k + 1] = r.choice([[], [r.choice(vocabulary)], [x[k], r.choice(vocabulary)]])
+            if len(x) >= 5:
+                other, bag_ = _print_of(index, " ".join(x))
+                if 0.8 <= decontaminate.weighted_similarity(bag, bag_) < 1:
+                    near += 1
+                    lost += int(decontaminate.distances(own, other)[0]) > decontaminate.RADIUS
+    assert near > 300 and lost <= 0.002 * near
+    unrelated = np.concatenate([_print_of(index, prose(r.randint(20, 60), r))[0] for _ in range(400)])
+    d = decontaminate.distances(unrelated[:200, None], unrelated[None, 200:])
+    assert (d <= decontaminate.RADIUS).mean() < 0.001
+
+
+def test_prints_of_pieces_equal_prints_of_the_whole(monkeypatch):
+    g = np.random.default_rng(6)
+    h, w = g.integers(0, 2**63, 500).astype(np.uint64), g.integers(1, 60, 500)
+    starts = np.arange(0, 400, 7)
+    want = np.concatenate([decontaminate.simhashes(h[k : k + 60], w[k : k + 60], np.array([0]), np.array([60])) for k in starts])
+    monkeypatch.setattr(decontaminate, "SIGNED", 11)
+    assert (decontaminate.simhashes(h, w, starts, starts + 60) == want).all()
+
+
+def test_long_text_with_items_at_both_ends():
+    import subprocess
+    import sys
+
+    code = """
+import resource
+from folia.llm import decontaminate
+item = " ".join(f"item{i}" for i in range(40))
+long = " ".join([item, *(f"w{i % 5003}" for i in range(3_500_000)), item])
+index = decontaminate.Items([(1, item)], 5, 0.8)
+assert len(long) > 19_000_000 and index.search(long) == [(1, 1.0, 0, 40)]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 500, out.stdout
+
+
+def test_multi_index_misses_nothing(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PAIRS", 1000)
+    g = np.random.default_rng(5)
+    items = g.integers(0, 2**63, (200, decontaminate.BITS // 64)).astype(np.uint64)
 
+    def flipped(k):
+        bits = np.unpackbits(items.view(np.uint8), axis=1, bitorder="little")
+        for row in bits:
+            row[g.choice(decontaminate.BITS, k, replace=False)] ^= 1
+        return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
-def test_multi_index_misses_nothing():
-    g = np.random.default_rng(5)
-    items = g.integers(0, 2**63, 200).astype(np.uint64)
-    asked = np.concatenate([items ^ np.bitwise_or.reduce(np.uint64(1) << g.integers(0, 64, (200, k)).astype(np.uint64), axis=1) for k in (1, 8, 15, 18)])
+    asked = np.concatenate([flipped(k) for k in (0, 1, 24, 47, 48, 70)])
     a, b = decontaminate.MultiIndex(items).near(asked)
-    d = np.bitwise_count(asked[:, None] ^ items[None, :])
+    d = decontaminate.distances(asked[:, None], items[None])
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(d <= decontaminate.RADIUS)), strict=True))
+    assert len(a) == 800
 
 
 def edited(text, share, r):
