@@ -53,13 +53,17 @@ NOT_TEXT_NAMES = frozenset(
 )
 
 #: In an article these name its own parts, or stand beside other words in names that say nothing.
-NOT_IN_ARTICLES = frozenset("header side banner masthead skip hidden notice notices notification alert".split())
+NOT_IN_ARTICLES = frozenset("header side banner masthead skip".split())
 #: Words that a telling name may have beside it.
-BESIDE = frozenset("area bar block box buttons container content group inner items item links list module outer panel posts post row section site slot stories text title top bottom unit wrap wrapper footer form".split())
+BESIDE = frozenset(
+    "area bar block box buttons container content group inner items item links list module outer panel posts post row section site slot stories text title top bottom unit wrap wrapper footer form"
+    " article body center danger error facebook fb float full google info inline large left main message middle page primary right secondary sheet small sticky success user users view visitor warning".split()
+)
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_NUMBER = re.compile(r"[vV]?[0-9]+")
+
 
 #: WEAK: dropped for a name or a form only, which may be a wrapper of the whole page.
 MAIN, OPEN, DROP, WEAK = 1, 0, -1, -2
@@ -93,10 +97,10 @@ def _says_no_text(names: str, in_article: bool) -> bool:
     """Whether a class or id names something beside the text.
 
     Around an article any word of a name tells (the caller keeps wrappers of the
-    whole page); within one all words of the name must.
+    whole page); within one all words of the name must, but for numbers and versions.
     """
     for name in names.split():
-        parts = {x.lower() for x in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", name) if x}
+        parts = {x.lower() for x in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", name) if x and not _NUMBER.fullmatch(x)}
         if not in_article and parts & NOT_TEXT_NAMES or in_article and parts & (NOT_TEXT_NAMES - NOT_IN_ARTICLES) and parts <= NOT_TEXT_NAMES | BESIDE:
             return True
     return False
