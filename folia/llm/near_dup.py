@@ -267,13 +267,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     class_id is the least doc_id of the class, null if none of its rows has one.
     """
     rows, (_, doc_id, fp, _), folded, labels = _grouped(docs.select(id_col, text_col), id_col, text_col, n, threshold, many)
-    # the least doc_id of each component, then of each text
+    named = _named(folded, labels)
+    dropped(labels, folded)
+    rows = rows.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"))
+    return rows.join(named, "fp", "left").select("doc_id", "fp", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def _named(folded: DataFrame, labels: DataFrame) -> DataFrame:
+    """fp, class_id of the texts that aren't alone: the least doc_id of each component, else of the text."""
     owner = staged(labels.join(folded.select("uid", "rep"), "uid").groupBy("comp").agg(F.min("rep").alias("class_id")), "near-owners")
     named = folded.join(labels.join(owner, "comp").select("uid", "class_id", "comp"), "uid", "left").select("fp", F.coalesce("class_id", "rep").alias("class_id"), "n", "comp")
     named = staged(named.where("n > 1 or comp is not null").select("fp", "class_id"), "near-named")
-    dropped(owner, labels, folded)
-    rows = rows.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"))
-    return rows.join(named, "fp", "left").select("doc_id", "fp", F.coalesce("class_id", "doc_id").alias("class_id"))
+    dropped(owner)
+    return named
 
 
 def _linked(links: DataFrame | None, labels: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -304,10 +310,30 @@ def _texts(rows: DataFrame, names: list[str], text_col: str, folded: DataFrame,
     return got
 
 
-def near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, class_id, is_kept: the row to keep is the one whose doc_id names the class."""
-    got = classes(docs, **options)
-    return got.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("is_kept"))
+def _kept(folded: DataFrame, labels: DataFrame) -> str:
+    """The folder of marks of one row of each class: of the least doc_id, then fingerprint, the first."""
+    best = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "fp", "lead"))
+    of_class = labels.join(folded.select("uid", "rep", "fp", "lead"), "uid").groupBy("comp").agg(best.alias("best")).select(F.col("best.lead").alias("row"))
+    alone = folded.join(labels.select("uid"), "uid", "left_anti").select(F.col("lead").alias("row"))
+    return by_chunk(of_class.unionByName(alone).select("row", F.lit(1).cast("long").alias("value")), "near-kept")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, many: int = MANY) -> DataFrame:
+    """doc_id, class_id, is_kept of each row.  One row of each class is kept, the one ``one_of_each`` keeps: rows that
+    repeat its doc_id aren't, and a class without ids keeps one row too."""
+    rows, names, folded, labels = _grouped(docs.select(id_col, text_col), id_col, text_col, n, threshold, many)
+    folder, named = _kept(folded, labels), _named(folded, labels)
+    dropped(labels, folded)
+    plain = rows.select(F.col(names[1]).alias("doc_id"), F.col(names[2]).alias("fp"), F.col(names[0]).alias("row"))
+    schema = plain.drop("row").schema.add("is_kept", "boolean")
+
+    def run(batches):
+        for b in batches:
+            kept = np.zeros(b.num_rows, dtype=bool)
+            kept[marked(folder, b.column(2).to_numpy())[0]] = True
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept)], names=["doc_id", "fp", "is_kept"])
+
+    return mapped(plain, run, schema).join(named, "fp", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "is_kept")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, many: int = MANY) -> DataFrame:
@@ -318,10 +344,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal in both any one.
     """
     rows, names, folded, labels = _grouped(docs, id_col, text_col, n, threshold, many)
-    best = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "fp", "lead"))
-    of_class = labels.join(folded.select("uid", "rep", "fp", "lead"), "uid").groupBy("comp").agg(best.alias("best")).select(F.col("best.lead").alias("row"))
-    alone = folded.join(labels.select("uid"), "uid", "left_anti").select(F.col("lead").alias("row"))
-    folder = by_chunk(of_class.unionByName(alone).select("row", F.lit(1).cast("long").alias("value")), "near-kept")
+    folder = _kept(folded, labels)
     dropped(labels, folded)
 
     def run(batches):

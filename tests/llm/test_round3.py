@@ -10,6 +10,7 @@ from itertools import permutations
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from folia.llm import filter_audit, kd_shards, periodic_runs
 from folia.llm import queries as Q
@@ -308,3 +309,35 @@ def test_long_texts_score_as_short_ones(monkeypatch):
     monkeypatch.setattr(line_crf, "LONG_CHAIN", 5)
     monkeypatch.setattr(line_crf, "BLOCK_LINES", 7)
     assert np.abs(model.scores(every) - want).max() < 1e-6
+
+
+@pytest.mark.parametrize("name", ["notice", "alert alert-info", "site-notice", "article-comments", "user-comments", "fb-comments", "google-ad", "ad-slot-3", "newsletter-signup-v2", "hidden", "commentList"])
+def test_names_inside_articles_that_say_no_text(spark, name):
+    from folia.llm import html_extract
+
+    html = f'<body><nav>menu</nav><article class="post"><h1>Title</h1><p>one two</p><div class="{name}"><p>inner words</p></div><div id="{name}">more</div><p>four</p></article></body>'
+    got = html_extract.extract_main_text(spark.createDataFrame([(1, "http://a.example/", html)], "page_id long, url string, html string")).first()
+    assert got.text == "Title\none two\nfour"
+
+
+@pytest.mark.parametrize("name", ["article-body", "article-header", "side-note", "noticeable-facts", "lead", "post-content", "comment-on-law", "image-caption", "alert-levels-of-volcanoes"])
+def test_names_inside_articles_that_hold_text(name):
+    from folia.llm import html_extract
+
+    html = f'<article><h1>Title</h1><div class="{name}"><p>inner words</p></div></article>'
+    assert [t for k, t in html_extract.blocks(html) if k == html_extract.MAIN] == ["Title", "inner words"]
+
+
+def test_one_row_of_each_class_is_kept(spark):
+    from folia.llm import near_dup
+
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    text = " ".join(words)
+    docs = [(1, text), (1, text), (1, near), (2, text), (3, near), (None, "some other text that has no id at all"), (None, "some other text that has no id at all"), (4, None), (4, ""), (5, "alone here")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = near_dup.near_duplicates(df).collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0) for r in got) == sorted((d or 0, {2: 1, 3: 1}.get(d, d) or 0) for d, _ in docs)
+    assert Counter(r.doc_id for r in got if r.is_kept) == {1: 1, None: 1, 4: 1, 5: 1}
+    assert sorted(x.doc_id or 0 for x in near_dup.one_of_each(df).collect()) == [0, 1, 4, 5]
+    assert near_dup.near_duplicates(df.where("false")).count() == 0
