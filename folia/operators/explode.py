@@ -27,11 +27,16 @@ def with_ids(rows: DataFrame, whole: bool = False) -> DataFrame:
     return rows.select(own.alias("element_id"), F.col("doc_id").cast("string").alias("doc_id"), "element_type", parent.alias("parent_id"), "ord", preview(F.col("content")).alias("content_preview"), F.md5(F.coalesce("content", F.lit(""))).alias("content_hash"), "metadata", *(["content"] if whole else []))
 
 
+def _trimmed(parts: Column) -> Column:
+    # F.trim itself would be given each part's place as the characters to trim
+    return F.transform(parts, lambda x: F.trim(x))
+
+
 def explode_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n\n", normalise: bool = False, min_length: int = 1) -> DataFrame:
     """A root and its paragraphs; with ``normalise`` white space collapses first, so there is one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     text = F.trim(F.regexp_replace(text, r"\s+", " ")) if normalise else text
-    parts = F.filter(F.transform(F.split(text, separator), F.trim), lambda x: F.char_length(x) >= max(1, min_length))
+    parts = F.filter(_trimmed(F.split(text, separator)), lambda x: F.char_length(x) >= max(1, min_length))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.concat(F.array(F.lit(None).cast("string")), parts).alias("parts")).select("doc_id", F.posexplode("parts").alias("ord", "content"))
     meta = F.to_json(F.struct((F.col("ord") - 1).alias("index"), F.char_length("content").alias("length"), word_count(F.col("content")).alias("word_count"), F.col("content").rlike(URL).alias("has_urls"), F.col("content").rlike(EMAIL).alias("has_emails")))
     root = F.col("ord") == 0
