@@ -53,8 +53,8 @@ def explode_sentences(paragraphs: DataFrame) -> DataFrame:
 
 def text_stats(text: Column) -> list[Column]:
     """char, word, line and paragraph counts and the title of a text."""
-    first = F.element_at(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), 1)
-    filled = F.when(F.size(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")) > 0, F.substring(first, 1, 100))
+    first = F.element_at(F.filter(_trimmed(F.split(text, "\n")), lambda x: x != ""), 1)
+    filled = F.when(F.size(F.filter(_trimmed(F.split(text, "\n")), lambda x: x != "")) > 0, F.substring(first, 1, 100))
     return [
         F.char_length(text).alias("char_count"),
         word_count(text).alias("word_count"),
