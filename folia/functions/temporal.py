@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,21 +23,39 @@ _WEEKS = ["first", "second", "third", "fourth", "fifth"]
 _DECADES = [*_WEEKS, "sixth", "seventh", "eighth", "ninth", "tenth"]
 
 
+def _once(value: Column, say: Callable[[Column], Column]) -> Column:
+    """``say(value)``, with ``value`` had once for a row, however often it is named there."""
+    return F.get(F.transform(F.array(value), lambda x: say(x)), F.lit(0))
+
+
 def _pick(names: list[str], i: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), i.cast("int"))
 
 
+#: What the letters of a form can stand for at most.
+_LETTERS = {"yyyy": r"[+-]?\d+", "MMMM": r"\D+", "MMM": r"\D+", "MM": r"\d\d", "M": r"[+-]?\d+", "dd": r"\d\d", "d": r"[+-]?\d+", "HH": r"\d\d", "mm": r"\d\d", "ss": r"\d\d"}
+
+
+def shape(format_: str) -> str:
+    """A pattern that every string of a date form meets; few others do, and those the reader itself refuses."""
+    parts = re.findall(r"'([^']*)'|([A-Za-z])(\2*)|(.)", format_, re.S)
+    return "(?is)^" + "".join(_LETTERS[a + b] if a else re.escape(quoted or plain) for quoted, a, b, plain in parts) + r"\z"
+
+
 def parsed(c: Column, formats: list[str]) -> Column:
-    return F.coalesce(*(F.try_to_timestamp(F.trim(c), F.lit(f)) for f in formats))
+    """A reader fails by an exception, which is slow, so strings without its form's shape don't reach it."""
+    c = F.trim(c)
+    return F.coalesce(*(F.when(c.rlike(shape(f)), F.try_to_timestamp(c, F.lit(f))) for f in formats))
 
 
 def temporal_kind(c: Column) -> Column:
     """NONE, DATE, TIME, DATETIME or TIME_RANGE; long strings are NONE."""
     low = F.lower(F.trim(c))
-    any_of = lambda patterns: F.greatest(*(low.rlike(p) for p in patterns), F.lit(False))
+    any_of = lambda patterns: low.rlike("|".join(f"(?:{p})" for p in patterns))
+    plain = ~low.rlike("[0-9]|noon|midnight")  # no kind does without these
     long = (F.char_length(c) > 50) | (F.size(F.split(F.trim(c), r"\s+")) > 8)
     return (
-        F.when(c.isNull() | (c == "") | long, "NONE")
+        F.when(c.isNull() | (c == "") | plain | long, "NONE")
         .when(any_of(RANGES), "TIME_RANGE")
         .when(any_of(TIMES), "TIME")
         .when(parsed(c, DATETIMES).isNotNull(), "DATETIME")
@@ -93,11 +114,11 @@ def time_range(c: Column) -> Column:
 
 def temporal_phrase(c: Column) -> Column:
     """What a temporal string says in words; other strings come back as they are."""
-    kind, span = temporal_kind(c), time_range(c)
-    out = (
-        F.when(kind == "TIME", time_phrase(clock(c)))
-        .when(kind == "DATE", date_phrase(parsed(c, DATES)))
-        .when(kind == "DATETIME", datetime_phrase(parsed(c, DATETIMES)))
-        .when(kind == "TIME_RANGE", F.concat(F.lit("from "), time_phrase(span["start"]), F.lit(" until "), time_phrase(span["end"])))
+    range_ = lambda span: F.concat(F.lit("from "), _once(span["start"], time_phrase), F.lit(" until "), _once(span["end"], time_phrase))
+    said = lambda kind: (
+        F.when(kind == "TIME", _once(clock(c), time_phrase))
+        .when(kind == "DATE", _once(parsed(c, DATES), date_phrase))
+        .when(kind == "DATETIME", _once(parsed(c, DATETIMES), datetime_phrase))
+        .when(kind == "TIME_RANGE", _once(time_range(c), range_))
     )
-    return F.coalesce(out, c)
+    return F.coalesce(_once(temporal_kind(c), said), c)
