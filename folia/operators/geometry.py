@@ -14,8 +14,7 @@ IDENTITIES = [
 
 def is_identity(name: Column) -> Column:
     """Whether a column's name is, or contains, one of the identity words."""
-    low = F.lower(name)
-    return F.exists(F.array(*map(F.lit, IDENTITIES)), lambda w: F.contains(low, w))
+    return F.lower(name).rlike("|".join(IDENTITIES))
 
 
 def clusters(rows: DataFrame, by: list[str], position: str, gap: float, tie: list[str] | None = None) -> DataFrame:

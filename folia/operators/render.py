@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folia.functions.temporal import temporal_kind, temporal_phrase
+from folia.functions.temporal import temporal_phrase
 from folia.operators.geometry import is_identity
 
 
@@ -15,8 +15,7 @@ def _meta(field: str) -> Column:
 
 def named_value(name: Column, value: Column) -> Column:
     """``name is "value"`` for names that tell who or what, ``name: value`` for others; times are said in words."""
-    said = F.when(temporal_kind(value) != "NONE", temporal_phrase(value)).otherwise(value)
-    return F.when(is_identity(name), F.concat(name, F.lit(' is "'), value, F.lit('"'))).otherwise(F.concat(name, F.lit(": "), said))
+    return F.when(is_identity(name), F.concat(name, F.lit(' is "'), value, F.lit('"'))).otherwise(F.concat(name, F.lit(": "), temporal_phrase(value)))
 
 
 def own_text(elements: DataFrame) -> Column:
@@ -32,8 +31,7 @@ def own_text(elements: DataFrame) -> Column:
         .when(kind == "code_block", F.concat(F.lit("Code"), F.coalesce(F.concat(F.lit(" ("), _meta("language"), F.lit(")")), F.lit("")), F.lit(":\n"), content))
         .when(kind == "blockquote", F.regexp_replace(content, r"(?m)^", "> "))
         .when(kind == "image", F.concat(F.lit("Image: "), F.coalesce(_meta("alt"), F.lit("no description"))))
-        .when((kind == "table_cell") & name.isNotNull(), named_value(name, content))
-        .when((kind == "json_field") & name.isNotNull(), named_value(name, content))
+        .when(kind.isin("table_cell", "json_field") & name.isNotNull(), named_value(name, content))
         .when(kind.isin("xml_element", "xml_object", "xml_list"), xml)
         .otherwise(content)
     )
