@@ -70,11 +70,15 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 20, key: str = "ele
     schema = pa.schema([("source", pa.int64()), ("target", pa.int64()), ("score", pa.float64())])
 
     def matrix(t: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        v = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        v = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width).copy()
         n = np.linalg.norm(v, axis=1)
-        return t["id"].to_numpy(), v / np.where(n, n, 1)[:, None], np.array(t["kin"].to_pylist(), dtype=object)
+        v /= np.where(n, n, 1)[:, None]
+        return t["id"].to_numpy(), v, t["kin"].to_numpy()
 
     def nearest(table: pa.Table) -> pa.Table:
+        # groups by number, null as one more
+        kin = pc.fill_null(table["kin"].combine_chunks().dictionary_encode().indices, -1)
+        table = table.set_column(table.schema.get_field_index("kin"), "kin", kin)
         asks, sizes, out = table["asks"].to_numpy(), pc.list_value_length(table["v"]).to_numpy(), []
         for width in np.unique(sizes[sizes > 0]).tolist():
             at = sizes == width
@@ -83,11 +87,13 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 20, key: str = "ele
             (ids, m, groups), (own, v, kins) = matrix(table.filter(pa.array(at & asks)), width), matrix(table.filter(pa.array(at & ~asks)), width)
             by = np.argsort(own, kind="stable")
             own, v, kins = own[by], v[by], kins[by]
-            for lo in range(0, len(ids), 512):  # bounded scores at a time
-                s = m[lo : lo + 512] @ v.T
-                s[(ids[lo : lo + 512, None] == own[None, :]) | ((groups[lo : lo + 512, None] == kins[None, :]) if group else False)] = -np.inf
+            for lo in range(0, len(ids), 64):  # bounded scores at a time
+                s = m[lo : lo + 64] @ v.T
+                s[ids[lo : lo + 64, None] == own[None, :]] = -np.inf
+                if group:
+                    s[groups[lo : lo + 64, None] == kins[None, :]] = -np.inf
                 best = min(k, s.shape[1])
-                least = -np.partition(-s, best - 1, axis=1)[:, best - 1 : best]
+                least = np.partition(s, s.shape[1] - best, axis=1)[:, s.shape[1] - best, None]
                 r, t = np.nonzero((s >= least) & np.isfinite(s) & (s >= (-np.inf if threshold is None else threshold)))
                 # ties at the edge come in order of the key
                 order = np.lexsort((own[t], -s[r, t], r))
