@@ -4,13 +4,14 @@ The index is a folder.  ``vectors`` holds every row, partitioned by ``list_id``,
 the list of its nearest centroid, with a code of some bytes that stands for the
 rest of its direction; ``lists`` holds the centroids and how many rows each list
 has, ``words`` the code words.  A search of one vector reads the partitions of the
-lists nearest to it and compares exactly.  A join of many routes each query to its
-nearest lists and meets the codes there (an equi join by list, part and block); the
-best candidates of a query are compared exactly at the end.
+lists nearest to it and compares exactly.  A join of many reads the lists that some
+query goes to, cut into parts; each part meets each block of queries (an equi join by
+both).  There a query's best candidates in its own lists are had by their codes and
+compared exactly, and only its nearest rows of a part go on.
 
 Only model parameters pass the driver: lists * (dimensions + 1) and 256 *
-dimensions numbers.  Lists with many rows are cut into parts and those with many
-queries into blocks, so a group is bounded whatever lies in one direction.
+dimensions numbers.  Parts and blocks are dealt by hashes of keys, so a group is
+bounded whatever lies in one direction.
 
 Vectors of other dimensions than the index has, and null ones, are in list -1 and
 are only found by queries of their dimension, exactly.  Vectors of length 0 have
@@ -29,7 +30,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-from folia.functions.vectors import cosine
 from folia.operators.search import top_k
 from folia.operators.staging import staged
 
@@ -37,8 +37,8 @@ from folia.operators.staging import staged
 WORDS = 256
 #: A model of more numbers than this is refused: it is sent to every task.
 MOST_NUMBERS = 1 << 26
-#: Rows of a list and queries of a list that meet in one group.
-PART, BLOCK = 32_768, 4096
+#: Rows and queries that meet in one group.
+PART, BLOCK = 65_536, 16_384
 ODD_LIST = -1
 
 
@@ -170,93 +170,94 @@ class Index:
         return top_k(self.rows.where(F.col("list_id").isin(lists)), query, k, key=self.key, column=self.column, **more)
 
     def knn_join(self, queries: DataFrame, k: int = 20, probes: int = 10, refine: int = 8, group: str | None = None, threshold: float | None = None, where: Column | None = None) -> DataFrame:
-        """source, target, score: of each query the k nearest rows among the ``refine * k`` with the best codes in its ``probes`` lists.
+        """source, target, score: of each query the k nearest rows among the ``refine * k`` of each part with the best codes in its ``probes`` lists.
 
         ``queries`` has the index's key and vector columns.  With ``group``, a
         column of both sides, rows of the query's own group don't count; ``where``
         restricts the rows of the index.  Queries of other dimensions find nothing.
         """
         kin = F.col(group).cast("string") if group else F.lit(None).cast("string")
-        asked = queries.select(F.col(self.key).cast("long").alias("source"), F.col(self.column).cast("array<float>").alias("v"), kin.alias("kin"))
-        routed = staged(self._routed(asked, probes), "index-queries")
-        # one row a list at most
-        waiting = {r.list_id: r.n for r in routed.groupBy("list_id").agg(F.count("*").alias("n")).collect()}
+        asked = queries.select(F.col(self.key).cast("long").alias("id"), F.col(self.column).cast("array<float>").alias("v"), kin.alias("kin"))
+        asked = staged(asked.where(F.size("v") == self.model.width), "index-queries")
+        n = asked.count()
+        # one row a list at most; other lists aren't read
+        lists = sorted(r.list_id for r in self._routed(asked, probes).distinct().collect())
         rows = self.rows if where is None else self.rows.where(where)
-        rows = rows.where(F.col("list_id").isin(sorted(waiting)))
-        parts = {i: -(-self.sizes.get(i, 1) // PART) for i in waiting}
-        blocks = {i: -(-n // BLOCK) for i, n in waiting.items()}
-        of = lambda n, key: F.pmod(F.xxhash64(key), _looked_up(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), _looked_up(n) - 1))
-        asks = routed.select("list_id", F.lit(True).alias("asks"), F.col("source").alias("id"), "v", F.lit(None).cast("binary").alias("code"), "kin", of(blocks, "source").alias("block"), every(parts).alias("part"))
-        has = rows.select("list_id", F.lit(False).alias("asks"), F.col(self.key).cast("long").alias("id"), F.lit(None).cast("array<float>").alias("v"), "code", kin.alias("kin"))
-        has = has.select("*", every(blocks).alias("block"), of(parts, "id").alias("part"))
-        found = asks.unionByName(has).groupBy("list_id", "part", "block").applyInArrow(self._meet(refine * k, bool(group)), "source bigint, target bigint, list_id int, score double")
+        rows = rows.where(F.col("list_id").isin(lists))
+        parts, blocks = max(1, -(-sum(self.sizes.get(i, 0) for i in lists) // PART)), max(1, -(-n // BLOCK))
+        place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        asks = asked.select("id", "v", "kin", F.lit(None).cast("int").alias("list_id"), F.lit(None).cast("binary").alias("code"), place(blocks).alias("block"), every(parts).alias("part"))
+        has = rows.select(F.col(self.key).cast("long").alias("id"), F.col(self.column).cast("array<float>").alias("v"), kin.alias("kin"), "list_id", "code")
+        has = has.select("*", every(blocks).alias("block"), place(parts).alias("part"))
+        found = asks.unionByName(has).groupBy("block", "part").applyInArrow(self._meet(k, refine * k, probes, bool(group), threshold), "source bigint, target bigint, score double")
         best = Window.partitionBy("source").orderBy(F.desc("score"), "target")
-        found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= refine * k).select("source", "target", "list_id")
-        exact = found.join(rows.select("list_id", F.col(self.key).cast("long").alias("target"), F.col(self.column).alias("w")), ["list_id", "target"]).join(asked.select("source", "v"), "source")
-        exact = exact.select("source", "target", cosine(F.col("v").cast("array<double>"), F.col("w").cast("array<double>")).alias("score"))
-        if threshold is not None:
-            exact = exact.where(F.col("score") >= threshold)
-        return exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
 
     def _routed(self, asked: DataFrame, probes: int) -> DataFrame:
-        """source, v, kin, list_id: a row for each list that a query goes to."""
-        model, probes = self.model, min(probes, len(self.model.centroids))
+        """list_id: the lists that some query goes to, each perhaps several times."""
+        model = self.model
 
         def run(batches):
             for b in batches:
-                at, v = matrix(b.column(1), model.width)
-                lists = model.nearest(_unit(v), probes).astype(np.int32).ravel() if len(at) else np.empty(0, dtype=np.int32)
-                got = b.take(pa.array(np.repeat(at, probes)))
-                yield pa.RecordBatch.from_arrays([*got.columns, pa.array(lists)], names=[*got.schema.names, "list_id"])
+                v = matrix(b.column(0), model.width)[1]
+                if len(v):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(model.nearest(_unit(v), probes)).astype(np.int32))], names=["list_id"])
 
-        return asked.mapInArrow(run, StructType([*asked.schema.fields, StructField("list_id", IntegerType())]))
+        return asked.select("v").mapInArrow(run, "list_id int")
 
-    def _meet(self, most: int, grouped: bool):
-        """The best ``most`` of a part of a list for each query of a block, by their codes."""
+    def _meet(self, k: int, most: int, probes: int, grouped: bool, threshold: float | None):
+        """Of a block of queries and a part of the rows the best ``most`` of each query by their codes, and of these the best ``k`` exactly."""
         model = self.model
-        schema = pa.schema([("source", pa.int64()), ("target", pa.int64()), ("list_id", pa.int32()), ("score", pa.float64())])
+        schema = pa.schema([("source", pa.int64()), ("target", pa.int64()), ("score", pa.float64())])
 
         def run(table: pa.Table) -> pa.Table:
-            mask = table["asks"].combine_chunks()
-            q, x = table.filter(mask), table.filter(pc.invert(mask))
-            out = [[], [], []]
+            kin = pc.fill_null(table["kin"].combine_chunks().dictionary_encode().indices, -1)
+            table = table.set_column(table.schema.get_field_index("kin"), "kin", kin)
+            mask = table["list_id"].is_null()
+            q, x = table.filter(mask).sort_by("id"), table.filter(pc.invert(mask)).sort_by([("list_id", "ascending"), ("id", "ascending")])
+            out = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
             if len(q) and len(x):
-                list_id = table["list_id"][0].as_py()
-                kin = table["kin"].combine_chunks().dictionary_encode().indices.fill_null(-1)
-                order = pc.sort_indices(x["id"])
-                x, theirs, mine = x.take(order), kin.filter(pc.invert(mask)).take(order).to_numpy(), kin.filter(mask).to_numpy()
-                ids, own = q["id"].to_numpy(), x["id"].to_numpy()
-                v = _unit(matrix(q["v"], model.width)[1])
-                w = model.decoded(np.frombuffer(b"".join(x["code"].to_pylist()), dtype=np.uint8).reshape(len(x), -1), list_id)
-                for lo in range(0, len(ids), 256):  # bounded scores at a time
-                    s = v[lo : lo + 256] @ w.T
-                    same = ids[lo : lo + 256, None] == own[None, :]
+                ids, own, mine, theirs = q["id"].to_numpy(), x["id"].to_numpy(), q["kin"].to_numpy(), x["kin"].to_numpy()
+                raw, exact = matrix(q["v"], model.width)[1], matrix(x["v"], model.width)[1]
+                v = _unit(raw)
+                numbers, starts = np.unique(x["list_id"].to_numpy(), return_index=True)
+                ends = [*starts[1:].tolist(), len(x)]
+                codes = np.frombuffer(b"".join(x["code"].to_pylist()), dtype=np.uint8).reshape(len(x), -1)
+                w = np.concatenate([model.decoded(codes[lo:hi], i) for i, lo, hi in zip(numbers.tolist(), starts.tolist(), ends, strict=True)])
+                long = np.linalg.norm(exact.astype(np.float64), axis=1)
+                step = max(1, min(128, (1 << 22) // len(x)))  # bounded scores and candidates at a time
+                for at in range(0, len(ids), step):
+                    s = np.full((min(step, len(ids) - at), len(x)), -np.inf, dtype=np.float32)
+                    goes = np.zeros((len(s), len(model.centroids)), dtype=bool)
+                    np.put_along_axis(goes, model.nearest(v[at : at + step], probes), True, axis=1)
+                    for i, lo, hi in zip(numbers.tolist(), starts.tolist(), ends, strict=True):
+                        r = np.flatnonzero(goes[:, i])
+                        s[r, lo:hi] = v[at + r] @ w[lo:hi].T
+                    same = ids[at : at + step, None] == own[None, :]
                     if grouped:
-                        same |= (mine[lo : lo + 256, None] == theirs[None, :]) & (theirs >= 0)[None, :]
+                        same |= (mine[at : at + step, None] == theirs[None, :]) & (theirs >= 0)[None, :]
                     s[same] = -np.inf
-                    n = min(most, s.shape[1])
-                    top = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                    n = min(most, len(x))
+                    top = np.argpartition(s, len(x) - n, axis=1)[:, len(x) - n :]
                     r, t = np.repeat(np.arange(len(s)), n), top.ravel()
                     fine = np.isfinite(s[r, t])
                     r, t = r[fine], t[fine]
-                    for c, y in zip(out, (ids[lo + r], own[t], s[r, t]), strict=True):
+                    a = raw[at + r].astype(np.float64)
+                    size = np.linalg.norm(a, axis=1) * long[t]
+                    score = np.where(size > 0, np.einsum("ij,ij->i", a, exact[t].astype(np.float64)) / np.where(size > 0, size, 1), 0.0)
+                    order = np.lexsort((own[t], -score, r))
+                    r, t, score = r[order], t[order], score[order]
+                    good = np.arange(len(r)) - np.searchsorted(r, r) < k
+                    if threshold is not None:
+                        good &= score >= threshold
+                    for c, y in zip(out, (ids[at + r[good]], own[t[good]], score[good]), strict=True):
                         c.append(y)
-            source, target, score = (np.concatenate(c) if c else np.empty(0) for c in out)
-            n = len(source)
-            return pa.table([pa.array(source, pa.int64()), pa.array(target, pa.int64()), pa.array(np.full(n, list_id if n else 0), pa.int32()), pa.array(score, pa.float64())], schema=schema)
+            return pa.table([pa.array(np.concatenate(c), f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
         return run
 
 
-def _looked_up(counts: dict[int, int]) -> Column:
-    """The number of a row's list; almost all are 1, so only the others are named."""
-    more = [(F.lit(i), F.lit(n)) for i, n in sorted(counts.items()) if n != 1]
-    if not more:
-        return F.lit(1)
-    return F.coalesce(F.create_map(*(x for pair in more for x in pair))[F.col("list_id")], F.lit(1))
-
-
 def write(rows: DataFrame, model: Model, path: str, key: str = "element_pk", column: str = "embedding") -> Index:
     """Writes ``assigned`` rows as an index.
 
