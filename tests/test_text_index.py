@@ -50,3 +50,25 @@ def test_engine_ranks_words(spark, tmp_path):
     assert e.search_hybrid("blue boats sail", 1).first().content_preview == "blue boats sail"
     e.delete(["a"])
     assert e.search_words("boats", 5).count() == 0
+
+
+def test_blocks_of_postings(spark, tmp_path):
+    texts = [(f"k{i % 997}" if i % 50 else None, f"the word w{i % 7} the" if i % 10 else None) for i in range(1000)]
+    df = spark.createDataFrame(texts, "k string, text string").repartition(3)
+    index = text_index.build(df, str(tmp_path / "i"), "k", buckets=4)
+    # a stored row names many texts: one for each word and slice at most, not one for each word of each text
+    slices = spark.read.parquet(f"{index.path}/postings").where("term is null").count()
+    assert slices <= 6 and spark.read.parquet(f"{index.path}/postings").count() <= slices * (2 + 7 + 1)
+    # rows of one id and length are one text with their words added up, as they were
+    want = {}
+    for k, t in texts:
+        w = (t or "").split()
+        for x in {*w, None}:
+            want[x, k, len(w)] = want.get((x, k, len(w)), 0) + w.count(x)
+    assert {(r.term, r.id, r.length): r.tf for r in index.rows.groupBy("term", "id", "length").agg({"tf": "sum"}).withColumnRenamed("sum(tf)", "tf").collect()} == want
+    known = {(k, n) for _, k, n in want}
+    assert (index.texts, index.words) == (len(known), sum(n for _, n in known))
+    again = text_index.write(index.rows.drop("bucket"), str(tmp_path / "again"), 4)
+    assert (again.texts, again.words) == (index.texts, index.words) and again.schema == index.schema
+    scores = lambda x: {r.id: round(r.score, 9) for r in x.scores("the w3").collect()}
+    assert scores(again) == scores(index) and len(scores(index)) == len({k for x, k, _ in want if x == "the"})
