@@ -616,9 +616,8 @@ def bm25_scores(spark, sf):
   select element_pk, round(s, 6) as score from (select element_pk, 0.3 * coalesce(bm.score, 0) / 10 + 0.7 * v as s from v left join bm using (doc_id)) order by s desc, element_pk limit 20""")
 def hybrid_bm25(spark, sf):
     """All vectors by their cosine and the BM25 score of their document."""
-    s = _scored(spark, sf)
-    t = s.join(_text_index(spark, sf).scores(_ASKED).select(F.col("id").alias("doc_id"), F.col("score").alias("t")), "doc_id").select("element_pk", F.col("t").alias("score"))
-    return _rounded(search.hybrid_rank(t, s, 20), "score")
+    t = _text_index(spark, sf).scores(_ASKED).withColumnRenamed("id", "doc_id")
+    return _rounded(search.hybrid_rank(t, _scored(spark, sf), 20, on="doc_id"), "score")
 
 
 def _text_index(spark, sf):

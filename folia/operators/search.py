@@ -108,11 +108,17 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 20, key: str = "ele
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
 
 
-def hybrid_rank(text_hits: DataFrame, vector_hits: DataFrame, k: int = 10, key: str = "element_pk", text_weight: float = 0.3, vector_weight: float = 0.7, text_scale: float = 10.0) -> DataFrame:
-    """key, score: 0.3 of the text score over ten and 0.7 of the vector score; a missing side is 0."""
-    t, v = text_hits.select(key, F.col("score").alias("t")), vector_hits.select(key, F.col("score").alias("v"))
+def hybrid_rank(text_hits: DataFrame, vector_hits: DataFrame, k: int = 10, key: str = "element_pk", text_weight: float = 0.3, vector_weight: float = 0.7, text_scale: float = 10.0, on: str | None = None) -> DataFrame:
+    """key, score: 0.3 of the text score over ten and 0.7 of the vector score; a missing side is 0.
+
+    With ``on`` text hits are of what vector hits belong to, by that column, such as
+    their documents: each vector hit is ranked, in one join, and no other key.
+    """
+    t = text_hits.select(on or key, F.col("score").alias("t"))
+    v = vector_hits.select(key, *([on] if on else []), F.col("score").alias("v"))
+    rows = v.join(t, on, "left") if on else t.join(v, key, "full")
     score = text_weight * (F.coalesce("t", F.lit(0.0)) / text_scale) + vector_weight * F.coalesce("v", F.lit(0.0))
-    return t.join(v, key, "full").select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
+    return rows.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
 def best_per_document(hits: DataFrame, key: str = "element_pk") -> DataFrame:

@@ -72,3 +72,15 @@ def test_blocks_of_postings(spark, tmp_path):
     assert (again.texts, again.words) == (index.texts, index.words) and again.schema == index.schema
     scores = lambda x: {r.id: round(r.score, 9) for r in x.scores("the w3").collect()}
     assert scores(again) == scores(index) and len(scores(index)) == len({k for x, k, _ in want if x == "the"})
+
+
+def test_hybrid_rank_reads_vectors_once(spark):
+    from folia.operators import search
+
+    v = spark.createDataFrame([(1, 10, 0.5), (2, 10, 0.1), (3, 11, 0.9), (4, None, 0.2), (5, 12, None)], "element_pk long, doc_id long, score double")
+    t = spark.createDataFrame([(10, 20.0), (99, 50.0), (12, 10.0)], "doc_id long, score double")
+    got = search.hybrid_rank(t, v, 5, on="doc_id")
+    assert [(r.element_pk, round(r.score, 9)) for r in got.collect()] == [(1, 0.95), (2, 0.67), (3, 0.63), (5, 0.3), (4, 0.14)]
+    # as the join over the keys of the vectors ranks them, which reads these twice
+    by_key = search.hybrid_rank(v.drop("score").join(t, "doc_id").select("element_pk", "score"), v, 5)
+    assert by_key.collect() == got.collect()
