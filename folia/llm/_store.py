@@ -47,6 +47,16 @@ def staged(df: DataFrame, name: str, zstd_level: int = 3) -> DataFrame:
     return got
 
 
+def shuffle_joined(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the input: one plan for every size, never a broadcast.
+
+    Spark guesses the size of staged tables from their compressed files, and takes
+    an exploded array for as small as the column was: a table of some 50 MB of files
+    was broadcast as millions of rows through the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def dropped(*tables: DataFrame | str | None) -> None:
     """Deletes staged tables, or folders, that nothing reads any more; what isn't staged is left alone."""
     for t in tables:

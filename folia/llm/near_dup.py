@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm._store import by_chunk, dropped, marked, row_numbers, staged, unused
+from folia.llm._store import by_chunk, dropped, marked, row_numbers, shuffle_joined, staged, unused
 from folia.llm._text import WordHashes, batch, mapped, mix, plain_words, shingle_hashes
 from folia.llm.components import components
 
@@ -126,9 +126,8 @@ def _signed(texts: DataFrame, level: int, n: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts are at least ``threshold`` similar, staged."""
-    # texts grow with the corpus: one plan for every size, never a broadcast of them
-    rows = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    rows = rows.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b").select("a", "b", "text_a", "text_b")
+    rows = shuffle_joined(pairs, texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a")
+    rows = shuffle_joined(rows, texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -156,11 +155,11 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     A bucket's largest component (of equals the least) is its major one; minor
     are the texts outside it, of which the bucket has n_minor.
     """
-    members = members.join(labels, "uid", "left").select("bucket", "uid", F.coalesce("comp", "uid").alias("comp"))
+    members = shuffle_joined(members, labels, "uid", "left").select("bucket", "uid", F.coalesce("comp", "uid").alias("comp"))
     sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     major = sizes.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("comp")).alias("c"))).alias("m"), F.sum("n").alias("size"), F.count("*").alias("comps"))
     major = staged(major.where("comps > 1").select("bucket", (-F.col("m.c")).alias("major"), (F.col("size") - F.col("m.n")).alias("n_minor"), "size"), "near-majors")
-    mixed = staged(members.join(major, "bucket").select("bucket", "uid", "comp", (F.col("comp") != F.col("major")).alias("minor"), "n_minor", "size"), "near-mixed")
+    mixed = staged(shuffle_joined(members, major, "bucket").select("bucket", "uid", "comp", (F.col("comp") != F.col("major")).alias("minor"), "n_minor", "size"), "near-mixed")
     dropped(major)
     return mixed
 
@@ -176,7 +175,7 @@ def _settled(mixed: DataFrame, texts: DataFrame, n: int, threshold: float) -> Da
     all_of = lambda size, per: F.sequence(F.lit(0), F.ceil(size / per).cast("int") - 1)
     others = mixed.select("bucket", "uid", "comp", F.lit(False).alias("asks"), F.explode(all_of(F.col("n_minor"), MINOR_BLOCK)).alias("i"), place(F.col("size"), OTHER_BLOCK, 1).alias("j"))
     asks = mixed.where("minor").select("bucket", "uid", "comp", F.lit(True).alias("asks"), place(F.col("n_minor"), MINOR_BLOCK, 2).alias("i"), F.explode(all_of(F.col("size"), OTHER_BLOCK)).alias("j"))
-    rows = others.unionByName(asks).join(texts.hint("merge"), "uid").select("bucket", "i", "j", "uid", "comp", "asks", "text")
+    rows = shuffle_joined(others.unionByName(asks), texts, "uid").select("bucket", "i", "j", "uid", "comp", "asks", "text")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def block(table: pa.Table) -> pa.Table:
@@ -236,11 +235,11 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: flo
         same = [F.bit_xor(F.xxhash64("uid", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
         leaders = entries.groupBy("bucket").agg(F.min("uid").alias("leader"), F.count("*").alias("size"), *same).where("size > 1")
         leaders = leaders.groupBy("leader", "size", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "leader")
-        members = staged(entries.join(leaders, "bucket").select("bucket", "uid", "leader"), "near-members")
+        members = staged(shuffle_joined(entries, leaders, "bucket").select("bucket", "uid", "leader"), "near-members")
         pairs = members.where("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct()
         if level:  # texts of one component need no link
             of = lambda c: labels.select(F.col("uid").alias(c), F.col("comp").alias("c" + c))
-            pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+            pairs = shuffle_joined(shuffle_joined(pairs, of("a"), "a", "left"), of("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
         else:
             texts = _texts(rows, names, text_col, folded, members)
         links, labels = _linked(links, labels, _verified(pairs, texts, n, threshold))
@@ -255,7 +254,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: flo
             dropped(mixed, links, texts)
             return rows, names, folded, labels
         level += 1
-        entries = staged(_signed(texts.join(left, "uid", "left_semi"), level, n), "near-entries")
+        entries = staged(_signed(shuffle_joined(texts, left, "uid", "left_semi"), level, n), "near-entries")
         dropped(mixed)
 
 
@@ -270,13 +269,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     named = _named(folded, labels)
     dropped(labels, folded)
     rows = rows.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"))
-    return rows.join(named, "fp", "left").select("doc_id", "fp", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return shuffle_joined(rows, named, "fp", "left").select("doc_id", "fp", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def _named(folded: DataFrame, labels: DataFrame) -> DataFrame:
     """fp, class_id of the texts that aren't alone: the least doc_id of each component, else of the text."""
-    owner = staged(labels.join(folded.select("uid", "rep"), "uid").groupBy("comp").agg(F.min("rep").alias("class_id")), "near-owners")
-    named = folded.join(labels.join(owner, "comp").select("uid", "class_id", "comp"), "uid", "left").select("fp", F.coalesce("class_id", "rep").alias("class_id"), "n", "comp")
+    owner = staged(shuffle_joined(labels, folded.select("uid", "rep"), "uid").groupBy("comp").agg(F.min("rep").alias("class_id")), "near-owners")
+    named = shuffle_joined(folded, shuffle_joined(labels, owner, "comp").select("uid", "class_id", "comp"), "uid", "left").select("fp", F.coalesce("class_id", "rep").alias("class_id"), "n", "comp")
     named = staged(named.where("n > 1 or comp is not null").select("fp", "class_id"), "near-named")
     dropped(owner)
     return named
@@ -296,7 +295,7 @@ def _linked(links: DataFrame | None, labels: DataFrame | None, found: DataFrame)
 
 def _texts(rows: DataFrame, names: list[str], text_col: str, folded: DataFrame, members: DataFrame) -> DataFrame:
     """uid, text of the texts that share a bucket, staged: found in the staged rows by number."""
-    wanted = folded.join(members.select("uid").distinct(), "uid", "left_semi").select(F.col("lead").alias("row"), F.col("uid").alias("value"))
+    wanted = shuffle_joined(folded, members.select("uid").distinct(), "uid", "left_semi").select(F.col("lead").alias("row"), F.col("uid").alias("value"))
     folder, out = by_chunk(wanted, "near-wanted"), pa.schema([("uid", pa.int64()), ("text", pa.string())])
 
     def run(batches):
@@ -313,8 +312,8 @@ def _texts(rows: DataFrame, names: list[str], text_col: str, folded: DataFrame,
 def _kept(folded: DataFrame, labels: DataFrame) -> str:
     """The folder of marks of one row of each class: of the least doc_id, then fingerprint, the first."""
     best = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "fp", "lead"))
-    of_class = labels.join(folded.select("uid", "rep", "fp", "lead"), "uid").groupBy("comp").agg(best.alias("best")).select(F.col("best.lead").alias("row"))
-    alone = folded.join(labels.select("uid"), "uid", "left_anti").select(F.col("lead").alias("row"))
+    of_class = shuffle_joined(labels, folded.select("uid", "rep", "fp", "lead"), "uid").groupBy("comp").agg(best.alias("best")).select(F.col("best.lead").alias("row"))
+    alone = shuffle_joined(folded, labels.select("uid"), "uid", "left_anti").select(F.col("lead").alias("row"))
     return by_chunk(of_class.unionByName(alone).select("row", F.lit(1).cast("long").alias("value")), "near-kept")
 
 
@@ -333,7 +332,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             kept[marked(folder, b.column(2).to_numpy())[0]] = True
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept)], names=["doc_id", "fp", "is_kept"])
 
-    return mapped(plain, run, schema).join(named, "fp", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "is_kept")
+    return shuffle_joined(mapped(plain, run, schema), named, "fp", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "is_kept")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, many: int = MANY) -> DataFrame:

@@ -341,3 +341,27 @@ def test_one_row_of_each_class_is_kept(spark):
     assert Counter(r.doc_id for r in got if r.is_kept) == {1: 1, None: 1, 4: 1, 5: 1}
     assert sorted(x.doc_id or 0 for x in near_dup.one_of_each(df).collect()) == [0, 1, 4, 5]
     assert near_dup.near_duplicates(df.where("false")).count() == 0
+
+
+def test_near_copies_are_never_broadcast(spark, frame, monkeypatch):
+    """Staged tables look small to Spark: at 0.5 GB the exploded bands of all texts went through the driver's memory."""
+    from folia.llm import components, near_dup
+
+    plans = []
+
+    def noted(step):
+        def run(df, *more):
+            plans.append(df._jdf.queryExecution().sparkPlan().toString())
+            return step(df, *more)
+
+        return run
+
+    for module, name in ((near_dup, "staged"), (near_dup, "by_chunk"), (components, "staged")):
+        monkeypatch.setattr(module, name, noted(getattr(module, name)))
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join([*words[: 40 + i % 3], *(f"x{i}y{k}" for k in range(i % 20))])) for i in range(80)]
+    got = near_dup.near_duplicates(frame(docs))
+    plans.append(got._jdf.queryExecution().sparkPlan().toString())
+    assert got.count() == 80 and near_dup.one_of_each(frame(docs)).count() == got.where("is_kept").count()
+    assert sum("SortMergeJoin" in p for p in plans) > 10
+    assert not [p for p in plans if "Broadcast" in p]
