@@ -341,11 +341,11 @@ def semantic_edges(spark, sf):
     return _rounded(edges.semantic_edges(v, 0.1), "similarity")
 
 
-@query(f"""with p as (select a.vec_id as source, b.vec_id as target, {_PAIR} as score from embeddings a join embeddings b on a.vec_id % 50 = 0 and a.vec_id // 10 <> b.vec_id // 10),
+@query(f"""with p as (select a.vec_id as source, b.vec_id as target, {_PAIR} as score from embeddings a join embeddings b on a.vec_id // 10 <> b.vec_id // 10),
   r as (select *, row_number() over (partition by source order by score desc, target) as k from p) select source, target, round(score, 6) as score from r where k <= 20 and score >= 0.05""")
 def cross_document_neighbours(spark, sf):
     v = _vectors(spark, sf)
-    return _rounded(search.knn_join(v.where("element_pk % 50 = 0"), v, 20, group="doc_id", threshold=0.05), "score")
+    return _rounded(search.knn_join(v, v, 20, group="doc_id", threshold=0.05), "score")
 
 
 # --- search ------------------------------------------------------------------
